@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media
+from . import media, simhash
 from .common import documents
 
 
@@ -33,8 +33,14 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit SimHash of four-word shingles; groups linked at four differing bits or fewer."""
+    found = simhash.near_duplicates(documents(spark, sf_dir), shingle=4, bits=64, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_media": op5_media}
+    return {"op5_media": op5_media, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
