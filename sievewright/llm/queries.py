@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, simhash
+from . import bpe, media, simhash
 from .common import documents
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's token ids and their decoding, as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = bpe.decode(bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as 64-byte-aligned 8-bit samples of a WAV file, read back and fingerprinted."""
     unit = 64
@@ -40,7 +48,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_media": op5_media, "op7_simhash": op7_simhash}
+    return {"op4_bpe": op4_bpe, "op5_media": op5_media, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
