@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, simhash
+from . import bpe, media, mixing, simhash
 from .common import documents
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document in a mix of all sources weighing 3, 1, 2 and 150% of all words."""
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's token ids and their decoding, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -48,7 +53,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_bpe": op4_bpe, "op5_media": op5_media, "op7_simhash": op7_simhash}
+    return {"op1_mixing": op1_mixing, "op4_bpe": op4_bpe, "op5_media": op5_media, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
