@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, simhash
-from .common import documents
+from . import bpe, langid, media, mixing, simhash
+from .common import documents, fold
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the rows that are not held out."""
+    docs = documents(spark, sf_dir)
+    filters = langid.learn(docs.filter(fold("doc_id", 5) != 0))
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), filters).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op4_bpe": op4_bpe, "op5_media": op5_media, "op7_simhash": op7_simhash}
+    return {"op1_mixing": op1_mixing, "op4_bpe": op4_bpe, "op5_media": op5_media, "op7_simhash": op7_simhash, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
