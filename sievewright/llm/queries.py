@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, mixing, simhash
+from . import bpe, iblt, langid, media, mixing, simhash
 from .common import documents, fold
 
 
@@ -52,6 +52,24 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch fingerprints of every text and of its edited text, and their likeness."""
+    n = F.char_length("text")
+    quarter = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
+    pairs = iblt.successors(documents(spark, sf_dir)).withColumn("edited", edited)
+    found = iblt.reconcile(pairs, "text", {"to_edited": "edited", "to_next": "next_text"})
+    return found.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        F.col("to_edited.fingerprint").alias("edited_fingerprint"),
+        F.col("to_edited.likeness").alias("near_edited"),
+        F.col("to_next.likeness").alias("near_next"),
+    )
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned from the rows that are not held out."""
     docs = documents(spark, sf_dir)
@@ -61,7 +79,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op4_bpe": op4_bpe, "op5_media": op5_media, "op7_simhash": op7_simhash, "op10_langid": op10_langid}
+    return {"op1_mixing": op1_mixing, "op4_bpe": op4_bpe, "op5_media": op5_media, "op7_simhash": op7_simhash, "op9_iblt": op9_iblt, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
