@@ -8,15 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, iblt, langid, media, mixing, simhash
+from . import bpe, iblt, langid, media, mixing, simhash, toxicity
 from .common import documents, fold
 
 
+#: Texts of this score or more count as toxic.
+TOXIC = 0.7
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document in a mix of all sources weighing 3, 1, 2 and 150% of all words."""
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's toxicity, learned from the labels that are not held out."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold("doc_id", 3) != 1)
+    model = toxicity.learn(docs, labels)
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    scored = toxicity.score(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's token ids and their decoding, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -79,7 +93,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op4_bpe": op4_bpe, "op5_media": op5_media, "op7_simhash": op7_simhash, "op9_iblt": op9_iblt, "op10_langid": op10_langid}
+    return {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op4_bpe": op4_bpe, "op5_media": op5_media, "op7_simhash": op7_simhash, "op9_iblt": op9_iblt, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
