@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, iblt, langid, media, mixing, simhash, toxicity
+from . import bpe, iblt, langid, media, mixing, pii, simhash, spans, toxicity
 from .common import documents, fold
 
 
@@ -60,6 +60,13 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text: formats, and identifiers shown by their contexts."""
+    found = pii.find(documents(spark, sf_dir))
+    counts = [spans.count(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"), spans.joined(F.col("found")).alias("spans"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64-bit SimHash of four-word shingles; groups linked at four differing bits or fewer."""
     found = simhash.near_duplicates(documents(spark, sf_dir), shingle=4, bits=64, radius=4)
@@ -93,7 +100,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op4_bpe": op4_bpe, "op5_media": op5_media, "op7_simhash": op7_simhash, "op9_iblt": op9_iblt, "op10_langid": op10_langid}
+    return {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op4_bpe": op4_bpe, "op5_media": op5_media, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op9_iblt": op9_iblt, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
