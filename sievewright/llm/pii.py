@@ -1,7 +1,8 @@
 """Personal data: fixed formats, and identifiers found by bootstrapped contexts.
 
 Formats (e-mail, ip, card, phone) are matched in every text.  Their matches seed a
-bootstrap over *identifiers*, the tokens that have a digit or an at sign:
+bootstrap over *identifiers*: the matches, and the other tokens that have a digit or an at
+sign:
 
 * an identifier occurs in *patterns*: the two words before it, the word before and
   the word after it, the word before it alone;
@@ -75,24 +76,23 @@ def formats(text: Column) -> Column:
     return F.concat(*(spans(F.filter(matches(text, pattern), lambda m: keep(m["match"])), kind) for kind, (pattern, keep) in held.items()))
 
 
-def identifiers(text: Column) -> Column:
-    """Tokens ``(start, stop, value, before, last, after)`` with a digit or an at sign and the words around them."""
-    found = matches(text, IDENTIFIER)
+def surrounded(text: Column, found: Column, seed: bool) -> Column:
+    """Matches as identifiers ``(start, stop, value, size, before, last, after, seed)`` with the words around them."""
     word = rf"([^{_SPACE}]+)"
     before = lambda m: F.lower(F.substring(text, F.greatest(m["start"] - 63, F.lit(1)), F.least(m["start"], F.lit(63))))
     after = lambda m: F.lower(F.substring(text, m["stop"] + 1, F.lit(64)))
     bare = lambda m: F.regexp_replace(m["match"], r"^[^A-Za-z0-9@+]+|[^A-Za-z0-9]+$", "")
+    lead = lambda m: F.char_length(F.regexp_extract(m["match"], r"^[^A-Za-z0-9@+]*", 0))
     return F.transform(
         found,
         lambda m: F.struct(
-            m["start"].alias("start"),
-            m["stop"].alias("stop"),
+            (m["start"] + lead(m)).alias("start"),
+            (m["start"] + lead(m) + F.char_length(bare(m))).alias("stop"),
             F.xxhash64(F.lower(bare(m))).alias("value"),
-            F.char_length(bare(m)).alias("size"),
-            F.char_length(F.regexp_extract(m["match"], r"^[^A-Za-z0-9@+]*", 0)).alias("lead"),
             F.regexp_extract(before(m), rf"{word}[{_SPACE}]+{word}[{_SPACE}]*$", 1).alias("before"),
             F.regexp_extract(before(m), rf"{word}[{_SPACE}]*$", 1).alias("last"),
-            F.regexp_extract(after(m), rf"^[{_SPACE}]*{word}", 1).alias("after"),
+            F.regexp_extract(after(m), rf"^[^{_SPACE}]*[{_SPACE}]+{word}", 1).alias("after"),
+            F.lit(seed).alias("seed"),
         ),
     )
 
@@ -115,10 +115,12 @@ def find(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame
     """``(id_col, base, found)`` for each row: spans of the formats, and all spans."""
     need(df, id_col, text)
     whole = F.coalesce(F.col("text"), F.lit(""))
-    read = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).select("id", formats(whole).alias("base"), identifiers(whole).alias("tokens"))
-    rows = cut(read.withColumn("row", F.monotonically_increasing_id()))
-    overlaps = F.exists("base", lambda s: (s["start"] < F.col("t.stop")) & (F.col("t.start") < s["stop"]))
-    tokens = rows.select("row", "base", F.explode("tokens").alias("t")).select("row", "t.*", overlaps.alias("seed"))
+    read = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("base", formats(whole))
+    seeds = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.substring(whole, s["start"] + 1, s["stop"] - s["start"]).alias("match")))
+    free = F.filter(matches(whole, IDENTIFIER), lambda m: ~F.exists("base", lambda s: (s["start"] < m["stop"]) & (m["start"] < s["stop"])))
+    rows = read.select("id", "base", F.concat(surrounded(whole, seeds, True), surrounded(whole, free, False)).alias("tokens"))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    tokens = rows.select("row", F.explode("tokens").alias("t")).select("row", "t.*")
     patterns = F.array(
         F.when(F.col("before") != "", F.xxhash64(F.lit(1), "before", "last")),
         F.when((F.col("last") != "") & (F.col("after") != ""), F.xxhash64(F.lit(2), "last", "after")),
@@ -129,8 +131,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame
     # a value that is a seed anywhere is one everywhere
     known = edges.groupBy("value").agg(F.max("seed").alias("known"))
     edges = edges.join(known, "value").select("pattern", "value", F.col("known").alias("seed"))
-    start = F.col("start") + F.col("lead")
-    shown = tokens.filter(~F.col("seed") & F.col("size").between(*LENGTH)).join(scores(edges), "value", "left_semi")
-    added = shown.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.lit(CONTEXT).alias("kind"), start.alias("start"), (start + F.col("size")).alias("stop")))).alias("added"))
+    shown = tokens.filter(~F.col("seed") & (F.col("stop") - F.col("start")).between(*LENGTH)).join(scores(edges), "value", "left_semi")
+    added = shown.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.lit(CONTEXT).alias("kind"), "start", "stop"))).alias("added"))
     both = F.concat("base", F.coalesce("added", F.array().cast(SPAN)))
     return rows.join(added, "row", "left").select(F.col("id").alias(id_col), "base", both.alias("found"))
