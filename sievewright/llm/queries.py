@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, iblt, langid, media, mixing, pii, simhash, spans, toxicity
+from . import bpe, iblt, langid, media, mixing, pii, simhash, spans, toxicity, trigrams
 from .common import documents, fold
 
 
@@ -73,17 +73,27 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text: base rules and further formats."""
+    found = trigrams.scan(documents(spark, sf_dir), keep=["doc_id"])
+    kinds = [r.kind for r in trigrams.BASE]
+    base = F.filter("secrets", lambda s: s["kind"].isin(kinds))
+    counts = [spans.count(F.col("secrets"), kind).alias(f"n_{kind}") for kind in kinds]
+    return found.select("doc_id", *counts, F.sha2(spans.joined(base), 256).alias("base_sha256"), spans.joined(F.col("secrets")).alias("spans"))
+
+
 def op9_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketch fingerprints of every text and of its edited text, and their likeness."""
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
     pairs = iblt.successors(documents(spark, sf_dir)).withColumn("edited", edited)
-    found = iblt.reconcile(pairs, "text", {"to_edited": "edited", "to_next": "next_text"})
+    pairs = pairs.withColumns({"n_chars": n.cast("long"), "edited_sha256": F.sha2("edited", 256)})
+    found = iblt.reconcile(pairs, "text", {"to_edited": "edited", "to_next": "next_text"}, ["doc_id", "n_chars", "edited_sha256"])
     return found.select(
         "doc_id",
-        F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "n_chars",
+        "edited_sha256",
         "fingerprint",
         F.col("to_edited.fingerprint").alias("edited_fingerprint"),
         F.col("to_edited.likeness").alias("near_edited"),
@@ -100,7 +110,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op4_bpe": op4_bpe, "op5_media": op5_media, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op9_iblt": op9_iblt, "op10_langid": op10_langid}
+    return {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op4_bpe": op4_bpe, "op5_media": op5_media, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_secrets": op8_secrets, "op9_iblt": op9_iblt, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
