@@ -162,3 +162,21 @@ def mix(
     return laid.select(
         F.col("id").alias(id_col), "key", "size", F.when(~F.col("none"), F.col("named")).alias("source"), "source_size", "target", (F.col("size") * F.col("epochs") + extra).alias("taken"), "epochs", "runs"
     )
+
+
+def materialise(df: DataFrame, taken: DataFrame, id_col: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
+    """The mix itself: the rows of ``df`` that ``taken``, of ``mix`` over ``df``, takes.
+
+    A row comes whole once an epoch, and once more with the words of its runs, white space
+    after them included, if only some of its words are taken again.
+    """
+    need(df, id_col, text)
+    rows = df.withColumn("_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text)))
+    # repeated rows are equal, and each has a row of its own in ``taken``
+    rows = rows.dropDuplicates(["_key"]).join(taken.select(F.col("key").alias("_key"), F.col("size").alias("_size"), "epochs", "runs"), "_key")
+    rest = F.when(F.size("runs") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    copies = rows.withColumn("_part", F.explode(F.concat(F.array_repeat(F.lit(False), F.col("epochs")), rest)))
+    words = F.regexp_extract_all(F.col(text), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
+    parts = F.flatten(F.transform("runs", lambda r: F.slice(words, (r["start"] + 1).cast("int"), (r["stop"] - r["start"]).cast("int"))))
+    whole = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"]) == F.col("_size")
+    return copies.withColumn(text, F.when(F.col("_part") & ~whole, F.array_join(parts, "")).otherwise(F.col(text))).select(*df.columns)

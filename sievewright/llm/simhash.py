@@ -31,6 +31,7 @@ rows whose ids are all null is null.  Repeated rows fall in one component.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,10 @@ from .common import cut, need, tasks_for
 SEED = 42
 #: Most fingerprints of a part of a shard, and of a leaf of a tree.
 SHARD, LEAF = 16_384, 48
+#: A part of the fingerprints tells which shards are large.
+PART = 16
+#: Share of the pairs at the radius that random probes must bring together.
+RECALL = 0.97
 #: Shards up to this size are compared row by neighbouring row, many at once.
 FEW = 12
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -228,10 +233,15 @@ def link(fps: DataFrame, radius: int, masks: list[int], lanes: int = 1, fp: str
     """Links ``(a, b)`` between distinct fingerprints, enough to connect all within ``radius`` under a common probe."""
     spark = fps.sparkSession
     keyed = fps.select(F.col(fp).alias("fp"), F.explode(_keys(F.col(fp), masks, lanes)).alias("key"))
-    large = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD).select(F.col("key").alias("large"), F.ceil(F.col("n") / SHARD).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    placed = keyed.join(large, keyed.key == large.large, "left").select("key", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"))
-    blocks = placed.select("key", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    # which shards to split is estimated from a part of the fingerprints; the links are the same however they are split
+    part = keyed.filter(F.pmod(F.xxhash64("fp", F.lit(SEED)), F.lit(PART)) == 0).groupBy("key").agg((F.count("*") * PART).alias("n"))
+    large = cut(part.filter(F.col("n") > SHARD).select(F.col("key").alias("large"), F.ceil(F.col("n") / SHARD).cast("int").alias("parts")))
+    if large.isEmpty():
+        blocks = keyed.withColumns({"part": F.lit(0), "other": F.lit(0)})
+    else:
+        parts = F.coalesce("parts", F.lit(1))
+        placed = keyed.join(large, keyed.key == large.large, "left").select("key", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"))
+        blocks = placed.select("key", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     shards = blocks.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp")
     shards = shards.repartition(tasks_for(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return shards.mapInArrow(_shard_links(radius, lanes), "a array<bigint>, b array<bigint>").distinct()
@@ -257,19 +267,50 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 64, radius: int = 4, probes: list[int] | None = None
-) -> DataFrame:
-    """``(id_col, fp, component)`` for each row; the component is the smallest id reachable over links."""
+def grouped(df: DataFrame, id_col: str, text: str, shingle: int, bits: int, radius: int, masks: list[int] | None) -> DataFrame:
+    """``(id, tie, fp, root, component)`` for each row: the text's hash, its fingerprint, its group and the group's smallest id.
+
+    Without ``masks``, probes are random, as many as find ``RECALL`` of the pairs at the radius.
+    """
     need(df, id_col, text)
     lanes = bits // 64
-    rows = cut(fingerprint(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", shingle, bits).select("id", "fp"))
-    node = F.col("fp")[0] if lanes == 1 else F.xxhash64("fp")
-    fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", node))
-    edges = link(fps, radius, probes or exact_probes(radius, bits), lanes)
+    named = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rows = cut(fingerprint(named, "text", shingle, bits).select("id", F.xxhash64("text").alias("tie"), "fp"))
     of = lambda c: F.col(c)[0] if lanes == 1 else F.xxhash64(c)
+    fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", of("fp")))
+    if masks is None:
+        # as many bits as keep shards small, and as many probes as those bits then need
+        probe_bits = max(12, math.ceil(math.log2(1 + fps.count())))
+        hit = (1 - radius / bits) ** probe_bits
+        masks = random_probes(math.ceil(math.log(1 - RECALL) / math.log1p(-hit)), probe_bits, bits)
+    edges = link(fps, radius, masks, lanes)
     roots = components(edges.select(of("a").alias("a"), of("b").alias("b")))
     rooted = fps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    grouped = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component")
-    return rows.join(grouped, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_col), "fp", "component")
+    groups = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component")
+    return rows.join(groups, F.col("fp") == F.col("_fp")).select("id", "tie", "fp", "root", "component")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 64, radius: int = 4) -> DataFrame:
+    """``(id_col, fp, component)`` for each row; the component is the smallest id reachable over links.
+
+    All pairs within ``radius`` are linked, by exact probes.
+    """
+    found = grouped(df, id_col, text, shingle, bits, radius, exact_probes(radius, bits))
+    return found.select(F.col("id").alias(id_col), "fp", "component")
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """The Hamming distance expected of two texts whose shingle sets have this Jaccard similarity."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 128) -> DataFrame:
+    """The rows of ``df``, one of each group of near-duplicates: the one with the smallest id, null ids first."""
+    found = grouped(df, id_col, text, shingle, bits, radius_of(similarity, bits), None)
+    kept = found.groupBy("root").agg(F.min(F.struct("id", "tie")).alias("kept")).select("kept.*")
+    own = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
+    kept = kept.select(own("id").alias("_id"), F.col("tie").alias("_tie"))
+    rows = df.withColumns({"_id": own(id_col), "_tie": F.xxhash64(F.col(text))})
+    # repeated rows are equal in both keys; the join has already brought them together
+    return rows.join(kept, ["_id", "_tie"], "left_semi").dropDuplicates(["_id", "_tie"]).drop("_id", "_tie")
