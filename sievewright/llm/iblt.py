@@ -34,10 +34,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import need, tasks_for
 
 HASHES, CELLS, GROWTH, LONGEST, RANGES = 3, 30, 4, 64, 3
+#: Rows compared at a time, and cells held at a time.
+ROWS, MOST_CELLS = 128, 1 << 18
 _PIECE = re.compile(r"[^\n.!?]{1,%d}[.!?\n]*|[.!?\n]+" % LONGEST)
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _CELL = np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u4")])
@@ -70,14 +73,17 @@ def _cells(h: np.ndarray, size: int) -> np.ndarray:
     return np.stack([(_mixed(h, size * HASHES + i) % np.uint64(part)).astype(np.int64) + i * part for i in range(HASHES)])
 
 
-def sketch(h: np.ndarray, size: int = CELLS) -> np.ndarray:
-    cells = np.zeros(size, _CELL)
+def sketches(versions: list[np.ndarray], size: int = CELLS) -> np.ndarray:
+    """A row of cells for each array of digests."""
+    cells = np.zeros(len(versions) * size, _CELL)
+    h = np.concatenate(versions) if versions else np.empty(0, np.uint64)
     if len(h):
-        at = _cells(h, size).ravel()
-        np.add.at(cells["count"], at, 1)
+        row = np.repeat(np.arange(len(versions)) * size, [len(v) for v in versions])
+        at = (_cells(h, size) + row).ravel()
+        cells["count"] = np.bincount(at, minlength=len(cells))
         np.bitwise_xor.at(cells["key"], at, np.tile(h, HASHES))
         np.bitwise_xor.at(cells["check"], at, np.tile(_checks(h), HASHES))
-    return cells
+    return cells.reshape(len(versions), size)
 
 
 def subtract(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,49 +94,68 @@ def subtract(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def peel(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Digests that only the first and only the second version has; None if the sketch is too small."""
-    cells, only = cells.copy(), ([], [])
-    count, key, check = cells["count"], cells["key"], cells["check"]
-    while True:
-        pure = np.flatnonzero(np.abs(count) == 1)
-        pure = pure[_checks(key[pure]) == check[pure]] if len(pure) else pure
+def peel(cells: np.ndarray) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """For each row of subtracted cells the digests that only the first and only the second version has; None if cells are left."""
+    rows, size = cells.shape
+    count, key, check = (np.ascontiguousarray(cells[name]).ravel() for name in ("count", "key", "check"))
+    found_row, found_key, found_sign = [], [], []
+    maybe = np.arange(rows * size)
+    while len(maybe):
+        pure = maybe[np.abs(count[maybe]) == 1]
+        pure = pure[_checks(key[pure]) == check[pure]]
         if not len(pure):
             break
-        h, first = np.unique(key[pure], return_index=True)
-        sign = count[pure[first]]
-        for which, s in ((0, 1), (1, -1)):
-            only[which].append(h[sign == s])
-        at = _cells(h, len(cells)).ravel()
-        np.subtract.at(count, at, np.tile(sign, HASHES))
-        np.bitwise_xor.at(key, at, np.tile(h, HASHES))
-        np.bitwise_xor.at(check, at, np.tile(_checks(h), HASHES))
-    if count.any() or key.any():
-        return None
-    a, b = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in only)
-    return a, b
-
-
-def difference(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Digests only in ``a`` and only in ``b``, by sketches of growing size."""
-    size = CELLS
-    while size < 2 * abs(len(a) - len(b)):  # the counts alone show that it cannot do
-        size *= GROWTH
-    while size <= CELLS * GROWTH**3 * (1 + len(a) + len(b)):
-        found = peel(subtract(sketch(a, size), sketch(b, size)))
-        if found is not None:
-            return found
+        order = np.lexsort((pure // size, key[pure]))
+        pure = pure[order]
+        row, h = pure // size, key[pure]
+        new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
+        row, h, sign = row[new], h[new], count[pure][new]
+        found_row.append(row)
+        found_key.append(h)
+        found_sign.append(sign)
+        maybe = (_cells(h, size) + row * size).ravel()
+        np.subtract.at(count, maybe, np.tile(sign, HASHES))
+        np.bitwise_xor.at(key, maybe, np.tile(h, HASHES))
+        np.bitwise_xor.at(check, maybe, np.tile(_checks(h), HASHES))
+        maybe = np.unique(maybe)
+    left = (count.reshape(rows, size) != 0).any(axis=1) | (key.reshape(rows, size) != 0).any(axis=1)
+    row, h, sign = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_row, found_key, found_sign))
+    order = np.argsort(row, kind="stable")
+    edges = np.searchsorted(row[order], np.arange(rows + 1))
+    out: list[tuple[np.ndarray, np.ndarray] | None] = []
+    for i in range(rows):
+        mine = order[edges[i] : edges[i + 1]]
+        out.append(None if left[i] else (h[mine][sign[mine] > 0], h[mine][sign[mine] < 0]))
+    return out
+
+
+def differences(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair the digests only in ``a`` and only in ``b``, by sketches of growing size."""
+    out: list = [None] * len(a)
+    waiting, size = list(range(len(a))), CELLS
+    last = CELLS * GROWTH**3 * (1 + max((len(x) + len(y) for x, y in zip(a, b, strict=True)), default=0))
+    while waiting and size <= last:
+        # where the counts alone show that this size cannot do, it is not tried
+        now = [i for i in waiting if size >= 2 * abs(len(a[i]) - len(b[i]))]
+        step = max(1, MOST_CELLS // size)
+        for at in range(0, len(now), step):
+            some = now[at : at + step]
+            for i, found in zip(some, peel(subtract(sketches([a[i] for i in some], size), sketches([b[i] for i in some], size))), strict=True):
+                out[i] = found
+        waiting = [i for i in waiting if out[i] is None]
         size *= GROWTH
-    return np.setdiff1d(a, b), np.setdiff1d(b, a)  # digests that collide in cells and checks at every size
+    for i in waiting:  # digests that collide in cells and checks at every size
+        out[i] = np.setdiff1d(a[i], b[i]), np.setdiff1d(b[i], a[i])
+    return out
 
 
 def likeness(n_a: int, n_b: int, differing: int) -> float:
     return (n_a + n_b - differing) / (n_a + n_b + differing) if n_a + n_b else 1.0
 
 
-def encoded(h: np.ndarray) -> str:
-    """The fingerprint string: the number of digests, then the cells of the smallest sketch."""
-    return f"{len(h)}:{base64.b64encode(sketch(h).tobytes()).decode()}"
+def encoded(versions: list[np.ndarray]) -> list[str]:
+    """Fingerprint strings: the number of digests, then the cells of the smallest sketch."""
+    return [f"{len(h)}:{base64.b64encode(cells.tobytes()).decode()}" for h, cells in zip(versions, sketches(versions), strict=True)]
 
 
 def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
@@ -139,53 +164,68 @@ def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint") ->
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([encoded(digests(t)) for t in texts], dtype=object)
+        return pd.Series(encoded([digests(t) for t in texts]), dtype=object)
 
     return df.withColumn(name, of(F.col(text)))
 
 
-def reconcile(df: DataFrame, base: str, others: dict[str, str]) -> DataFrame:
-    """Add ``fingerprint`` of the column ``base`` and, for each ``name: column`` of ``others``, the struct
-    ``name (fingerprint, likeness, only_base, only_other)`` with the recovered digests."""
-    need(df, base, *others.values())
-    if clash := {"fingerprint", *others} & set(df.columns):
+_COMPARED = "struct<fingerprint: string, likeness: double, only_base: array<bigint>, only_other: array<bigint>>"
+
+
+def reconcile(df: DataFrame, base: str, others: dict[str, str], keep: list[str]) -> DataFrame:
+    """The columns ``keep``, ``fingerprint`` of the column ``base`` and, for each ``name: column`` of
+    ``others``, the struct ``name (fingerprint, likeness, only_base, only_other)`` with the recovered digests."""
+    need(df, base, *others.values(), *keep)
+    if clash := {"fingerprint", *others} & set(keep):
         raise ValueError(f"columns {sorted(clash)} are there already")
-    kind = "struct<fingerprint: string, likeness: double, only_base: array<bigint>, only_other: array<bigint>>"
-    schema = ", ".join(["fingerprint string", *(f"`{name}` {kind}" for name in others)])
-
-    @F.pandas_udf(schema)
-    def of(first: pd.Series, *rest: pd.Series) -> pd.DataFrame:
-        out: dict[str, list] = {"fingerprint": [], **{name: [] for name in others}}
-        for texts in zip(first, *rest, strict=True):
-            a = digests(texts[0])
-            out["fingerprint"].append(encoded(a))
-            for name, text in zip(others, texts[1:], strict=True):
-                b = digests(text)
-                only_a, only_b = difference(a, b)
-                out[name].append((encoded(b), likeness(len(a), len(b), len(only_a) + len(only_b)), np.sort(only_a).view(np.int64), np.sort(only_b).view(np.int64)))
-        frame = pd.DataFrame({"fingerprint": pd.Series(out["fingerprint"], dtype=object)})
-        for name in others:
-            frame[name] = pd.Series([dict(zip(("fingerprint", "likeness", "only_base", "only_other"), x, strict=True)) for x in out[name]], dtype=object)
-        return frame
-
-    added = df.withColumn("_found", of(F.col(base), *map(F.col, others.values())))
-    return added.select(*df.columns, "_found.*")
+    n = len(keep)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("fingerprint", pa.string()), ("likeness", pa.float64()), ("only_base", pa.list_(pa.int64())), ("only_other", pa.list_(pa.int64()))])
+        known: dict[str | None, np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                columns = [batch.column(n + i).to_pylist() for i in range(1 + len(others))]
+                # a text is often another's successor: its digests are kept until the next rows
+                fresh = {t: known[t] if t in known else digests(t) for t in dict.fromkeys(t for c in columns for t in c)}
+                known = fresh
+                first = [fresh[t] for t in columns[0]]
+                out = [pa.array(encoded(first), pa.string())]
+                for column in columns[1:]:
+                    other = [fresh[t] for t in column]
+                    found = differences(first, other)
+                    like = [likeness(len(x), len(y), len(p) + len(q)) for x, y, (p, q) in zip(first, other, found, strict=True)]
+                    lists = [pa.array([np.sort(f[i]).view(np.int64) for f in found], pa.list_(pa.int64())) for i in (0, 1)]
+                    out.append(pa.StructArray.from_arrays([pa.array(encoded(other), pa.string()), pa.array(like, pa.float64()), *lists], fields=list(kind)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *out], names=[*keep, "fingerprint", *others])
+
+    added = T.StructType.fromDDL(", ".join(["fingerprint string", *(f"`{name}` {_COMPARED}" for name in others)]))
+    kept = T.StructType([*df.select(*keep).schema.fields, *added.fields])
+    return df.select(*keep, F.col(base).alias("_base"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(others.values()))).mapInArrow(compare, kept)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Map over rows sorted by (range, sent ahead, id): each row with the next of its range."""
     last: tuple | None = None
     for batch in batches:
-        out = []
+        out: list[tuple] = []
         for place, ahead, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
             text = text.as_py()
             if last is not None and last[0] == place:
                 out.append((last[1], last[2], text))
             # of rows sent ahead only the first has a predecessor
             last = None if ahead else (place, doc, text)
+            if len(out) == ROWS:
+                yield _paired(out)
+                out = []
         if out:
-            ids, texts, following = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(following, pa.string())], names=["id", "text", "next_text"])
+            yield _paired(out)
+
+
+def _paired(rows: list[tuple]) -> pa.RecordBatch:
+    ids, texts, following = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(following, pa.string())], names=["id", "text", "next_text"])
 
 
 def successors(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
