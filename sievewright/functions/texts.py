@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that say nothing of a topic.
 STOPWORDS = (
@@ -139,7 +140,7 @@ def dates(text: Column) -> Column:
     return F.array_distinct(F.array_compact(valid))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalised(texts: pd.Series) -> pd.Series:
     """NFKC, case-folded, without Arabic marks, punctuation as spaces; SQL has no NFKC."""
     folded = texts.fillna("").map(lambda t: unicodedata.normalize("NFKC", t).casefold())

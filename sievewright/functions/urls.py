@@ -11,6 +11,7 @@ from urllib.parse import quote, unquote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Names of tracking parameters of the two canonicalisers.
 TRACKING = ("fbclid", "gclid", "dclid", "gbraid", "wbraid", "mc_cid", "mc_eid", "igshid", "ref", "ref_src", "cmpid", "ocid", "spm")
@@ -25,7 +26,7 @@ PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 def part(url: Column, i: int) -> Column:
     """1 scheme, 2 authority, 3 path, 4 query; empty where the text is no URL."""
-    return F.regexp_extract(F.trim(url), PARTS, i)
+    return F.regexp_extract(F.trim(F.coalesce(url, F.lit(""))), PARTS, i)
 
 
 def host(url: Column) -> Column:
@@ -65,7 +66,7 @@ def canonical_job(url: Column) -> Column:
     return F.when(part(url, 1).isin("http", "https"), made).otherwise(F.trim(F.coalesce(url, F.lit(""))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_path(paths: pd.Series) -> pd.Series:
     """Percent escapes in one spelling, for paths that have any."""
     return paths.map(lambda p: None if p is None else quote(unquote(p), safe="/:@!$&'()*+,;=-._~"))
