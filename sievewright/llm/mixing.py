@@ -71,7 +71,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget:
 def apportion(members: DataFrame, within: list[str], size: str, seats: Column, most: Column, order: list[Column], name: str) -> DataFrame:
     """Add ``name``: integer seats of each row among those equal in ``within``, by Sainte-Lague.
 
-    ``seats`` is the number to give out in each group, ``most`` a row's upper bound.
+    ``seats`` is the number to give out in each group.  ``most`` is a row's upper bound; it cuts what
+    rounding adds and is not passed on, as targets have passed on what is above their bounds.
     """
     group = Window.partitionBy(*within)
     rounded = lambda wanted: F.least(F.col("_most"), F.floor(F.col(size) * F.greatest(wanted, F.lit(0.0)) / F.col("_all") + 0.5))
