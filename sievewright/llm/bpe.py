@@ -1,16 +1,20 @@
 """Byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
-``encode`` cuts the rows into *chunks* of about ``CHUNK_CHARS`` characters and each
-text into pre-tokens (the matches of the tokenizer's pattern).  Two shuffles follow:
-
-1. every distinct pre-token of the corpus is encoded once, by rank merges;
-2. each chunk's distinct pre-tokens, each with the places where the chunk has it, take
-   their ids from that table and meet again in their chunk, which writes the ids into
-   their places and cuts them at the documents' ends.
-
-So a frequent word costs one row a chunk, not one an occurrence, and its places are
-delta-coded bytes.  The join that hands ids back is Spark's own, which splits a
-word that every chunk has; a task holds one chunk at a time.
+``encode`` cuts the rows into *chunks* of about ``CHUNK_CHARS`` characters and each text
+into pre-tokens (the matches of the tokenizer's pattern).  A chunk has a list of its
+distinct pre-tokens, and at each position a pre-token's rank in that list by
+frequency.  Two shuffles follow:
+
+1. the lists, dealt out by the words' hash into ``BUCKETS`` buckets a shuffle partition:
+   a bucket's task sees all chunks' words of that hash and encodes each distinct
+   one once, by rank merges;
+2. the ids of each bucket's words, back to the chunks, which put them in place of the
+   ranks and cut the result at the documents' ends.
+
+The positions travel as variable-length ranks beside the words, addressed by chunk, so
+a frequent word costs one entry a chunk and no bucket gets more than its share of words.
+A task holds one chunk, or one bucket's dictionary, at a time.  All blocks are
+compressed.
 
 ``decode`` joins the token-byte table: a gather over the vocabulary's concatenated
 bytes, of a size that the vocabulary fixes.
@@ -25,6 +29,8 @@ within a partition must be the same when a task runs again, as it is for files.
 from __future__ import annotations
 
 import base64
+import itertools
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,13 +39,21 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import tiktoken
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import need, tasks_for
 
 #: Characters of text in a chunk; a longer text is a chunk of its own.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 16_000_000
+#: Positions of a chunk worked on at a time.
+PIECE = 1 << 18
+#: Buckets of words for each shuffle partition.
+BUCKETS = 2
+_BLOCKS = "chunk string, bucket int, words binary, ranks binary, docs array<struct<doc: bigint, end: bigint>>"
+_DOCS = pa.list_(pa.struct([("doc", pa.int64()), ("end", pa.int64())]))
 
 
 @lru_cache(maxsize=4)
@@ -68,27 +82,44 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def pack(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each gap as 7-bit groups, low ones first, the last with a clear high bit; and the offset after each gap."""
-    gaps = gaps.astype(np.uint64)
-    groups = np.ones(len(gaps), np.int64)
+def pack(numbers: np.ndarray) -> np.ndarray:
+    """Each number as 7-bit groups, low ones first, the last with a clear high bit."""
+    numbers = numbers.astype(np.uint64)
+    groups = np.ones(len(numbers), np.int64)
     for s in (7, 14, 21, 28, 35):
-        groups += gaps >> np.uint64(s) > 0
+        groups += numbers >> np.uint64(s) > 0
     ends = np.cumsum(groups)
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
     for s in range(int(groups.max(initial=0))):
         has = groups > s
         more = (groups[has] > s + 1).astype(np.uint8) << 7
-        out[(ends - groups)[has] + s] = (gaps[has] >> np.uint64(7 * s) & np.uint64(127)).astype(np.uint8) | more
-    return out, ends
+        out[(ends - groups)[has] + s] = (numbers[has] >> np.uint64(7 * s) & np.uint64(127)).astype(np.uint8) | more
+    return out
 
 
-def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gaps from concatenated 7-bit groups, and for each the offset of its last byte."""
+def unpack(packed: np.ndarray) -> np.ndarray:
+    """The numbers that ``pack`` has written."""
     last = np.flatnonzero(packed < 128)
-    first = np.r_[0, last[:-1] + 1] if len(last) else last
-    at = np.arange(len(packed)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((packed & 127).astype(np.int64) << 7 * at, first) if len(first) else last, last
+    if not len(last):
+        return last
+    first = np.r_[0, last[:-1] + 1]
+    out = (packed[first] & 127).astype(np.int64)
+    for s in range(1, int((last - first).max()) + 1):
+        has = last - first >= s
+        out[has] |= (packed[first[has] + s] & 127).astype(np.int64) << 7 * s
+    return out
+
+
+def _squeeze(*parts: np.ndarray | bytes) -> bytes:
+    """Compressed byte blocks, each after its length."""
+    blocks = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
+    return zstandard.compress(b"".join([np.array([len(x) for x in blocks], "<u8").tobytes(), *blocks]), 3)
+
+
+def _expand(data: bytes, parts: int) -> list[np.ndarray]:
+    whole = np.frombuffer(zstandard.decompress(data), np.uint8)
+    sizes = whole[: 8 * parts].view("<u8").astype(np.int64)
+    return np.split(whole[8 * parts :], np.cumsum(sizes)[:-1])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str]]]:
@@ -107,134 +138,132 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None
         yield chunk
 
 
-def _words(pattern: str):
-    """Map: the distinct pre-tokens of each chunk."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        for chunk in _chunks(batches):
-            seen: set[str] = set()
-            for _, text in chunk:
-                seen.update(find(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
-
-    return words
+def _blocks(chunk: str, rows: list[tuple[int, bytes | None, bytes | None, list | None]]) -> pa.RecordBatch:
+    bucket, words, ranks, docs = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([chunk] * len(rows), pa.string()), pa.array(bucket, pa.int32()), pa.array(words, pa.binary()), pa.array(ranks, pa.binary()), pa.array(docs, _DOCS)],
+        names=["chunk", "bucket", "words", "ranks", "docs"],
+    )
 
 
-def _occurrences(pattern: str):
-    """Map: ``(chunk, word, places)``, and a row without word for the chunk's documents."""
+def _split(pattern: str, buckets: int):
+    """Map over rows ``(id, text)``: for each chunk a block of ranks (bucket -1) and a block of words for each bucket."""
     from pyspark import TaskContext
 
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, part = regex.compile(pattern).findall, TaskContext.get().partitionId()
         for number, chunk in enumerate(_chunks(batches)):
             code: dict[str, int] = {}
-            codes: list[int] = []
-            ends = []
-            for _, text in chunk:
-                codes += [code.setdefault(w, len(code)) for w in find(text)]
-                ends.append(len(codes))
-            of = np.array(codes, np.int64)
-            del codes
-            places = np.argsort(of, kind="stable")
-            edges = np.r_[0, np.cumsum(np.bincount(of, minlength=len(code)))]
-            sizes = np.diff(edges)
-            # one pass packs all words' places: the gaps of each word start again from 0
-            first = edges[:-1][sizes > 0]
-            gaps = np.diff(places, prepend=0)
-            gaps[first] = places[first]
-            packed, at = pack(gaps)
-            offsets = np.r_[0, at][edges] if len(at) else np.zeros(len(edges), np.int64)
-            blob = pa.Array.from_buffers(pa.large_binary(), len(code), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(packed)]).cast(pa.binary())
-            docs = [{"doc": doc, "end": end} for (doc, _), end in zip(chunk, ends, strict=True)]
-            n, name = len(code) + 1, f"{part}:{number}"
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * n, pa.string()),
-                    pa.array([*code, None], pa.string()),
-                    pa.concat_arrays([blob, pa.array([None], pa.binary())]),
-                    pa.array([None] * (n - 1) + [docs], pa.list_(pa.struct([("doc", pa.int64()), ("end", pa.int64())]))),
-                ],
-                names=["chunk", "word", "places", "docs"],
-            )
-
-    return occurrences
-
-
-def _encoder(path: str, pattern: str):
-    """Map: ``(word, ids)`` of distinct words."""
+            codes = array("I")
+            docs = []
+            for doc, text in chunk:
+                codes.extend([code.setdefault(w, len(code)) for w in find(text)])
+                docs.append({"doc": doc, "end": len(codes)})
+            of = np.frombuffer(codes, np.uint32)
+            by_rank = np.argsort(-np.bincount(of, minlength=len(code)), kind="stable")
+            rank = np.empty(len(code), np.int64)
+            rank[by_rank] = np.arange(len(code))
+            raw = [w.encode() for w in code]
+            own = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in raw), np.int32, len(raw))[by_rank]
+            ranks = b"".join(pack(rank[of[at : at + PIECE]]).tobytes() for at in range(0, len(of), PIECE))
+            rows: list[tuple] = [(-1, None, _squeeze(ranks, own.astype(np.min_scalar_type(buckets))), docs)]
+            order = np.argsort(own, kind="stable")
+            edges = np.searchsorted(own[order], np.arange(buckets + 1))
+            for b in range(buckets):
+                words = [raw[i] for i in by_rank[order[edges[b] : edges[b + 1]]].tolist()]
+                if words:
+                    rows.append((b, _squeeze(pack(np.fromiter(map(len, words), np.int64, len(words))), b"".join(words)), None, None))
+            yield _blocks(f"{part}:{number}", rows)
+
+    return split
+
+
+def _encode_words(path: str, pattern: str):
+    """Map over blocks sorted by bucket: words become ids, each distinct word of a bucket once."""
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = encoding(path, pattern)._encode_single_piece
+        bucket, known = -1, {}
         for batch in batches:
-            ids = [np.array(merge(w), "<u4").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["known", "ids"])
+            for row in range(batch.num_rows):
+                chunk, own, words, ranks, docs = (batch.column(i)[row].as_py() for i in range(5))
+                if own < 0:
+                    yield _blocks(chunk, [(own, None, ranks, docs)])
+                    continue
+                if own != bucket:
+                    bucket, known = own, {}
+                sizes, raw = _expand(words, 2)
+                ends, raw = np.cumsum(unpack(sizes)).tolist(), raw.tobytes()
+                found = []
+                for a, b in zip([0, *ends], ends, strict=False):
+                    word = raw[a:b]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = merge(word)
+                    found.append(ids)
+                counts = pack(np.fromiter(map(len, found), np.int64, len(found)))
+                yield _blocks(chunk, [(own, _squeeze(counts, pack(np.fromiter(itertools.chain.from_iterable(found), np.int64))), None, None)])
 
     return encode_words
 
 
-def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A binary column's bytes, and its offsets into them."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return data, offsets - offsets[0]
-
-
-def _reassemble(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map over rows sorted by chunk: each document's ids."""
-
-    def whole(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        marks = table.column("docs").combine_chunks()
-        row = int(np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False))[0])
-        docs = marks[row].as_py()
-        words = pa.concat_tables([table.slice(0, row), table.slice(row + 1)]).select(["places", "ids"]).combine_chunks()
-        ends = np.array([d["end"] for d in docs], np.int64)
-        total = int(ends[-1])
-        if words.num_rows:
-            packed, edges = _buffers(words.column("places").combine_chunks())
-            gaps, last = unpack(packed)
-            of = np.searchsorted(edges[1:], last, side="right")  # the row of each place
-            run = np.cumsum(gaps)
-            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            places = run - np.repeat((run - gaps)[starts], np.diff(np.r_[starts, len(of)]))
-            data, id_edges = _buffers(words.column("ids").combine_chunks())
-            ids, id_starts, id_sizes = data.view("<u4"), id_edges[:-1] // 4, np.diff(id_edges) // 4
-            row_at = np.empty(total, np.int64)
-            row_at[places] = of
-            sizes = id_sizes[row_at]
-            out = ids[spread(id_starts[row_at], sizes)]
-            cuts = np.r_[0, np.cumsum(sizes)][np.r_[0, ends]]
-        else:
-            out, cuts = np.empty(0, "<u4"), np.zeros(len(docs) + 1, np.int64)
-        blob = pa.Array.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer((cuts * 4).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(out))])
-        return pa.RecordBatch.from_arrays([pa.array([d["doc"] for d in docs], pa.int64()), blob.cast(pa.binary())], names=["id", "ids"])
-
-    held: list[pa.Table] = []
-    name = None
-    for batch in chunks:
-        names = batch.column(0)
-        edges = np.flatnonzero(np.r_[True, [a != b for a, b in zip(names[1:].to_pylist(), names[:-1].to_pylist(), strict=True)]]).tolist() if len(names) else []
-        for a, b in zip(edges, [*edges[1:], len(names)], strict=True):
-            if names[a].as_py() != name:
-                if held:
-                    yield whole(pa.concat_tables(held))
-                held, name = [], names[a].as_py()
-            held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
-    if held:
-        yield whole(pa.concat_tables(held))
+def _reassemble(buckets: int):
+    """Map over blocks sorted by chunk and bucket: each document's ids."""
+
+    def whole(ranks: bytes, docs: list[dict], blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        packed, own = _expand(ranks, 2)
+        at, own = unpack(packed).astype(np.uint32), own.view(np.min_scalar_type(buckets))
+        order = np.argsort(own, kind="stable")  # ranks as the buckets list them
+        listed = [_expand(b, 2) for b in blocks]
+        none = np.empty(0, np.int64)
+        sizes = np.concatenate([unpack(x) for x, _ in listed]) if listed else none
+        ids = np.concatenate([unpack(x) for _, x in listed]) if listed else none
+        starts = np.empty(len(own), np.int64)
+        counts = np.empty(len(own), np.int64)
+        starts[order], counts[order] = np.cumsum(sizes) - sizes, sizes
+        ids = ids.astype("<u4")
+        first = 0
+        while first < len(docs):
+            begin, last = docs[first - 1]["end"] if first else 0, first + 1
+            while last < len(docs) and docs[last]["end"] - begin <= PIECE:
+                last += 1
+            some = docs[first:last]
+            here = at[begin : some[-1]["end"]]
+            each = counts[here]
+            cuts = np.r_[0, np.cumsum(each)][np.array([0, *(d["end"] - begin for d in some)])] * 4
+            blob = pa.Array.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids[spread(starts[here], each)])])
+            yield pa.RecordBatch.from_arrays([pa.array([d["doc"] for d in some], pa.int64()), blob.cast(pa.binary())], names=["id", "ids"])
+            first = last
+
+    def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: tuple[bytes, list[dict]] | None = None
+        blocks: list[bytes] = []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                if batch.column(1)[row].as_py() < 0:
+                    if head:
+                        yield from whole(*head, blocks)
+                    head, blocks = (batch.column(3)[row].as_py(), batch.column(4)[row].as_py()), []
+                else:
+                    blocks.append(batch.column(2)[row].as_py())
+        if head:
+            yield from whole(*head, blocks)
+
+    return reassemble
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id_col, ids)`` for each row of ``df``; ``id_col`` is a bigint."""
     need(df, id_col, text)
+    tasks = tasks_for(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    words = rows.select("id", "text").mapInArrow(_words(pattern), "word string").distinct()
-    known = words.mapInArrow(_encoder(path, pattern), "known string, ids binary")
-    places = rows.mapInArrow(_occurrences(pattern), "chunk string, word string, places binary, docs array<struct<doc: bigint, end: bigint>>")
-    met = places.join(known, places.word == known.known, "left").select("chunk", "places", "docs", "ids")
-    return met.repartition(tasks_for(df.sparkSession), "chunk").sortWithinPartitions("chunk").mapInArrow(_reassemble, "id bigint, ids binary").withColumnRenamed("id", id_col)
+    split = rows.mapInArrow(_split(pattern, BUCKETS * tasks), _BLOCKS)
+    # words go to their bucket, ranks wherever their chunk's name falls
+    to = F.when(F.col("bucket") < 0, F.xxhash64("chunk")).otherwise(F.col("bucket").cast("long"))
+    dealt = split.withColumn("to", to).repartition(tasks, "to").sortWithinPartitions("bucket").drop("to")
+    known = dealt.mapInArrow(_encode_words(path, pattern), _BLOCKS)
+    back = known.repartition(tasks, "chunk").sortWithinPartitions("chunk", "bucket")
+    return back.mapInArrow(_reassemble(BUCKETS * tasks), "id bigint, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
