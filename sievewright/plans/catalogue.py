@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ladders, texts, times, urls
-from ..operators import html, tables
+from ..functions import jsons, ladders, texts, times, urls
+from ..operators import facts, html, identity, tables
+from ..sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -453,3 +454,101 @@ def link_degree_orphans(spark, sf_dir):
     edges = pages.select(F.col("host").alias("src"), F.regexp_replace("host", r"^(?:m|blog)\.", "").alias("dst"))
     nodes = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct()
     return tables.degrees(edges, nodes, "host")
+
+
+@query
+def identity_resolution(spark, sf_dir):
+    """Odd orders as articles against even ones as campaigns."""
+    orders = table(spark, sf_dir, "orders")
+    day = F.to_date("o_orderdate")
+    shaped = orders.select(
+        F.col("o_orderkey").alias("key"),
+        F.concat_ws(":", "o_custkey", F.year("o_orderdate"), "o_orderstatus").alias("identity_key"),
+        F.concat_ws(":", "o_custkey", "o_orderstatus").alias("semantic_key"),
+        F.col("o_orderpriority").alias("reference"),
+        F.concat(F.lit("http://www.h"), (F.col("o_orderkey") % 6 / 2).cast("int").cast("string"), F.lit(".example/jobs/"), F.col("o_custkey").cast("string"), F.lit("/")).alias("apply_url"),
+        day.alias("posted"),
+        F.date_add(day, 30).alias("deadline"),
+        F.floor(F.col("o_totalprice") / 50_000).cast("int").alias("positions"),
+        F.lit(None).cast("string").alias("salary"),
+        F.concat_ws("-", "o_orderstatus", F.col("o_orderkey") % 4 < 2).alias("signature"),
+        (F.col("o_orderkey") % 7).cast("int").alias("strength"),
+        (F.col("o_orderkey") % 5 != 0).alias("complete"),
+    )
+    articles = shaped.filter("key % 2 = 1").withColumnRenamed("key", "article_id")
+    return identity.resolve(articles, shaped.filter("key % 2 = 0").withColumnRenamed("key", "campaign_id"))
+
+
+@query
+def posting_documents(spark, sf_dir):
+    """A posting of every part, and what keeps it from being valid."""
+    given = {
+        "title": F.col("p_name"),
+        "company": F.when(F.col("p_partkey") % 7 == 0, F.lit(" ")).otherwise(F.col("p_brand")),
+        "posted": F.lit("2024-01-01"),
+        "location": F.when(F.col("p_size") > 40, F.lit("")).otherwise(F.col("p_type")),
+        "deadline": F.when(F.col("p_size") > 25, F.lit("2024-03-01")).otherwise(F.lit("2024-01-15")),
+    }
+    errors = jsons.posting_errors(given, _now())
+    document = jsons.posting(given["title"], given["company"], given["posted"], given["location"], given["deadline"], F.lit(None).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.sha1(document).alias("document"), F.array_join(errors, ",").alias("errors"))
+
+
+@query
+def reply_repair(spark, sf_dir):
+    """Fenced replies made from event properties: the value that the repair gives."""
+    reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Sure: "), F.col("props"), F.lit(" done"))).otherwise(F.lit("none"))
+    value = F.try_variant_get(jsons.repaired(reply), "$.k", "int")
+    return table(spark, sf_dir, "events").select("event_id", value.alias("k"), F.array_join(jsons.missing_keys(reply, ("k",)), ",").alias("missing"))
+
+
+@query
+def line_facts(spark, sf_dir):
+    """Facts written as labelled lines for every supplier, and those that a shorter text lacks."""
+    text = F.concat(F.lit("Posts: "), F.floor("s_acctbal").cast("string"), F.lit("\nCity :  Rabat "), F.col("s_nationkey").cast("string"), F.lit("\nfree text"))
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text"))
+    found = facts.best(facts.from_lines(suppliers, "s_suppkey", "text", {"positions": "^Posts", "location": "^City"}), "s_suppkey")
+    output = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("in rabat "), F.col("s_nationkey").cast("string"))).otherwise(F.concat(F.lit("with "), F.floor("s_acctbal").cast("string"), F.lit(" posts")))
+    outputs = table(spark, sf_dir, "supplier").select("s_suppkey", output.alias("output"))
+    lacks = facts.missing(found, outputs, "s_suppkey", "output", ("positions",))
+    return lacks.select("s_suppkey", F.array_join("blocking", ",").alias("blocking"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query
+def semantic_index(spark, sf_dir):
+    """The last three even orders of each customer, with one odd order more."""
+    orders = table(spark, sf_dir, "orders")
+    held = orders.filter("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
+    more = orders.filter("o_orderkey % 2 = 1").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("one"))
+    return sinks.append_semantic(held, more, "k", "ids", "one", 3).select("k", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
+
+
+@query
+def budgeted_rows(spark, sf_dir):
+    """Turns of each conversation while they fit 1,000 characters together."""
+    turns = table(spark, sf_dir, "conversations")
+    return readers.within_budget(turns, ["conv_id"], F.char_length("text"), 1_000, "turn", "role", "text").select("conv_id", "turn")
+
+
+@query
+def listing_links(spark, sf_dir):
+    """Links of every page that the general filter keeps."""
+    return readers.listing(table(spark, sf_dir, "pages"), "page_id", "html", "url").select("page_url", "title", "url", "reference")
+
+
+@query
+def log_tail(spark, sf_dir):
+    """The newest 672 events as a bounded log, new ones appended."""
+    events = table(spark, sf_dir, "events").select("event_id", times.micros(F.col("ts")).alias("us"))
+    return sinks.bounded_log(events.filter("event_id % 2 = 0"), events.filter("event_id % 2 = 1"), 672, "us", "event_id").select("event_id")
+
+
+@query
+def weekly_slots(spark, sf_dir):
+    """Purchases by 50-minute slot of the week, and the next slot with one."""
+    minute = F.weekday("ts") * 1440 + F.hour("ts") * 60 + F.minute("ts")
+    slot = F.floor(minute / 50).cast("int")
+    counted = table(spark, sf_dir, "events").filter("event_type = 'purchase'").groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
+    from pyspark.sql import Window
+
+    return counted.withColumn("next_slot", F.lead("slot").over(Window.partitionBy(F.floor(F.col("slot") / 29)).orderBy("slot")))

@@ -144,4 +144,36 @@ SQL: dict[str, str] = {
         t as (select *, row_number() over (partition by user_id order by ts, event_id) nth from m where g = 0),
         c as (select user_id, count(*) failures, max(case when value > 100 then epoch_us(ts) + 3600000000 when nth >= 3 then epoch_us(ts) + 2700000000 end) cooldown_us from t group by 1)
         select e.user_id::varchar as source, coalesce(max(failures), 0)::int as failures, max(cooldown_us) as cooldown_us, max(epoch_us(ts)) as last_us from events e left join c using (user_id) group by 1""",
+    "identity_resolution": """with o as (select o_orderkey key, o_custkey || ':' || year(o_orderdate) || ':' || o_orderstatus ik, o_custkey || ':' || o_orderstatus sk, o_orderpriority ref,
+          (o_orderkey % 6 // 2) h, o_custkey cust, o_orderdate::date posted, o_orderdate::date + 30 deadline, floor(o_totalprice / 50000)::int pos,
+          o_orderstatus || '-' || (o_orderkey % 4 < 2) sig, (o_orderkey % 7)::int st, o_orderkey % 5 <> 0 done from orders),
+        a as (select * from o where key % 2 = 1), r as (select * from o where key % 2 = 0),
+        m as (select a.key article_id, r.key campaign_id, a, r from a join r on a.ik = r.ik
+          union all select a.key, r.key, a, r from a join r on a.sk = r.sk where a.ik not in (select ik from r)),
+        e as (select *, least(a.st, r.st) >= 4 as strong, a.pos <> r.pos or a.deadline <> r.deadline or (a.h, a.cust) <> (r.h, r.cust) or (a.done and least(a.st, r.st) >= 4 and a.sig <> r.sig) as changed,
+          date_diff('day', r.posted, a.posted) as apart from m),
+        w as (select *, case when not a.done then 'pending' when strong and a.sig = r.sig then 'same' when strong then 'different' else 'unknown' end as rel,
+          (a.deadline = r.deadline)::int + (a.pos > 0 and a.pos = r.pos)::int + (abs(apart) <= 3)::int + 4 * (a.h = r.h)::int as weight from e),
+        x as (select *, a.done and (rel = 'same' or (rel <> 'different' and weight >= 6)) as one from w),
+        d as (select article_id, campaign_id, case when date_diff('day', r.deadline, a.posted) >= 90 or apart >= 330 then 'new_campaign'
+          when a.ref = r.ref or (a.h, a.cust) = (r.h, r.cust) then case when not a.done then 'hold' when changed then 'update' else 'duplicate' end
+          when a.sk <> r.sk then 'new' when one then 'duplicate' else 'new_campaign' end as action from x),
+        p as (select *, list_position(['update', 'duplicate', 'hold', 'new_campaign', 'new'], action) rank from d),
+        b as (select * from p qualify row_number() over (partition by article_id order by rank, campaign_id) = 1)
+        select a.key as article_id, coalesce(action, 'new') as action, case when action <> 'new' then campaign_id end as campaign_id from a left join b on a.key = b.article_id""",
+    "posting_documents": """select p_partkey, sha1('{"@context":"https://schema.org","@type":"JobPosting","title":"' || p_name || '"'
+        || case when p_partkey % 7 = 0 then '' else ',"hiringOrganization":{"@type":"Organization","name":"' || p_brand || '"}' end || ',"datePosted":"2024-01-01","validThrough":"'
+        || case when p_size > 25 then '2024-03-01' else '2024-01-15' end || '"'
+        || case when p_size > 40 then '' else ',"jobLocation":{"@type":"Place","address":{"@type":"PostalAddress","addressLocality":"' || p_type || '"}}' end || '}') as document,
+        concat_ws(',', case when p_partkey % 7 = 0 then 'missing_company' end, case when p_size <= 25 then 'expired' end, case when p_size > 40 then 'missing_location' end) as errors from part""",
+    "reply_repair": """select event_id, case when event_id % 3 < 2 then (props::json->>'$.k')::int end as k, case when event_id % 3 < 2 then '' else 'k' end as missing from events""",
+    "line_facts": """select s_suppkey, case when s_suppkey % 2 = 0 then 'positions=' || floor(s_acctbal)::bigint else '' end as blocking,
+        case when s_suppkey % 2 = 0 then '' else 'location=Rabat ' || s_nationkey end as warnings from supplier""",
+    "semantic_index": """with e as (select o_custkey k, list(o_orderkey order by o_orderkey) ids from orders where o_orderkey % 2 = 0 group by 1),
+        m as (select o_custkey k, max(o_orderkey) one from orders where o_orderkey % 2 = 1 group by 1)
+        select coalesce(e.k, m.k) as k, array_to_string(list_slice(case when one is null then ids else list_append(coalesce(ids, []), one) end, -3, -1), ' ') as ids from e full join m on e.k = m.k""",
+    "budgeted_rows": "select conv_id, turn from conversations qualify sum(length(text)) over (partition by conv_id order by turn, role, text rows unbounded preceding) <= 1000",
+    "log_tail": "select event_id from events order by ts desc, event_id desc limit 672",
+    "weekly_slots": """with s as (select ((isodow(ts) - 1) * 1440 + hour(ts) * 60 + minute(ts)) // 50 as slot, count(*) n from events where event_type = 'purchase' group by 1)
+        select slot::int as slot, n, (lead(slot) over (partition by slot // 29 order by slot))::int as next_slot from s""",
 }
