@@ -146,3 +146,42 @@ def normalised(texts: pd.Series) -> pd.Series:
     folded = texts.fillna("").map(lambda t: unicodedata.normalize("NFKC", t).casefold())
     marks = folded.str.replace("[ً-ٰٟ]", "", regex=True)
     return marks.str.replace(r"[^\w؀-ۿ]+", " ", regex=True).str.strip()
+
+
+# Month names in English, French and Arabic, folded as ``folded`` does.
+MONTHS = {
+    1: "january jan janvier يناير", 2: "february feb fevrier فبراير", 3: "march mar mars مارس", 4: "april apr avril ابريل",
+    5: "may mai ماي مايو", 6: "june jun juin يونيو", 7: "july jul juillet يوليوز يوليو", 8: "august aug aout غشت اغسطس",
+    9: "september sept sep septembre شتنبر سبتمبر", 10: "october oct octobre اكتوبر", 11: "november nov novembre نونبر نوفمبر", 12: "december dec decembre دجنبر ديسمبر",
+}
+# Labels of a deadline, folded.
+DEADLINE_LABELS = "اخر اجل|الى غاية|قبل|date limite|dernier delai|deadline|last date|cloture|jusqu(?:'|’)?au|avant le"
+
+
+def folded(text: Column) -> Column:
+    """Lower case, one space at a time, Arabic marks dropped and letter forms united, French accents dropped."""
+    plain = F.translate(F.lower(clean(text)), "أإآى", "اااي")
+    plain = F.translate(plain, "àâçéèêëîïôùûü", "aaceeeeiiouuu")
+    return F.regexp_replace(plain, "[ً-ٰٟـ]", "")
+
+
+def _month(name: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for n, names in MONTHS.items() for name_ in names.split() for x in (name_, f"{n:02d}")))
+    return table[name]
+
+
+_NAMES = "|".join(sorted((n for names in MONTHS.values() for n in names.split()), key=len, reverse=True))
+
+
+def written_dates(text: Column) -> Column:
+    """Distinct valid dates ``yyyy-MM-dd`` written with a month's name, in order."""
+    found = F.regexp_extract_all(folded(text), F.lit(rf"(?<![0-9])[0-9]{{1,2}} (?:{_NAMES}) [0-9]{{4}}(?![0-9])"), F.lit(0))
+    iso = F.transform(found, lambda d: F.concat_ws("-", F.split(d, " ")[2], _month(F.split(d, " ")[1]), F.lpad(F.split(d, " ")[0], 2, "0")))
+    valid = F.transform(iso, lambda d: F.date_format(F.try_to_date(d, "yyyy-MM-dd"), "yyyy-MM-dd"))
+    return F.array_distinct(F.array_compact(valid))
+
+
+def deadline(text: Column, labels: str = DEADLINE_LABELS) -> Column:
+    """The first date after a label, at most 45 characters on; null for none."""
+    after = F.regexp_extract(folded(text), rf"(?:{labels})[^0-9]{{0,45}}([0-9]{{1,4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,4}}|[0-9]{{1,2}} (?:{_NAMES}) [0-9]{{4}})", 1)
+    return F.try_element_at(F.concat(dates(after), written_dates(after)), F.lit(1))

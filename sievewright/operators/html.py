@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HIDDEN = {"script", "style", "noscript", "template"}
@@ -117,3 +117,22 @@ def parsed(df: DataFrame, id_col: str, html: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, _TYPES[1:], strict=True))], names=["id", "title", "text", "blocks", "tables", "links"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(html).alias("html")).mapInArrow(run, SCHEMA).withColumnRenamed("id", id_col)
+
+
+# Cell texts that say nothing.
+EMPTY_VALUES = ("", "0", "0.0", "unknown", "none", "null", "غير محدد", "غير متوفر")
+
+
+def without_empty_rows(html: Column) -> Column:
+    """Generated markup without the table rows whose last of two or more cells says nothing."""
+    cell = r"<t[hd]\b[^>]*>(?:(?!</?t[rhd]\b).)*</t[hd]>\s*"
+    values = "|".join(re.escape(v).replace("\\ ", r"\s+") for v in EMPTY_VALUES)
+    return F.regexp_replace(html, rf"(?is)<tr\b[^>]*>\s*(?:{cell})+<t[hd]\b[^>]*>\s*(?:{values})\s*</t[hd]>\s*</tr>", "")
+
+
+def with_links(html: Column, links: Column, title: str) -> Column:
+    """Markup with a list of the ``(href, label)`` links that it lacks at its end."""
+    absent = F.filter(links, lambda x: ~F.contains(html, x["href"]))
+    safe = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "&", "&amp;"), "<", "&lt;"), '"', "&quot;")
+    items = F.transform(absent, lambda x: F.concat(F.lit('<li><a href="'), safe(x["href"]), F.lit('">'), safe(x["label"]), F.lit("</a></li>")))
+    return F.when(F.size(absent) == 0, html).otherwise(F.concat(html, F.lit(f"<h2>{title}</h2><ul>"), F.array_join(items, ""), F.lit("</ul>")))

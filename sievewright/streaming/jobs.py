@@ -81,3 +81,16 @@ def _health(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
 def source_health(outcomes: DataFrame) -> DataFrame:
     """Health of each source of the stream ``(source, at, n, outcome)``, updated batch by batch."""
     return outcomes.groupBy("source").applyInPandasWithState(_health, HEALTH, "failures int, cooldown bigint", "update", GroupStateTimeout.NoTimeout)
+
+
+def global_circuit(providers: DataFrame, now: Any) -> DataFrame:
+    """``(open, until)`` of ``providers (provider, until)``: open while every provider's circuit is, until the earliest closes."""
+    still = F.coalesce(F.col("until") > now, F.lit(False))
+    all_open = F.coalesce(F.bool_and(still), F.lit(False))
+    return providers.agg(all_open.alias("open"), F.when(all_open, F.min("until")).alias("until"))
+
+
+def reset(state: DataFrame, lost: Any, columns: list[str]) -> DataFrame:
+    """A state table with the cursors of the rows whose queue was lost set back."""
+    kept = lambda c: F.when(~F.coalesce(lost, F.lit(False)), F.col(c)).alias(c)
+    return state.select(*(kept(c) if c in columns else F.col(c) for c in state.columns))

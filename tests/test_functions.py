@@ -6,8 +6,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.functions import ladders, texts, times, urls
+from sievewright.functions import ladders, numbers, texts, times, urls
 from sievewright.operators import html, tables
+from sievewright.streaming import jobs
 from sievewright.streaming.jobs import health_step
 
 
@@ -125,3 +126,34 @@ def test_health_machine():
     assert health_step(2, None, at, "failure") == (3, at + pd.Timedelta(minutes=45))
     assert health_step(0, None, at, "429")[1] == at + dt.timedelta(minutes=60)
     assert health_step(5, at, at, "success") == (0, None)
+
+
+def test_written_dates_and_deadlines(spark):
+    assert value(spark, texts.written_dates(F.lit("le 3 Février 2024, 5 May 2024, 10 أبريل 2024, 31 juin 2024"))) == ["2024-02-03", "2024-05-05", "2024-04-10"]
+    assert value(spark, texts.deadline(F.lit("Publié le 1/1/2024. Date limite : 15/02/2024 à 10:00"))) == "2024-02-15"
+    assert value(spark, texts.deadline(F.lit("آخر أجل : 7 مارس 2024"))) == "2024-03-07"
+    assert value(spark, texts.deadline(F.lit(None).cast("string"))) is None
+
+
+def test_rewriting_markup(spark):
+    table = "<table><tr><th>A</th><td>1</td></tr><tr><th>B</th><td> unknown </td></tr></table>"
+    assert value(spark, html.without_empty_rows(F.lit(table))) == "<table><tr><th>A</th><td>1</td></tr></table>"
+    links = F.array(F.struct(F.lit("/a").alias("href"), F.lit("A").alias("label")), F.struct(F.lit("/b?x=1&y").alias("href"), F.lit("<B>").alias("label")))
+    assert value(spark, html.with_links(F.lit('<a href="/a">A</a>'), links, "More")) == '<a href="/a">A</a><h2>More</h2><ul><li><a href="/b?x=1&amp;y">&lt;B></a></li></ul>'
+
+
+def test_global_circuit(spark):
+    at = lambda *t: spark.createDataFrame([(str(i), x) for i, x in enumerate(t)], "provider string, until string").withColumn("until", F.to_timestamp("until"))
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    shut = jobs.global_circuit(at("2024-01-01 13:00:00", "2024-01-01 12:30:00"), now).collect()[0]
+    assert shut.open and str(shut.until) == "2024-01-01 12:30:00"
+    assert not jobs.global_circuit(at("2024-01-01 13:00:00", None), now).collect()[0].open
+    assert not jobs.global_circuit(at(), now).collect()[0].open
+
+
+def test_numbers(spark):
+    assert tuple(value(spark, numbers.salary_range(F.lit("de 8.000 à ١٢ ٥٠٠ DH")))) == (8000.0, 12500.0)
+    assert value(spark, numbers.positions(F.lit("nombre de postes : 25"))) == 25
+    assert value(spark, numbers.next_page(F.lit("https://x/?a=1&page=9#z"))) == "https://x/?a=1&page=10"
+    assert value(spark, numbers.feed_links(F.lit('<link rel="alternate" type="application/rss+xml" href="/f.xml">'))) == ["/f.xml"]
+    assert numbers.object_after('x = {"a": {"b": "}"}} tail', "x") == '{"a": {"b": "}"}}' and numbers.object_after("x = {", "x") is None
