@@ -113,5 +113,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op4_bpe": op4_bpe, "op5_media": op5_media, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_secrets": op8_secrets, "op9_iblt": op9_iblt, "op10_langid": op10_langid}
 
 
+#: The rules of ``trigrams.RULES`` for DuckDB, which has no possessive quantifiers: kind, pattern, condition on a match ``m``.
+_SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "length(regexp_extract(m, '{p}', 2)) >= 6"),
+    ("access", r"AKIA[A-Z0-9]+", "length(m) >= 20"),
+    ("hex", r"[0-9a-f]{24,}", "true"),  # a run of fewer has no match, a longer one has one
+    ("private_key", r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----", "true"),
+    ("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", "true"),
+    ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", "true"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
+    ("url", r"[a-z]{3,12}://[A-Za-z0-9._-]{1,64}:[A-Za-z0-9._-]{3,64}@", "true"),
+)
+
+
+def _secrets_sql() -> str:
+    rules = []
+    for rank, (kind, pattern, keep) in enumerate(_SECRETS):
+        p = pattern.replace("'", "''")
+        places = f"""select doc_id, unnest(ms) m, unnest(list_transform(range(1, len(ms) + 1),
+            lambda i: coalesce(list_sum(list_transform(gs[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0)))::bigint s
+            from (select doc_id, regexp_extract_all(text, '{p}') ms, string_split_regex(text, '{p}') gs from documents where regexp_matches(text, '{p}'))"""
+        rules.append(f"select doc_id, {rank} as rank, '{kind}' as kind, s, s + length(m) as e from ({places}) where {keep.format(p=p)}")
+    joined = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rank){f}, '')"
+    base = "filter (where rank < 3)"
+    counts = ", ".join(f"count(*) filter (where kind = '{kind}') as n_{kind}" for kind, *_ in _SECRETS[:3])
+    return f"""with spans as ({" union all ".join(rules)})
+        select d.doc_id, {counts}, sha256({joined.format(f=" " + base)}) as base_sha256, {joined.format(f="")} as spans
+        from documents d left join spans using (doc_id) group by d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express: the others hash with XXH64, fit models, or encode."""
+    return {"op8_secrets": _secrets_sql()}
