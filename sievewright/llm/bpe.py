@@ -29,6 +29,8 @@ within a partition must be the same when a task runs again, as it is for files.
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import itertools
 from array import array
 from collections.abc import Iterator
@@ -47,7 +49,7 @@ from pyspark.sql import functions as F
 from .common import need, tasks_for
 
 #: Characters of text in a chunk; a longer text is a chunk of its own.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 14_000_000
 #: Positions of a chunk worked on at a time.
 PIECE = 1 << 18
 #: Buckets of words for each shuffle partition.
@@ -98,15 +100,20 @@ def pack(numbers: np.ndarray) -> np.ndarray:
 
 
 def unpack(packed: np.ndarray) -> np.ndarray:
-    """The numbers that ``pack`` has written."""
-    last = np.flatnonzero(packed < 128)
-    if not len(last):
-        return last
-    first = np.r_[0, last[:-1] + 1]
-    out = (packed[first] & 127).astype(np.int64)
-    for s in range(1, int((last - first).max()) + 1):
-        has = last - first >= s
-        out[has] |= (packed[first[has] + s] & 127).astype(np.int64) << 7 * s
+    """The numbers under 2^32 that ``pack`` has written, some at a time."""
+    ends = packed < 128
+    out = np.empty(int(np.count_nonzero(ends)), np.uint32)
+    at = done = 0
+    while at < len(packed):
+        last = np.flatnonzero(ends[at : at + 4 * PIECE])
+        part = packed[at : at + int(last[-1]) + 1]
+        first = np.r_[0, last[:-1] + 1]
+        found = (part[first] & 127).astype(np.uint32)
+        for s in range(1, int((last - first).max()) + 1):
+            has = last - first >= s
+            found[has] |= (part[first[has] + s] & 127).astype(np.uint32) << np.uint32(7 * s)
+        out[done : done + len(found)] = found
+        at, done = at + len(part), done + len(found)
     return out
 
 
@@ -122,22 +129,6 @@ def _expand(data: bytes, parts: int) -> list[np.ndarray]:
     return np.split(whole[8 * parts :], np.cumsum(sizes)[:-1])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str]]]:
-    """Rows ``(id, text)`` of a partition, in chunks."""
-    chunk, chars = [], 0
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for i, doc in enumerate(ids):
-            text = texts[i].as_py() or ""
-            if chunk and chars + len(text) > CHUNK_CHARS:
-                yield chunk
-                chunk, chars = [], 0
-            chunk.append((doc, text))
-            chars += len(text)
-    if chunk:
-        yield chunk
-
-
 def _blocks(chunk: str, rows: list[tuple[int, bytes | None, bytes | None, list | None]]) -> pa.RecordBatch:
     bucket, words, ranks, docs = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
@@ -150,30 +141,48 @@ def _split(pattern: str, buckets: int):
     """Map over rows ``(id, text)``: for each chunk a block of ranks (bucket -1) and a block of words for each bucket."""
     from pyspark import TaskContext
 
+    find = regex.compile(pattern).findall
+
+    def blocks(name: str, words: list[str], of: np.ndarray, docs: list[dict]) -> pa.RecordBatch:
+        by_rank = np.argsort(-np.bincount(of, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[by_rank] = np.arange(len(words), dtype=np.uint32)
+        ranks = b"".join(pack(rank[of[at : at + PIECE]]).tobytes() for at in range(0, len(of), PIECE))
+        raw = [w.encode() for w in words]
+        words.clear()
+        own = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in raw), np.int32, len(raw))[by_rank]
+        rows: list[tuple] = [(-1, None, _squeeze(ranks, own.astype(np.min_scalar_type(buckets))), docs)]
+        order = np.argsort(own, kind="stable")
+        edges = np.searchsorted(own[order], np.arange(buckets + 1))
+        for b in range(buckets):
+            listed = [raw[i] for i in by_rank[order[edges[b] : edges[b + 1]]].tolist()]
+            if listed:
+                rows.append((b, _squeeze(pack(np.fromiter(map(len, listed), np.int64, len(listed))), b"".join(listed)), None, None))
+        return _blocks(name, rows)
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, part = regex.compile(pattern).findall, TaskContext.get().partitionId()
-        for number, chunk in enumerate(_chunks(batches)):
-            code: dict[str, int] = {}
-            codes = array("I")
-            docs = []
-            for doc, text in chunk:
+        part, number = TaskContext.get().partitionId(), 0
+        code: dict[str, int] = {}
+        codes, docs, chars = array("I"), [], 0
+
+        def chunk() -> pa.RecordBatch:
+            nonlocal code, codes, docs, chars, number
+            words, of, ends = list(code), np.frombuffer(codes, np.uint32), docs
+            code, codes, docs, chars, number = {}, array("I"), [], 0, number + 1
+            return blocks(f"{part}:{number}", words, of, ends)
+
+        for batch in batches:
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                if docs and chars + len(text) > CHUNK_CHARS:
+                    yield chunk()
+                    _trim()
                 codes.extend([code.setdefault(w, len(code)) for w in find(text)])
-                docs.append({"doc": doc, "end": len(codes)})
-            of = np.frombuffer(codes, np.uint32)
-            by_rank = np.argsort(-np.bincount(of, minlength=len(code)), kind="stable")
-            rank = np.empty(len(code), np.int64)
-            rank[by_rank] = np.arange(len(code))
-            raw = [w.encode() for w in code]
-            own = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in raw), np.int32, len(raw))[by_rank]
-            ranks = b"".join(pack(rank[of[at : at + PIECE]]).tobytes() for at in range(0, len(of), PIECE))
-            rows: list[tuple] = [(-1, None, _squeeze(ranks, own.astype(np.min_scalar_type(buckets))), docs)]
-            order = np.argsort(own, kind="stable")
-            edges = np.searchsorted(own[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                words = [raw[i] for i in by_rank[order[edges[b] : edges[b + 1]]].tolist()]
-                if words:
-                    rows.append((b, _squeeze(pack(np.fromiter(map(len, words), np.int64, len(words))), b"".join(words)), None, None))
-            yield _blocks(f"{part}:{number}", rows)
+                docs.append({"doc": doc.as_py(), "end": len(codes)})
+                chars += len(text)
+        if docs:
+            yield chunk()
+        _trim()
 
     return split
 
@@ -203,25 +212,45 @@ def _encode_words(path: str, pattern: str):
                     found.append(ids)
                 counts = pack(np.fromiter(map(len, found), np.int64, len(found)))
                 yield _blocks(chunk, [(own, _squeeze(counts, pack(np.fromiter(itertools.chain.from_iterable(found), np.int64))), None, None)])
+        known = {}
+        _trim()
 
     return encode_words
 
 
-def _reassemble(buckets: int):
-    """Map over blocks sorted by chunk and bucket: each document's ids."""
+def _trim() -> None:
+    """Give freed memory back, as an idle worker keeps its process."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def decoded(path: str, ids: np.ndarray) -> np.ndarray:
+    """The bytes of tokens, one after another: the join with the token-byte table."""
+    table, starts, sizes = token_bytes(path)
+    return table[spread(starts[ids], sizes[ids])]
+
+
+def _packed(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Bytes cut at offsets, as a binary column."""
+    blob = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    return blob.cast(pa.binary())
+
+
+def _reassemble(buckets: int, path: str | None):
+    """Map over blocks sorted by chunk and bucket: each document's ids, and their decoding if there is a path."""
 
     def whole(ranks: bytes, docs: list[dict], blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
         packed, own = _expand(ranks, 2)
-        at, own = unpack(packed).astype(np.uint32), own.view(np.min_scalar_type(buckets))
+        at, own = unpack(packed), own.view(np.min_scalar_type(buckets))
         order = np.argsort(own, kind="stable")  # ranks as the buckets list them
         listed = [_expand(b, 2) for b in blocks]
-        none = np.empty(0, np.int64)
+        none = np.empty(0, np.uint32)
         sizes = np.concatenate([unpack(x) for x, _ in listed]) if listed else none
         ids = np.concatenate([unpack(x) for _, x in listed]) if listed else none
         starts = np.empty(len(own), np.int64)
         counts = np.empty(len(own), np.int64)
-        starts[order], counts[order] = np.cumsum(sizes) - sizes, sizes
-        ids = ids.astype("<u4")
+        starts[order], counts[order] = np.cumsum(sizes, dtype=np.int64) - sizes, sizes
         first = 0
         while first < len(docs):
             begin, last = docs[first - 1]["end"] if first else 0, first + 1
@@ -230,9 +259,12 @@ def _reassemble(buckets: int):
             some = docs[first:last]
             here = at[begin : some[-1]["end"]]
             each = counts[here]
-            cuts = np.r_[0, np.cumsum(each)][np.array([0, *(d["end"] - begin for d in some)])] * 4
-            blob = pa.Array.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids[spread(starts[here], each)])])
-            yield pa.RecordBatch.from_arrays([pa.array([d["doc"] for d in some], pa.int64()), blob.cast(pa.binary())], names=["id", "ids"])
+            tokens = ids[spread(starts[here], each)]
+            cuts = np.r_[0, np.cumsum(each)][np.array([0, *(d["end"] - begin for d in some)])]
+            columns = [pa.array([d["doc"] for d in some], pa.int64()), _packed(tokens, cuts * 4)]
+            if path:
+                columns.append(_packed(decoded(path, tokens), np.r_[0, np.cumsum(token_bytes(path)[2][tokens])][cuts]))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "decoded"][: len(columns)])
             first = last
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,17 +275,23 @@ def _reassemble(buckets: int):
                 if batch.column(1)[row].as_py() < 0:
                     if head:
                         yield from whole(*head, blocks)
+                        _trim()
                     head, blocks = (batch.column(3)[row].as_py(), batch.column(4)[row].as_py()), []
                 else:
                     blocks.append(batch.column(2)[row].as_py())
         if head:
             yield from whole(*head, blocks)
+        head, blocks = None, []
+        _trim()
 
     return reassemble
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id_col, ids)`` for each row of ``df``; ``id_col`` is a bigint."""
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text", round_trip: bool = False) -> DataFrame:
+    """``(id_col, ids)`` for each row of ``df``; ``id_col`` is a bigint.
+
+    With ``round_trip`` also ``decoded``, as ``decode`` adds it, in the task that has the ids at hand.
+    """
     need(df, id_col, text)
     tasks = tasks_for(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
@@ -263,7 +301,9 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text:
     dealt = split.withColumn("to", to).repartition(tasks, "to").sortWithinPartitions("bucket").drop("to")
     known = dealt.mapInArrow(_encode_words(path, pattern), _BLOCKS)
     back = known.repartition(tasks, "chunk").sortWithinPartitions("chunk", "bucket")
-    return back.mapInArrow(_reassemble(BUCKETS * tasks), "id bigint, ids binary").withColumnRenamed("id", id_col)
+    return back.mapInArrow(
+        _reassemble(BUCKETS * tasks, path if round_trip else None), "id bigint, ids binary" + ", decoded binary" * round_trip
+    ).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -274,14 +314,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") ->
 
     @F.pandas_udf("binary")
     def of(column: pd.Series) -> pd.Series:
-        table, starts, sizes = token_bytes(path)
-        out = []
-        for packed in column:
-            if packed is None:
-                out.append(None)
-                continue
-            tokens = np.frombuffer(packed, "<u4")
-            out.append(table[spread(starts[tokens], sizes[tokens])].tobytes())
-        return pd.Series(out, dtype=object)
+        return pd.Series([None if packed is None else decoded(path, np.frombuffer(packed, "<u4")).tobytes() for packed in column], dtype=object)
 
     return df.withColumn(name, of(F.col(ids)))

@@ -112,6 +112,8 @@ def test_encoding_equals_the_library_and_decodes(odd, empty):
     got = bpe.decode(bpe.encode(odd, PATH, public_tokenizers.PATTERN), PATH).collect()
     want = sorted((str(i), tuple(whole.encode_ordinary(t or "")), (t or "").encode()) for i, t, *_ in ODD)
     assert sorted((str(r.doc_id), tuple(np.frombuffer(r.ids, "<u4").tolist()), bytes(r.decoded)) for r in got) == want
+    again = bpe.encode(odd, PATH, public_tokenizers.PATTERN, round_trip=True).collect()
+    assert sorted((str(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in again) == sorted((str(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in got)
     assert bpe.encode(empty, PATH, public_tokenizers.PATTERN).count() == 0
 
 
