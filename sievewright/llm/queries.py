@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, iblt, langid, media, mixing, pii, simhash, spans, toxicity, trigrams
+from . import bpe, iblt, langid, media, mixing, pii, simhash, spans, toxicity, training_order, trigrams
 from .common import documents, fold
 
 
@@ -31,6 +31,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sequences of byte ids, read back from the shards of the training order."""
+    found = training_order.read_order(training_order.write_order(documents(spark, sf_dir)))
+    return found.select(F.col("id").alias("doc_id"), "part", "slot", F.col("n").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's token ids and their decoding, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -110,7 +116,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op4_bpe": op4_bpe, "op5_media": op5_media, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_secrets": op8_secrets, "op9_iblt": op9_iblt, "op10_langid": op10_langid}
+    return {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_training_order": op3_training_order, "op4_bpe": op4_bpe, "op5_media": op5_media, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_secrets": op8_secrets, "op9_iblt": op9_iblt, "op10_langid": op10_langid}
 
 
 #: The rules of ``trigrams.RULES`` for DuckDB, which has no possessive quantifiers: kind, pattern, condition on a match ``m``.

@@ -374,3 +374,28 @@ def test_secret_query_matches_its_oracle(spark):
     mine = sorted(map(tuple, queries.op8_secrets(spark, folder).collect()))
     columns = "doc_id, n_assign, n_access, n_hex, base_sha256, spans"
     assert mine == sorted(con.sql(f"select {columns} from ({queries.oracle_sql()['op8_secrets']})").fetchall())
+
+
+# Training order
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 1_000])
+def test_slots_are_a_permutation(n):
+    from sievewright.llm import training_order
+
+    got = training_order.slots(np.arange(n), n).tolist()
+    assert sorted(got) == list(range(n)) and (n < 17 or got != list(range(n)))
+
+
+def test_training_order_round_trip(odd, empty):
+    from sievewright.llm import training_order
+
+    shards = training_order.write_order(odd, length=64, per_shard=100)
+    rows = training_order.read_order(shards, 64).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    want = sorted((str(i), len((t or "").encode()) + 1) for i, t, *_ in ODD)
+    ends = [(str(r.id), r.part * 64 + r.n) for r in rows if bytes(r.ids)[-2:] == b"\x00\x01"]
+    assert sorted(ends) == want
+    long = b"".join(bytes(r.ids) for r in sorted((r for r in rows if r.id == 4), key=lambda r: r.part))
+    assert np.frombuffer(long, "<u2")[:-1].astype(np.uint8).tobytes().decode() == LONG
+    assert training_order.write_order(empty).count() == 0
