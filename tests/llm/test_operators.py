@@ -305,6 +305,39 @@ def test_one_of_each_group_stays(spark, odd, empty):
     assert simhash.representatives(empty).count() == 0 and simhash.near_duplicates(odd).count() == len(ODD)
 
 
+def copies(rng, n_words, similarities):
+    """A text, and one for each similarity: as many words at its end are others as bring it there."""
+    words = [f"w{rng.randrange(10**6)}" for _ in range(n_words)]
+    shingles = n_words - 4
+    out = [" ".join(words)]
+    for s in similarities:
+        kept = round(2 * s / (1 + s) * shingles) + 4
+        out.append(" ".join(words[:kept] + [f"z{rng.randrange(10**6)}" for _ in range(n_words - kept)]))
+    return out
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_from_the_asked_similarity_on(spark):
+    rng = random.Random(11)
+    pairs = [copies(rng, n, [s]) for n in (64, 304) for s in (0.81, 0.83, 0.85, 0.9) for _ in range(25)]
+    assert all(jaccard(*p) >= 0.8 for p in pairs)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(t for p in pairs for t in p)], "doc_id bigint, text string")
+    got = {r.doc_id for r in simhash.representatives(df).collect()}
+    assert len(got & set(range(0, 400, 2))) == 200 and len(got) <= 201  # a pair at 0.8 is missed once in 9,000
+
+
+def test_a_chain_of_sets_links_as_by_brute_force(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 200, 8)]  # neighbours are similar, the ends share nothing
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert jaccard(texts[0], texts[1]) >= 0.8 > jaccard(texts[0], texts[2])
+    assert [r.doc_id for r in simhash.representatives(df).collect()] == [0]
+
+
 # Invertible Bloom lookup sketches
 
 
