@@ -330,6 +330,17 @@ def test_near_duplicates_from_the_asked_similarity_on(spark):
     assert len(got & set(range(0, 400, 2))) == 200 and len(got) <= 201  # a pair at 0.8 is missed once in 9,000
 
 
+def test_texts_below_the_asked_similarity_stay(spark):
+    rng = random.Random(12)
+    texts = [t for n in (64, 304) for _ in range(25) for t in copies(rng, n, [0.78, 0.74, 0.7])]
+    assert all(jaccard(texts[i], texts[i + k]) < 0.8 for i in range(0, len(texts), 4) for k in (1, 2, 3))
+    # of each text's copies, those similar to one another are linked, and none to what it is not similar to
+    edges = [(i, j) for at in range(0, len(texts), 4) for i in range(at, at + 4) for j in range(i + 1, at + 4) if jaccard(texts[i], texts[j]) >= 0.8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id for r in simhash.representatives(df).collect()}
+    assert got == set(range(len(texts))) - {j for _, j in edges}
+
+
 def test_a_chain_of_sets_links_as_by_brute_force(spark):
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(words[i : i + 100]) for i in range(0, 200, 8)]  # neighbours are similar, the ends share nothing
