@@ -12,8 +12,8 @@ so no row's tokens are either.
 Scale: the quotients of a seat that can go either way are few: with divisor ``total /
 (seats - n / 2)`` rounding gives at most the seats wanted, with ``total / (seats +
 n / 2)`` at least as many, so only the seats between are ranked, about two a member.
-Rows meet by (source, shard); a source that holds a third of all rows
-has as many more shards.  One row for each source, and one for each shard of a source,
+Rows meet by (source, shard); a source has shards by its own rows and words, so that what the
+last block of a shard lacks is little beside the shard, whatever else there is.  One row for each source, and one for each shard of a source,
 is all that is ordered in one place.  Nothing is collected or broadcast by this module.
 
 Defined results: sources are ordered by code point, a null source is a source of its
@@ -33,6 +33,8 @@ from .common import WORD, cut, need
 #: None of a block count under 10^15 is a multiple of five of these.
 STRIDES = (1_009, 10_007, 100_003, 1_000_003, 10_000_019)
 ROWS_PER_SHARD = 4_096
+#: Blocks of a shard, at least, where a source has more than one.
+BLOCKS_PER_SHARD = 128
 SEED = 42
 
 
@@ -122,8 +124,10 @@ def mix(
             words(F.col(text)).alias("size"),
         )
     )
-    shards = max(1, -(-sized.count() // rows_per_shard))
-    sized = sized.withColumns({"none": F.col("source").isNull(), "named": F.coalesce("source", F.lit("")), "shard": F.pmod("key", F.lit(shards))})
+    sized = sized.withColumns({"none": F.col("source").isNull(), "named": F.coalesce("source", F.lit(""))})
+    shards = F.least(F.ceil(F.count("*") / rows_per_shard), F.floor(F.sum("size") / (block_tokens * BLOCKS_PER_SHARD)))
+    shards = sized.groupBy("none", "named").agg(F.greatest(shards, F.lit(1)).cast("long").alias("shards"))
+    sized = sized.join(shards, ["none", "named"]).withColumn("shard", F.pmod("key", "shards")).drop("shards")
     by = ["none", "named", "shard"]
     per_shard = sized.groupBy(*by).agg(F.sum("size").alias("shard_size"))
     per_source = per_shard.groupBy("none", "named").agg(F.sum("shard_size").alias("source_size"))

@@ -66,6 +66,15 @@ def test_mix_comes_near_its_targets(spark):
     assert words == sum(r.taken for r in got)
 
 
+def test_a_rare_source_meets_its_target_beside_a_large_one(spark):
+    large = [(i, "w w", "large") for i in range(20_000)]
+    rare = [(20_000 + i, " ".join(["w"] * 40), source) for source in ("rare", None) for i in range(500)]
+    df = spark.createDataFrame(large + rare, "doc_id bigint, text string, source string")
+    for block in (32, 128):
+        got = mixing.mix(df, budget=1.9, block_tokens=block, rows_per_shard=16).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+        assert len(got) == 3 and all(r.taken == pytest.approx(r.target, rel=0.02) for r in got)
+
+
 def test_mix_of_odd_rows(odd, empty):
     got = mixing.mix(odd).collect()
     assert len(got) == len(ODD) and all(r.taken <= 2 * r.size for r in got)
