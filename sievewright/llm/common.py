@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with more than one in ``HOT`` of all rows is hot; there are fewer than ``HOT`` of them.
+HOT, SALTS = 256, 16
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +20,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``; only where none is named
-    (a local test session) a temporary one is set."""
+    """The folder the session names in ``spark.checkpoint.dir``; where none is named, a temporary one
+    in a local session, an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievewright-checkpoint-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
@@ -35,9 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def reread(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: for tables with texts."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -56,3 +66,33 @@ def need(df: DataFrame, *columns: str) -> None:
     """Fail early, naming what is missing."""
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def absent(df: DataFrame, *columns: str) -> None:
+    """Fail early where a column to be added is there already, in any case of its letters."""
+    have = {c.lower() for c in df.columns}
+    if clash := [c for c in columns if c.lower() in have]:
+        raise ValueError(f"columns {', '.join(clash)} are there already")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of its letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the one row of ``lookup`` that has their ``key``; both are read twice.
+
+    Keys of more than one in ``HOT`` rows are hot.  Their rows are dealt out under ``SALTS`` salts, with a
+    copy of the lookup's row for each, so no task gets all rows of a key.  What is broadcast
+    is the hot keys: fewer than ``HOT``.
+    """
+    rest = [c for c in rows.columns if c != key]
+    total = rows.count()
+    hot = F.broadcast(rows.groupBy(key).count().filter(F.col("count") * HOT > total).select(F.col(key).alias("_hot")))
+    salted = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*rest), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    dealt = lookup.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot").isNotNull(), SALTS - 1).otherwise(0)))).drop("_hot")
+    return salted.join(dealt, [key, "_salt"]).drop("_salt")

@@ -8,31 +8,32 @@ links into groups and ``near_duplicates`` does all three.
 at radius 4 of 64 bits it prunes little.  So the trees are sharded by *probes*:
 masks that select some of the bits.  Fingerprints that agree under a probe meet
 in one shard, which builds its own tree, children keyed by their integer Hamming
-distance to the parent, and follows only the edges within the radius.  With
-``exact`` probes every pair within the radius agrees under at least one (cut
-the bits into ``radius + 2`` runs: two fingerprints differing in ``radius`` bits
-agree on two runs whole, and there is a probe for every two runs), so no link is
-lost.  Nothing is broadcast.  A shard of more
-than ``SHARD`` fingerprints is split by hash; each two of its parts meet in a
-block of their own, so a task never holds more than two parts.
-
-A tree is traversed by all of its shard's fingerprints at once, level by level
-as it is built; a subtree that already hangs together through its parent is
-not searched by those that hang together with the parent too.  A shard yields its
-components as stars, not its pairs: the links' number follows the fingerprints'.
+distance to the parent, and each of them asks the tree, following only the edges within
+the radius of its distance.  The bits are cut into ``radius + agree`` runs, with a probe for every
+``agree`` of them: two fingerprints within the radius agree on that many runs whole, so no link is
+lost.  ``agree`` is the least number at which a shard has about ``TREE`` fingerprints or fewer, so
+the shards are as coarse, and the probes as few, as the number of fingerprints allows.
+Nothing is broadcast.  A shard of more than ``SHARD`` fingerprints is split by hash; each two
+of its parts meet in a block of their own, so a task never holds more than two parts.
+
+All trees of a batch of shards grow and are searched level by level together, in arrays; the
+search holds at most ``FRONT`` steps at a time.  Where connectivity is all that is asked, a subtree
+that already hangs together through its parent is not searched by those that hang
+together with the parent too, and a shard yields its components as stars, not its pairs: the links'
+number follows the fingerprints'.
 
 *Similarity.*  ``representatives`` links texts by the Jaccard similarity of their
-sets of shingles.  Sets meet where one of ``BANDS`` keys agrees, each of ``WIDTH`` of
-the set's minima under multiplied hashes: a pair at 0.8 is missed once in 9,000.
-Fingerprints of the sets and their sizes rule out pairs that are far apart, and each
-of the others is decided by the two sets themselves.  In ``STARS`` rounds the sets of a
-key meet one of theirs; what then still hangs apart meets pair by pair, so a large group
-of near copies does not make all its pairs.
+sets of shingles.  Sets meet in shards where one of ``BANDS`` keys agrees, each of ``WIDTH`` of
+the set's minima under multiplied hashes: a pair at 0.8 is missed once in 9,000.  In ``STARS``
+rounds the sets of a key meet one of theirs, so a large group of near copies does not make all
+its pairs; what then still hangs apart asks the shard's BK-tree of 128-bit fingerprints, at a radius
+that a pair of the asked similarity hardly ever exceeds.  Every candidate is decided by the two sets themselves.
 
 Defined results: words are separated by ASCII white space, A-Z are lower-cased; a
 null or empty text and one without words have fingerprint zero and are linked like
 any other; a text of fewer words than a shingle is one shingle.  The component of
-rows whose ids are all null is null.  Repeated rows fall in one component.
+rows whose ids are all null is null.  Repeated rows fall in one component.  An empty table gives
+no rows.  Other columns pass through ``representatives``, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,14 +46,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, need, reread, tasks_for
+from .common import absent, cut, free, need, reread, spread_join, tasks_for
 
 SEED = 42
-#: Most fingerprints of a part of a shard, and of a leaf of a tree.
-SHARD, LEAF = 16_384, 48
+#: Most fingerprints of a part of a shard; fingerprints of a shard as probes are chosen; steps of a search held at a time.
+SHARD, TREE, FRONT = 16_384, 1_024, 1 << 20
 #: A part of the fingerprints tells which shards are large.
 PART = 16
 #: Keys of a set of shingles, and the minima of each.
@@ -61,8 +62,6 @@ BANDS, WIDTH = 30, 6
 SPREAD = 4
 #: Rounds in which the sets of a key meet one of theirs.
 STARS = 2
-#: Shards up to this size are compared row by neighbouring row, many at once.
-FEW = 12
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _HASHES = 1 << 16
 
@@ -127,6 +126,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 def fingerprint(df: DataFrame, text: str = "text", shingle: int = 5, bits: int = 64, name: str = "fp") -> DataFrame:
     """Add ``name``: array<bigint> of ``bits / 64`` lanes (the unsigned lanes' bits)."""
     need(df, text)
+    absent(df, name)
     if bits % 64 or bits <= 0:
         raise ValueError("bits is a positive multiple of 64")
     lanes = bits // 64
@@ -138,11 +138,16 @@ def fingerprint(df: DataFrame, text: str = "text", shingle: int = 5, bits: int =
     return df.withColumn(name, of(F.col(text)))
 
 
-def exact_probes(radius: int, bits: int = 64) -> list[int]:
+def exact_probes(radius: int, bits: int = 64, agree: int = 2) -> list[int]:
     """Bit masks; fingerprints within ``radius`` agree under at least one."""
-    edges = np.linspace(0, bits, radius + 3).astype(int).tolist()
+    edges = np.linspace(0, bits, radius + agree + 1).astype(int).tolist()
     runs = [(1 << b) - (1 << a) for a, b in itertools.pairwise(edges)]
-    return [a | b for a, b in itertools.combinations(runs, 2)]
+    return [sum(some) for some in itertools.combinations(runs, agree)]
+
+
+def agreement(n: int, radius: int, bits: int = 64) -> int:
+    """The least number of runs to agree on at which a shard of ``n`` even fingerprints has at most ``TREE``."""
+    return next((k for k in range(radius) if n <= TREE << int(bits * k / (radius + k))), radius)
 
 
 def _signed(x: int) -> int:
@@ -189,93 +194,152 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
-def bk_groups(x: np.ndarray, radius: int) -> np.ndarray:
-    """For each row of ``x`` (lanes) the smallest row number it is linked to within ``radius`` steps."""
-    groups, work = Groups(len(x)), [(np.arange(len(x)), np.arange(len(x)))]
-    while work:
-        tree, asking = work.pop()
-        if len(tree) <= LEAF:
-            for at in range(0, len(asking), 1 << 14):
-                some = asking[at : at + (1 << 14)]
-                q, t = np.nonzero(apart(x[some][:, None], x[tree][None]) <= radius)
-                groups.add(some[q], tree[t])
+class Forest:
+    """BK-trees of many shards: ``x`` are rows of lanes, ``shard`` their shards' numbers, ascending from 0.
+
+    Level by level: ``roots`` are the nodes of a level, ``children`` the keys ``node * width + distance`` of the
+    next level's nodes, in order, so the children within a range of distances are a range of places.
+    """
+
+    def __init__(self, x: np.ndarray, shard: np.ndarray) -> None:
+        self.x, self.width = x, 64 * x.shape[1] + 1
+        self.roots: list[np.ndarray] = []
+        self.children: list[np.ndarray] = []
+        #: each row's distance to its parent and the parent; a root of a shard is its own
+        self.parent, self.edge = np.arange(len(x)), np.zeros(len(x), np.int64)
+        self.steps = 0
+        rows, node = np.arange(len(x)), shard
+        while len(rows):
+            first = np.r_[True, node[1:] != node[:-1]]
+            roots = rows[first]
+            self.roots.append(roots)
+            rows, node = rows[~first], node[~first]
+            self.parent[rows] = roots[node]
+            self.edge[rows] = apart(x[rows], x[roots[node]])
+            keys = node * self.width + self.edge[rows]
+            order = np.argsort(keys, kind="stable")
+            rows, keys = rows[order], keys[order]
+            children, node = np.unique(keys, return_inverse=True)
+            self.children.append(children)
+
+    def near(self, asking: np.ndarray, shard: np.ndarray, radius: int, connect: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (asking row, row) of a shard within ``radius``; with ``connect`` only enough to connect them,
+        as rows hang together with a parent that is within the radius."""
+        # a piece of work: rows asking, the first node of each and how many nodes of the level it asks
+        work = [(0, asking, shard, np.ones(len(asking), np.int64))] if len(asking) else []
+        while work:
+            level, rows, start, count = work.pop()
+            ends = np.cumsum(count)
+            if len(rows) > 1 and ends[-1] > FRONT:
+                half = min(max(1, int(np.searchsorted(ends, ends[-1] // 2))), len(rows) - 1)
+                work += [(level, rows[half:], start[half:], count[half:]), (level, rows[:half], start[:half], count[:half])]
+                continue
+            node = np.arange(ends[-1]) + np.repeat(start - (ends - count), count)
+            rows = np.repeat(rows, count)
+            root = self.roots[level][node]
+            far = apart(self.x[rows], self.x[root]).astype(np.int64)
+            self.steps += len(rows)
+            held = far <= radius
+            yield rows[held], root[held]
+            if level + 1 < len(self.roots):
+                base, keys = node * self.width, self.children[level]
+                least = np.where(held & connect, radius + 1, np.maximum(far - radius, 0))
+                low = np.searchsorted(keys, base + least)
+                n = np.searchsorted(keys, base + np.minimum(far + radius, self.width - 1), side="right") - low
+                more = n > 0
+                if more.any():
+                    work.append((level + 1, rows[more], low[more], n[more]))
+
+
+def shard_groups(x: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, int]:
+    """For each row the smallest row of its shard it is linked to within ``radius`` steps, and the steps of the search."""
+    forest, groups = Forest(x, shard), Groups(len(x))
+    close = np.flatnonzero((forest.edge <= radius) & (forest.parent != np.arange(len(x))))
+    groups.add(close, forest.parent[close])
+    for a, b in forest.near(np.arange(len(x)), shard, radius, connect=True):
+        groups.add(a, b)
+    return groups.settle(), forest.steps
+
+
+def _shards(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray | pa.Array]]:
+    """Columns of whole shards, some at a time, of rows sorted by their first ``keys`` columns; the shards' numbers come first."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> list[np.ndarray | pa.Array]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = np.stack([table.column(i).to_numpy() for i in range(keys)], axis=1)
+        columns = [table.column(i).combine_chunks() for i in range(keys, table.num_columns)]
+        return [np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(axis=1)]), *columns]
+
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        root, rest = tree[0], tree[1:]
-        of_rest, of_asking = apart(x[rest], x[root]), apart(x[asking], x[root])
-        held = of_asking <= radius
-        groups.add(asking[held], np.full(int(held.sum()), root))
-        order = np.argsort(of_rest, kind="stable")
-        edges, first = np.unique(of_rest[order], return_index=True)
-        for edge, child in zip(edges.tolist(), np.split(rest[order], first[1:]), strict=True):
-            near = np.abs(of_asking - edge) <= radius
-            if edge <= radius:
-                near &= ~held  # the child's members and these hang together through the root
-                groups.add(child, np.full(len(child), root))
-            if near.any():
-                work.append((child, asking[near]))
-    return groups.settle()
+        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], axis=1)
+        edge = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
+        if edge:
+            held.append(batch.slice(0, edge))
+            yield whole()
+            held = []
+        held.append(batch.slice(edge))
+    if held:
+        yield whole()
+
+
+def _lanes_of(column: pa.Array, lanes: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
 
 
 def _shard_links(radius: int, lanes: int):
-    """A map over rows sorted by shard: links of the rows of each."""
+    """A map over rows sorted by shard: links of the fingerprints of each, found through its tree."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def done(key: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True]) if len(key) else np.zeros(1, int)
-            size = np.diff(edge)
-            a, b = [], []
-            few = np.repeat((size > 1) & (size <= FEW), size)
-            group = np.repeat(np.arange(len(size)), size)
-            at = np.flatnonzero(few)
-            for step in range(1, FEW):
-                at = at[at + step < len(key)]
-                at = at[group[at] == group[at + step]]
-                near = at[apart(x[at], x[at + step]) <= radius]
-                a.append(near)
-                b.append(near + step)
-            for g in np.flatnonzero(size > FEW):
-                label = bk_groups(x[edge[g] : edge[g + 1]], radius)
-                linked = np.flatnonzero(label != np.arange(len(label)))
-                a.append(edge[g] + label[linked])
-                b.append(edge[g] + linked)
-            a, b = np.concatenate(a), np.concatenate(b)
-            of = lambda i: pa.FixedSizeListArray.from_arrays(pa.array(x[i].view(np.int64).ravel()), lanes).cast(pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([of(a), of(b)], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
-            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
-            cut_at = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
-            if cut_at:
-                held.append((key[:cut_at], x[:cut_at]))
-                yield done(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]))
-                held = []
-            held.append((key[cut_at:], x[cut_at:]))
-        if held:
-            yield done(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]))
+        of = lambda x, i: pa.FixedSizeListArray.from_arrays(pa.array(x[i].view(np.int64).ravel()), lanes).cast(pa.list_(pa.int64()))
+        for shard, fp in _shards(batches, 3):
+            x = _lanes_of(fp, lanes)
+            label, _ = shard_groups(x, shard, radius)
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([of(x, label[linked]), of(x, linked)], names=["a", "b"])
 
     return links
 
 
-def link(fps: DataFrame, radius: int, masks: list[int], lanes: int = 1, fp: str = "fp") -> DataFrame:
-    """Links ``(a, b)`` between distinct fingerprints, enough to connect all within ``radius`` under a common probe."""
-    spark = fps.sparkSession
-    keyed = fps.select(F.col(fp).alias("fp"), F.explode(_keys(F.col(fp), masks, lanes)).alias("key"))
-    # which shards to split is estimated from a part of the fingerprints; the links are the same however they are split
-    part = keyed.filter(F.pmod(F.xxhash64("fp", F.lit(SEED)), F.lit(PART)) == 0).groupBy("key").agg((F.count("*") * PART).alias("n"))
+def _tree_pairs(radius: int, lanes: int, similarity: float):
+    """A map over sets ``(key, i, j, node, n, label, fp)`` sorted by shard: pairs of different labels that a tree finds within the radius."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, *columns, fp in _shards(batches, 3):
+            node, n, label = (c.to_numpy(zero_copy_only=False) for c in columns)
+            # of two labels one is not the first row's: its rows ask
+            lead = label[np.r_[0, np.flatnonzero(np.diff(shard)) + 1]][shard]
+            asking = np.flatnonzero(label != lead)
+            for a, b in Forest(_lanes_of(fp, lanes), shard).near(asking, shard[asking], radius):
+                kept = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
+                a, b = node[a[kept]], node[b[kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return pairs
+
+
+def blocks(keyed: DataFrame, by: str) -> DataFrame:
+    """``keyed``, of columns ``key`` and others, with ``i, j``: the two parts of its shard that meet in a block.
+
+    ``by`` names the column that deals a large shard's rows into parts.
+    """
+    # which shards to split is estimated from a part of the rows; the pairs are the same however they are split
+    part = keyed.filter(F.pmod(F.xxhash64(by, F.lit(SEED)), F.lit(PART)) == 0).groupBy("key").agg((F.count("*") * PART).alias("n"))
     large = cut(part.filter(F.col("n") > SHARD).select(F.col("key").alias("large"), F.ceil(F.col("n") / SHARD).cast("int").alias("parts")))
     if large.isEmpty():
-        blocks = keyed.withColumns({"part": F.lit(0), "other": F.lit(0)})
-    else:
-        parts = F.coalesce("parts", F.lit(1))
-        placed = keyed.join(large, keyed.key == large.large, "left").select("key", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"))
-        blocks = placed.select("key", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    shards = blocks.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp")
-    shards = shards.repartition(tasks_for(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return keyed.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    parts = F.coalesce("parts", F.lit(1))
+    placed = keyed.join(large, keyed.key == large.large, "left").withColumn("_parts", parts).drop("large", "parts")
+    placed = placed.withColumn("_part", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return placed.withColumns({"i": F.least("_part", "_other"), "j": F.greatest("_part", "_other")}).drop("_parts", "_part", "_other")
+
+
+def link(fps: DataFrame, radius: int, masks: list[int], lanes: int = 1, fp: str = "fp") -> DataFrame:
+    """Links ``(a, b)`` between distinct fingerprints, enough to connect all within ``radius`` under a common probe."""
+    keyed = fps.select(F.explode(_keys(F.col(fp), masks, lanes)).alias("key"), F.col(fp).alias("fp"))
+    shards = blocks(keyed, "fp").select("key", "i", "j", "fp").repartition(tasks_for(fps.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return shards.mapInArrow(_shard_links(radius, lanes), "a array<bigint>, b array<bigint>").distinct()
 
 
@@ -299,20 +363,21 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def grouped(df: DataFrame, id_col: str, text: str, shingle: int, bits: int, radius: int, masks: list[int]) -> DataFrame:
-    """``(id, tie, fp, root, component)`` for each row: the text's hash, its fingerprint, its group and the group's smallest id."""
+def grouped(df: DataFrame, id_col: str, text: str, shingle: int, bits: int, radius: int) -> DataFrame:
+    """``(id, fp, component)`` for each row: its fingerprint and its group's smallest id."""
     need(df, id_col, text)
     lanes = bits // 64
     named = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    rows = cut(fingerprint(named, "text", shingle, bits).select("id", F.xxhash64("text").alias("tie"), "fp"))
+    rows = cut(fingerprint(named, "text", shingle, bits).select("id", "fp"))
     of = lambda c: F.col(c)[0] if lanes == 1 else F.xxhash64(c)
     fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", of("fp")))
-    edges = link(fps, radius, masks, lanes)
+    edges = link(fps, radius, exact_probes(radius, bits, agreement(fps.count(), radius, bits)), lanes)
     roots = components(edges.select(of("a").alias("a"), of("b").alias("b")))
-    rooted = fps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    groups = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component")
-    return rows.join(groups, F.col("fp") == F.col("_fp")).select("id", "tie", "fp", "root", "component")
+    linked = cut(fps.join(roots, "node").select("root", "fp", "least"))
+    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    joined = spread_join(linked, least, "root").select("fp", "component")
+    alone = fps.join(roots, "node", "left_anti").select("fp", F.col("least").alias("component"))
+    return spread_join(rows, joined.union(alone), "fp").select("id", "fp", "component")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 64, radius: int = 4) -> DataFrame:
@@ -320,8 +385,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
 
     All pairs within ``radius`` are linked, by exact probes.
     """
-    found = grouped(df, id_col, text, shingle, bits, radius, exact_probes(radius, bits))
-    return found.select(F.col("id").alias(id_col), "fp", "component")
+    return grouped(df, id_col, text, shingle, bits, radius).withColumnRenamed("id", id_col)
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -356,64 +420,67 @@ def similar(sets: DataFrame, texts: DataFrame, shingle: int, similarity: float,
     """
     lanes, spark = bits // 64, sets.sparkSession
     radius = radius_of(similarity, bits)
-    at_key = Window.partitionBy("key")
-    posted = sets.select("node", "n", "fp", F.explode("keys").alias("key")).withColumn("_n", F.count("*").over(at_key))
-    posted = cut(posted.filter("_n > 1").drop("_n"))
+    keyed = sets.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").count().filter("count > 1").select("key")
+    met = cut(keyed.join(shared, "key", "left_semi"))
+    nodes = met.select("node").distinct()
+    posted = cut(met.join(sets.select("node", "n", "fp"), "node"))
 
     @F.pandas_udf("array<bigint>")
     def set_of(some: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, shingle).view(np.int64) for t in some], dtype=object)
 
-    met = posted.select(F.col("node").alias("_met")).distinct()
-    shelf = reread(texts.join(met, F.col("node") == F.col("_met"), "left_semi").select("node", set_of("text").alias("set")), "shingles")
+    shelf = reread(texts.join(nodes, "node", "left_semi").select("node", set_of("text").alias("set")), "shingles")
 
-    def near(a: str, b: str) -> Column:
-        distance = sum((F.bit_count(F.col(f"{a}.fp")[i].bitwiseXOR(F.col(f"{b}.fp")[i])) for i in range(lanes)), F.lit(0))
-        return (F.least(f"{a}.n", f"{b}.n") / F.greatest(f"{a}.n", f"{b}.n") >= similarity) & (distance <= radius)
+    distance = sum((F.bit_count(F.col("fp")[i].bitwiseXOR(F.col("hub_fp")[i])) for i in range(lanes)), F.lit(0))
+    near = (F.least("n", "hub_n") / F.greatest("n", "hub_n") >= similarity) & (distance <= radius)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(shelf.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(shelf.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return cut(both.filter(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b"))
+        """Pairs ``(a, b)`` whose sets are similar; many may have the same ``a``."""
+        pairs = cut(pairs.distinct())
+        both = spread_join(pairs, shelf.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(shelf.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return cut(both.filter(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b"))
 
-    ends = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     labelled, roots, links = posted.withColumn("label", F.col("node")), None, None
     for turn in range(STARS + 1):
-        mixed = labelled.withColumns({"_low": F.min("label").over(at_key), "_high": F.max("label").over(at_key)})
+        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "fp", "label"))
+        apart_still = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), hub.alias("hub")).filter("low < high")
+        apart_still = cut(apart_still.select("key", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "fp", "label"))))
         if turn < STARS:
-            hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "fp", "label")).over(at_key)
-            starred = mixed.withColumn("hub", hub).filter("_low < _high and label <> hub.label").select(F.struct("n", "fp").alias("own"), "hub", "node")
-            pairs = starred.filter(near("own", "hub")).select(*ends("node", "hub.node"))
+            starred = spread_join(labelled, apart_still, "key").filter((F.col("label") != F.col("hub_label")) & near)
+            pairs = starred.select(F.col("hub_node").alias("a"), F.col("node").alias("b"))
         else:
-            rest = cut(mixed.filter("_low < _high").drop("_low", "_high"))
-            a, b = rest.alias("x"), rest.alias("y")
-            apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-            pairs = a.join(b, apart & near("x", "y")).select(*ends("x.node", "y.node"))
+            rest = cut(spread_join(labelled, apart_still.select("key"), "key"))
+            shards = blocks(rest, "node").select("key", "i", "j", "node", "n", "label", "fp").repartition(tasks_for(spark), "key", "i", "j")
+            pairs = shards.sortWithinPartitions("key", "i", "j").mapInArrow(_tree_pairs(radius, lanes, similarity), "a bigint, b bigint")
         found = verified(pairs)
         if turn and found.isEmpty():
             continue
         links = found if links is None else links.union(found)
         roots = components(links)
-        labels = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-        labelled = posted.join(labels, F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("_root", "node")).drop("_node", "_root")
+        labels = cut(roots.select("node", F.col("root").alias("label")))
+        labelled = cut(posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     return roots
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 128) -> DataFrame:
     """The rows of ``df``, one of each group of near-duplicates: the one with the smallest id, null ids first.
 
-    Texts are linked if the Jaccard similarity of their shingle sets is ``similarity`` or more.
+    Texts are linked if the Jaccard similarity of their shingle sets is ``similarity`` or more; rows
+    with the same set are one group, those without words too.
     """
     need(df, id_col, text)
+    ident, tie = free(df, "_id"), free(df, "_tie")
     own = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
     marked = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("tie"), _marks(shingle, bits // 64)(F.col(text)).alias("m"))
     rows = cut(marked.select("id", "tie", "m.*"))
     sets = cut(rows.groupBy("node").agg(F.min(F.struct("id", "tie")).alias("row"), *(F.first(c).alias(c) for c in ("n", "fp", "keys"))))
-    keyed = df.withColumns({"_id": own(id_col), "_tie": F.xxhash64(F.col(text))})
-    of_row = sets.select("node", own("row.id").alias("_id"), F.col("row.tie").alias("_tie"))
-    texts = keyed.select("_id", "_tie", F.col(text).alias("text")).join(of_row, ["_id", "_tie"]).select("node", "text").dropDuplicates(["node"])
+    keyed = df.withColumns({ident: own(id_col), tie: F.xxhash64(F.col(text))})
+    of_row = sets.select("node", own("row.id").alias(ident), F.col("row.tie").alias(tie))
+    texts = keyed.select(ident, tie, F.col(text).alias("text")).join(of_row, [ident, tie]).select("node", "text").dropDuplicates(["node"])
     roots = similar(sets.filter("n > 0").drop("row"), texts, shingle, similarity, bits)
     rooted = sets.select("node", "row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = rooted.groupBy("root").agg(F.min("row").alias("kept")).select(own("kept.id").alias("_id"), F.col("kept.tie").alias("_tie"))
+    kept = rooted.groupBy("root").agg(F.min("row").alias("kept")).select(own("kept.id").alias(ident), F.col("kept.tie").alias(tie))
     # repeated rows are equal in both keys; the join has already brought them together
-    return keyed.join(kept, ["_id", "_tie"], "left_semi").dropDuplicates(["_id", "_tie"]).drop("_id", "_tie")
+    return keyed.join(kept, [ident, tie], "left_semi").dropDuplicates([ident, tie]).drop(ident, tie)
