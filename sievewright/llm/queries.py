@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, iblt, langid, media, mixing, pii, simhash, spans, toxicity, training_order, trigrams
-from .common import documents, fold
+from .common import documents, fold, fresh_path
 
 
 #: Texts of this score or more count as toxic.
@@ -32,8 +32,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's sequences of byte ids, read back from the shards of the training order."""
-    found = training_order.read_order(training_order.write_order(documents(spark, sf_dir)))
+    """Every document's sequences of byte ids, written to shards in training order and read back."""
+    path = fresh_path(spark, "training-order")
+    ids = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    training_order.write_order(documents(spark, sf_dir).select("doc_id", ids.alias("ids")), path, width=1)
+    found = training_order.read_order(spark, path)
     return found.select(F.col("id").alias("doc_id"), "part", "slot", F.col("n").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
 
 
@@ -61,7 +64,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("samples", -unit, unit)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        media.sketch(F.col("pairs")).alias("feature"),
+        media.digest(F.col("pairs")).alias("feature"),
         F.size("pairs").cast("long").alias("n_pairs"),
     )
 
@@ -70,7 +73,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every text: formats, and identifiers shown by their contexts."""
     found = pii.find(documents(spark, sf_dir))
     counts = [spans.count(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"), spans.joined(F.col("found")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"), spans.joined(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +88,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [r.kind for r in trigrams.BASE]
     base = F.filter("secrets", lambda s: s["kind"].isin(kinds))
     counts = [spans.count(F.col("secrets"), kind).alias(f"n_{kind}") for kind in kinds]
-    return found.select("doc_id", *counts, F.sha2(spans.joined(base), 256).alias("base_sha256"), spans.joined(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(spans.joined(base), 256).alias("base_sha256"), spans.joined(F.col("secrets")).alias("spans"), F.size("secrets").cast("long").alias("n_spans"))
 
 
 def op9_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +147,7 @@ def _secrets_sql() -> str:
     base = "filter (where rank < 3)"
     counts = ", ".join(f"count(*) filter (where kind = '{kind}') as n_{kind}" for kind, *_ in _SECRETS[:3])
     return f"""with spans as ({" union all ".join(rules)})
-        select d.doc_id, {counts}, sha256({joined.format(f=" " + base)}) as base_sha256, {joined.format(f="")} as spans
+        select d.doc_id, {counts}, sha256({joined.format(f=" " + base)}) as base_sha256, {joined.format(f="")} as spans, count(kind) as n_spans
         from documents d left join spans using (doc_id) group by d.doc_id"""
 
 

@@ -1,35 +1,43 @@
 """Training-order materialisation: every sequence at a pseudo-random global slot of fixed-stride shards.
 
-``sequences`` cuts each document's ids into records of ``length`` ids, numbered without gaps.  A keyed
+``write_order`` cuts each row's token ids into records of ``length`` ids, numbered without gaps.  A keyed
 Feistel network over the next power of four, cycle-walking until the number is in range, permutes the
-numbers into *slots*: a bijection that any task computes by itself.  ``write_order`` deals the records out in
-contiguous ranges of slots and lays each shard's records end to end, so slot ``s`` is at byte
-``(s mod per_shard) * stride`` of shard ``s // per_shard``, and a reader can start or resume anywhere.
+numbers into *slots*: a bijection that any task computes by itself.  The records are dealt out in
+contiguous ranges of slots, by number and not by hash, and each range's task writes its shards as raw files:
+slot ``s`` is at byte ``(s mod per_shard) * stride`` of the file of shard ``s // per_shard``.  A row for each shard goes to
+a table of ``MANIFEST`` beside them.  ``read_order`` reads any range of slots, seeking by stride, so a run can resume anywhere.
 
-A record is the document's id, its part and its number of ids (little-endian 64-bit), then ``length``
-unsigned 16-bit ids, padded with ``PAD``.  Null ids are written as the least 64-bit integer.
+A record is the row's id, its part and its number of ids (little-endian 64-bit), then ``length`` ids of ``width`` bytes,
+padded with zeros.  Null ids are written as the least 64-bit integer.
 
-Defined results: a null or empty text is one record with the end mark alone; repeated rows have records of
-their own; an empty table has no shard.  The rows' order within a partition must be the same when a task runs
-again, as it is for files.  Memory: one Arrow batch, and one shard of ``per_shard`` records.
+Recovery: a shard is written beside its name and then renamed, so a task that runs again, or twice, leaves one whole file of the
+same bytes.  Numbering takes two jobs over the input; a task that does not meet the rows that the first job counted in its partition
+fails, so the input must come in the same order when it is read again, as files do.
+
+Defined results: a null or empty column of ids is one record of no ids; repeated rows have records of
+their own; an empty table has no shard; only the named columns are read, so others cannot clash.  Memory: one Arrow batch,
+and one shard of ``per_shard`` records.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import need, tasks_for
 
-#: Byte ids, the end of a document, padding.
-END, PAD = 256, 257
 ROUNDS, KEY = 6, 0x5EED
 NO_ID = -(1 << 63)
-SHARDS = "shard bigint, first_slot bigint, records int, data binary"
+#: Bytes of records that a range of slots has at most, unless the session asks for more ranges.
+RANGE = 128 << 20
+MANIFEST = "shard bigint, first_slot bigint, records bigint, length int, width int, per_shard bigint, file string"
+RECORDS = "slot bigint, id bigint, part bigint, n bigint, ids binary"
 
 
 def slots(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -53,75 +61,133 @@ def slots(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _stride(length: int) -> int:
-    return 24 + 2 * length
+def record_type(length: int, width: int) -> np.dtype:
+    """A record's layout; its size is the stride."""
+    return np.dtype([("id", "<i8"), ("part", "<i8"), ("n", "<i8"), ("ids", f"<u{width}", length)])
 
 
-def write_order(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 1_024, per_shard: int = 2_048, key: int = KEY) -> DataFrame:
-    """``(shard, first_slot, records, data)``: the shards of all sequences of ``df`` in training order."""
-    need(df, id_col, text)
-    tasks = tasks_for(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    parts = F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / length)
-    # one row for each partition
-    counts = {r["p"]: r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(parts).alias("n")).collect()}
-    total, starts = 0, {}
-    for p in sorted(counts):
-        starts[p], total = total, total + int(counts[p])
-    shards = -(-total // per_shard)
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address, and the path there."""
+    return fs.FileSystem.from_uri(path)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _numbered(starts: dict[int, tuple[int, int, int]], total: int, kind: np.dtype, key: int):
+    """Map over rows ``(id, ids, mark)``: their records and slots."""
+    length, width = kind["ids"].shape[0], kind["ids"].base.itemsize
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        at = starts.get(TaskContext.get().partitionId(), 0)
+        partition = TaskContext.get().partitionId()
+        first, wanted, marked = starts.get(partition, (0, 0, 0))
+        at, seen = first, 0
         for batch in batches:
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(np.frombuffer((value.as_py() or "").encode(), np.uint8).astype("<u2"), np.uint16(END))
-                n = -(-len(ids) // length)
-                record = np.zeros(n, [("id", "<i8"), ("part", "<i8"), ("n", "<i8"), ("ids", "<u2", length)])
+            seen ^= int(np.bitwise_xor.reduce(batch.column(2).to_numpy(zero_copy_only=False))) if batch.num_rows else 0
+            for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.frombuffer(packed.as_py() or b"", f"<u{width}")
+                n = max(1, -(-len(ids) // length))
+                if at + n > first + wanted:
+                    break
+                record = np.zeros(n, kind)
                 record["id"], record["part"] = NO_ID if doc is None else doc, np.arange(n)
-                record["n"] = np.minimum(length, len(ids) - length * np.arange(n))
-                record["ids"] = np.pad(ids, (0, n * length - len(ids)), constant_values=PAD).reshape(n, length)
+                record["n"] = np.clip(len(ids) - length * np.arange(n), 0, length)
+                record["ids"] = np.pad(ids, (0, n * length - len(ids))).reshape(n, length)
                 slot = slots(np.arange(at, at + n), total, key)
                 at += n
                 yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array([r.tobytes() for r in record], pa.binary())], names=["slot", "record"])
+        if (at - first, seen) != (wanted, marked):
+            raise RuntimeError(f"partition {partition} is not as it was counted: the input must come in the same order when it is read again, as files do")
+
+    return records
+
 
-    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        shard = first = None
+def _written(path: str, length: int, width: int, per_shard: int):
+    """Map over records sorted by slot: shards' files, and their rows of the manifest."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = located(path)
+        shard, held = -1, []
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([first]), pa.array([len(held)], pa.int32()), pa.array([b"".join(held)], pa.binary())], names=["shard", "first_slot", "records", "data"])
+            name, beside = f"{root}/shard-{shard:010d}.bin", f"{root}/_{uuid.uuid4().hex}"
+            with where.open_output_stream(beside) as out:
+                for record in held:
+                    out.write(record)
+            if where.get_file_info(name).type == fs.FileType.File:
+                where.delete_file(name)
+            where.move(beside, name)
+            row = [shard, shard * per_shard, len(held), length, width, per_shard, f"shard-{shard:010d}.bin"]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
         for batch in batches:
             for slot, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if slot // per_shard != shard:
                     if held:
                         yield done()
-                    shard, first, held = slot // per_shard, slot, []
+                    shard, held = slot // per_shard, []
                 held.append(record)
         if held:
             yield done()
 
-    placed = rows.mapInArrow(cut, "slot bigint, record binary")
-    span = F.floor(F.floor(F.col("slot") / per_shard) * tasks / max(1, shards))  # a contiguous range of shards
-    return placed.withColumn("span", span).repartition(tasks, "span").sortWithinPartitions("slot").select("slot", "record").mapInArrow(lay, SHARDS)
+    return write
+
+
+def write_order(df: DataFrame, path: str, id_col: str = "doc_id", ids: str = "ids", width: int = 4, length: int = 1_024, per_shard: int = 2_048, key: int = KEY) -> DataFrame:
+    """Write all sequences of ``df`` in training order under ``path``, a folder that all executors share; the manifest.
+
+    ``ids`` is a binary column of little-endian ``width``-byte integers, as ``bpe.encode`` gives with 4.
+    """
+    need(df, id_col, ids)
+    if width not in (1, 2, 4):
+        raise ValueError("width is 1, 2 or 4")
+    spark = df.sparkSession
+    kind = record_type(length, width)
+    size = F.coalesce(F.octet_length(ids), F.lit(0))
+    parts = F.greatest(F.ceil(size / (length * width)), F.lit(1))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(ids).alias("ids"), F.xxhash64(F.col(id_col).cast("long"), size).alias("mark"))
+    counted = df.select(F.spark_partition_id().alias("p"), parts.alias("n"), F.xxhash64(F.col(id_col).cast("long"), size).alias("mark"))
+    # one row for each partition
+    counts = {r["p"]: (int(r["n"]), r["mark"]) for r in counted.groupBy("p").agg(F.sum("n").alias("n"), F.bit_xor("mark").alias("mark")).collect()}
+    total, starts = 0, {}
+    for p in sorted(counts):
+        starts[p], total = (total, *counts[p]), total + counts[p][0]
+    where, root = located(path)
+    where.create_dir(root)
+    shards = -(-total // per_shard)
+    spans = max(1, min(shards, max(tasks_for(spark), -(-total * kind.itemsize // RANGE))))
+    placed = rows.mapInArrow(_numbered(starts, total, kind, key), "slot bigint, record binary")
+    span = F.floor(F.floor(F.col("slot") / per_shard) * spans / max(1, shards)).cast("int")
+    ranges = placed.repartitionById(spans, span).sortWithinPartitions("slot")
+    ranges.mapInArrow(_written(path, length, width, per_shard), MANIFEST).write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+
 
+def read_order(spark: SparkSession, path: str, from_slot: int = 0, to_slot: int | None = None) -> DataFrame:
+    """``(slot, id, part, n, ids)`` of the records from ``from_slot`` up to ``to_slot``, in order within a shard; ``ids`` without padding.
 
-def read_order(shards: DataFrame, length: int = 1_024) -> DataFrame:
-    """``(slot, id, part, n, ids)`` of every record of shards, by its fixed stride; ``ids`` is the packed column without padding."""
-    stride = _stride(length)
+    A shard is read from the first byte that is asked on; others are not opened.
+    """
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").filter(F.col("first_slot") + F.col("records") > from_slot)
+    if to_slot is not None:
+        manifest = manifest.filter(F.col("first_slot") < to_slot)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype([("id", "<i8"), ("part", "<i8"), ("n", "<i8"), ("ids", "<u2", length)])
+        where, root = located(path)
         for batch in batches:
-            for row in range(batch.num_rows):
-                first, data = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                record = np.frombuffer(data, kind, len(data) // stride)
+            for row in batch.to_pylist():
+                kind = record_type(row["length"], row["width"])
+                first = max(from_slot, row["first_slot"])
+                stop = row["first_slot"] + row["records"] if to_slot is None else min(to_slot, row["first_slot"] + row["records"])
+                with where.open_input_file(f"{root}/{row['file']}") as f:
+                    f.seek((first - row["first_slot"]) * kind.itemsize)
+                    record = np.frombuffer(f.read((stop - first) * kind.itemsize), kind)
+                if len(record) != stop - first:
+                    raise RuntimeError(f"{row['file']} is short")
                 ids = [r[:n].tobytes() for r, n in zip(record["ids"], record["n"].tolist(), strict=True)]
                 doc = pa.array(record["id"].copy(), mask=record["id"] == NO_ID)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(first, first + len(record))), doc, pa.array(record["part"].copy()), pa.array(record["n"].copy()), pa.array(ids, pa.binary())], names=["slot", "id", "part", "n", "ids"]
+                    [pa.array(np.arange(first, stop)), doc, pa.array(record["part"].copy()), pa.array(record["n"].copy()), pa.array(ids, pa.binary())], names=["slot", "id", "part", "n", "ids"]
                 )
 
-    return shards.select("first_slot", "data").mapInArrow(read, "slot bigint, id bigint, part bigint, n bigint, ids binary")
+    return manifest.repartition(tasks_for(spark), "shard").mapInArrow(read, RECORDS)
