@@ -25,12 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import absent, free, need
 
 FRAME, HOP, FAN_OUT, ZONE, BLOCK = 256, 128, 3, 31, 16_384
 #: Samples a second of the stored files.
 RATE = 8_000
-SKETCH = 16
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 #: A time code is ``frame << 22 | earlier bin << 14 | later bin << 6 | frames between``.
 PAIR_BITS = 22
@@ -88,8 +87,7 @@ def peak_pairs(samples: bytes) -> np.ndarray:
 def to_wav(df: DataFrame, payload: str, media: str = "media") -> DataFrame:
     """Add ``media``: the binary column ``payload`` as a WAV file."""
     need(df, payload)
-    if media in df.columns:
-        raise ValueError(f"column {media} is there already")
+    absent(df, media)
 
     @F.pandas_udf("binary")
     def store(column: pd.Series) -> pd.Series:
@@ -101,18 +99,25 @@ def to_wav(df: DataFrame, payload: str, media: str = "media") -> DataFrame:
 def from_wav(df: DataFrame, media: str = "media") -> DataFrame:
     """Add ``samples`` (binary, read back) and ``pairs`` (array<bigint>, time-coded)."""
     need(df, media)
-    if clash := {"samples", "pairs"} & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    absent(df, "samples", "pairs")
+    read = free(df, "_read")
 
     @F.pandas_udf("samples binary, pairs array<bigint>")
     def load(column: pd.Series) -> pd.DataFrame:
         samples = [None if b is None else wav_payload(bytes(b)) for b in column]
         return pd.DataFrame({"samples": samples, "pairs": [None if s is None else peak_pairs(s) for s in samples]})
 
-    return df.withColumn("_read", load(F.col(media))).select("*", "_read.samples", "_read.pairs").drop("_read")
+    return df.withColumn(read, load(F.col(media))).select(*df.columns, f"{read}.samples", f"{read}.pairs")
 
 
-def sketch(pairs: Column) -> Column:
-    """The ``SKETCH`` smallest distinct pair hashes, times left out: alike for shifted copies."""
-    hashes = F.transform(pairs, lambda p: F.hex(p.bitwiseAND(F.lit((1 << PAIR_BITS) - 1))))
-    return F.array_join(F.slice(F.array_sort(F.array_distinct(hashes)), 1, SKETCH), ".")
+def digest(pairs: Column) -> Column:
+    """A fingerprint of all time-coded pairs: their number, the hash of the array, and the majority bits of the pairs'
+    hashes with the times left out, which shifted copies share."""
+    hashes = F.transform(pairs, lambda p: F.xxhash64(p.bitwiseAND(F.lit((1 << PAIR_BITS) - 1))))
+
+    def often(bit: int) -> Column:
+        return F.size(F.filter(hashes, lambda h: F.getbit(h, F.lit(bit)) == 1)) * 2 > F.size(hashes)
+
+    # one count a bit: 64 passes over short arrays of numbers
+    majority = F.concat(*(F.when(often(bit), F.lit("1")).otherwise(F.lit("0")) for bit in range(63, -1, -1)))
+    return F.concat_ws(":", F.size(pairs), F.sha2(F.array_join(pairs, ","), 256), F.lower(F.lpad(F.conv(majority, 2, 16), 16, "0")))
