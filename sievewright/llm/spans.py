@@ -15,17 +15,28 @@ _MATCHES = "array<struct<start: int, stop: int, match: string>>"
 _BLOCK = 256
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches ``(start, stop, match)``, in code points."""
+def matches(text: Column, pattern: str, around: bool = False) -> Column:
+    """All leftmost non-overlapping matches ``(start, stop, match)``, in code points.
+
+    With ``around`` also ``before`` and ``after``: what stands between a match and the one before or after it.
+    """
     gaps = F.split(text, pattern, -1)  # one more than matches
     got = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.filter(F.arrays_zip(gaps.alias("gap"), got.alias("match")), lambda p: p["match"].isNotNull())
-    none = F.array().cast(_MATCHES)
+    zipped = [gaps.alias("gap"), got.alias("match")]
+    kind = _MATCHES
+    if around:
+        zipped.append(F.slice(gaps, F.lit(2), F.size(gaps)).alias("after"))
+        kind = kind.replace("match: string", "match: string, before: string, after: string")
+    pieces = F.filter(F.arrays_zip(*zipped), lambda p: p["match"].isNotNull())
+    none = F.array().cast(kind)
 
     def add(acc: Column, piece: Column) -> Column:
         start = acc["at"] + F.char_length(piece["gap"])
         stop = start + F.char_length(piece["match"])
-        block = F.concat(acc["block"], F.array(F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), piece["match"].alias("match"))))
+        fields = [start.cast("int").alias("start"), stop.cast("int").alias("stop"), piece["match"].alias("match")]
+        if around:
+            fields += [piece["gap"].alias("before"), piece["after"].alias("after")]
+        block = F.concat(acc["block"], F.array(F.struct(*fields)))
         full = F.size(acc["block"]) >= _BLOCK - 1
         return F.struct(
             stop.cast("int").alias("at"),
@@ -33,7 +44,7 @@ def matches(text: Column, pattern: str) -> Column:
             F.when(full, none).otherwise(block).alias("block"),
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_MATCHES}>").alias("done"), none.alias("block"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("done"), none.alias("block"))
     every = F.aggregate(pieces, start, add, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["block"]))))
     return F.when(text.rlike(pattern), every).otherwise(none)
 
