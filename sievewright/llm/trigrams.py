@@ -9,12 +9,15 @@ postings by text and evaluates each rule's query.  ``scan`` verifies each rule's
 candidates with the regex itself; a rule without mandatory trigrams scans every text.
 
 Texts are addressed by two 64-bit hashes, so copies share their postings and no
-row is lost where ids repeat or are null.  A text's postings are at most the rules' trigrams.
-Everything is DataFrame functions; the candidates are joined back by hash, which Spark
-can split where a third of all rows are copies.
+row is lost where ids repeat or are null.  A text's postings are at most the rules' trigrams, and
+they alone are shuffled: texts stay where they are read.  The candidates come back to them as a table of bits,
+``BUCKETS`` rows of 4,096 bytes whatever the corpus holds, which is broadcast: a text looks up one byte, with a bit for each rule.
+Two texts that share a byte share their bits, so a text may be verified in vain, but no candidate is
+passed over; the more candidates there are than bytes (16 million), the more texts are verified,
+up to all.  Everything is DataFrame functions.
 
 Defined results: a null or empty text has no spans; repeated rows have the same spans;
-spans are in code points, the end exclusive, ordered by start, then rule.
+spans are in code points, the end exclusive, ordered by start, then rule.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import absent, need
 from .spans import SPAN, matches
 
 #: Strings spelled out at a time, and characters of a class.
 STRINGS, CLASS = 12, 3
+#: Rows of the table of candidates; bytes of each, which ``bitmap_construct_agg`` fixes.
+BUCKETS, BYTES = 4_096, 4_096
 #: True, a trigram, or ("and" | "or", queries)
 Query = bool | str | tuple[str, tuple]
 
@@ -178,28 +183,43 @@ def candidates(index: DataFrame, trigrams: list[str], queries: dict[str, Query])
     return found.filter(reduce(lambda a, b: a | b, map(F.col, queries)))
 
 
+def table_of(found: DataFrame, kinds: list[str]) -> DataFrame:
+    """``(bucket, flags)``: the candidates ``found`` as bits, a byte for each address and a bit for each of at most eight kinds."""
+    if len(kinds) > 8:
+        raise ValueError("a table holds eight rules")
+    at = F.col("k2").bitwiseAND(F.lit(BYTES - 1)) * 8
+    bits = F.explode(F.array_compact(F.array(*(F.when(F.col(kind), at + i) for i, kind in enumerate(kinds)))))
+    return found.select(F.col("k1").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"), bits.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("flags"))
+
+
 def scan(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None, name: str = "secrets") -> DataFrame:
     """The columns ``keep`` (all by default) and ``name``: the rules' spans in each text."""
     keep = df.columns if keep is None else keep
     need(df, text, *keep)
-    if name in keep:
-        raise ValueError(f"column {name} is there already")
+    absent(df.select(*keep), name)
     queries = {r.kind: q for r in rules if (q := query_of(r.pattern)) is not True}
     own = df.select(F.struct(*keep).alias("row"), F.col(text).alias("text"))
-    k1, k2 = key(F.coalesce("text", F.lit("")))
-    own = own.withColumns({"k1": k1, "k2": k2})
-    if queries:
-        trigrams = sorted(set().union(*map(trigrams_of, queries.values())))
-        found = candidates(postings(df, text, trigrams), trigrams, queries)
-        found = found.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.struct(*queries).alias("may"))
-        own = own.join(found, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left")
+    kinds = sorted(queries)
     body = F.coalesce("text", F.lit(""))
+    # a table of bits for every eight rules
+    for n in range(0, len(kinds), 8):
+        some = {kind: queries[kind] for kind in kinds[n : n + 8]}
+        trigrams = sorted(set().union(*map(trigrams_of, some.values())))
+        table = table_of(candidates(postings(df, text, trigrams), trigrams, some), list(some))
+        table = table.select(F.col("bucket").alias("_bucket"), F.col("flags").alias("_flags"))
+        k1, k2 = key(body)
+        own = own.join(F.broadcast(table), k1.bitwiseAND(F.lit(BUCKETS - 1)) == F.col("_bucket"), "left")  # at most BUCKETS rows
+        byte = F.substring("_flags", (k2.bitwiseAND(F.lit(BYTES - 1)) + 1).cast("int"), F.lit(1))
+        own = own.withColumn(f"_may{n // 8}", F.coalesce(F.conv(F.hex(byte), 16, 10).cast("int"), F.lit(0))).drop("_bucket", "_flags")
 
     def of(rank: int, rule: Rule) -> Column:
         kept = F.filter(matches(body, rule.pattern), lambda m: rule.keep(m["match"]))
         ranked = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), m["stop"].alias("stop")))
-        none = F.array().cast("array<struct<start: int, rank: int, kind: string, stop: int>>")
-        return F.when(F.coalesce(F.col(f"may.{rule.kind}"), F.lit(False)), ranked).otherwise(none) if rule.kind in queries else ranked
+        if rule.kind not in queries:
+            return ranked
+        n = kinds.index(rule.kind)
+        may = F.col(f"_may{n // 8}").bitwiseAND(F.lit(1 << n % 8)) != 0
+        return F.when(may, ranked).otherwise(F.array().cast("array<struct<start: int, rank: int, kind: string, stop: int>>"))
 
     every = F.array_sort(F.concat(*(of(rank, rule) for rank, rule in enumerate(rules))))
     spans = F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).cast(SPAN)
