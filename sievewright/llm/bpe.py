@@ -5,7 +5,8 @@ into pre-tokens (the matches of the tokenizer's pattern).  A chunk has a list of
 distinct pre-tokens, and at each position a pre-token's rank in that list by
 frequency.  Two shuffles follow:
 
-1. the lists, dealt out by the words' hash into ``BUCKETS`` buckets a shuffle partition:
+1. the lists, dealt out by the words' hash into ``BUCKETS`` buckets a shuffle partition, one partition for
+   every ``PARTITION`` bytes of text or more, as the session asks:
    a bucket's task sees all chunks' words of that hash and encodes each distinct
    one once, by rank merges;
 2. the ids of each bucket's words, back to the chunks, which put them in place of the
@@ -46,14 +47,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, tasks_for
+from .common import absent, need, tasks_for
 
 #: Characters of text in a chunk; a longer text is a chunk of its own.
 CHUNK_CHARS = 14_000_000
 #: Positions of a chunk worked on at a time.
 PIECE = 1 << 18
-#: Buckets of words for each shuffle partition.
+#: Buckets of words for each shuffle partition that the session asks for.
 BUCKETS = 2
+#: Bytes of text for each shuffle partition, and the most of them: with more, a chunk's lists for a bucket have few words.
+PARTITION, MOST_PARTITIONS = 128 << 20, 8_192
 _BLOCKS = "chunk string, bucket int, words binary, ranks binary, docs array<struct<doc: bigint, end: bigint>>"
 _DOCS = pa.list_(pa.struct([("doc", pa.int64()), ("end", pa.int64())]))
 
@@ -293,24 +296,25 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text:
     With ``round_trip`` also ``decoded``, as ``decode`` adds it, in the task that has the ids at hand.
     """
     need(df, id_col, text)
-    tasks = tasks_for(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    split = rows.mapInArrow(_split(pattern, BUCKETS * tasks), _BLOCKS)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    tasks = max(tasks_for(df.sparkSession), min(MOST_PARTITIONS, -(-size // PARTITION)))
+    buckets = max(BUCKETS * tasks_for(df.sparkSession), tasks)
+    split = rows.mapInArrow(_split(pattern, buckets), _BLOCKS)
     # words go to their bucket, ranks wherever their chunk's name falls
     to = F.when(F.col("bucket") < 0, F.xxhash64("chunk")).otherwise(F.col("bucket").cast("long"))
     dealt = split.withColumn("to", to).repartition(tasks, "to").sortWithinPartitions("bucket").drop("to")
     known = dealt.mapInArrow(_encode_words(path, pattern), _BLOCKS)
     back = known.repartition(tasks, "chunk").sortWithinPartitions("chunk", "bucket")
     return back.mapInArrow(
-        _reassemble(BUCKETS * tasks, path if round_trip else None), "id bigint, ids binary" + ", decoded binary" * round_trip
+        _reassemble(buckets, path if round_trip else None), "id bigint, ids binary" + ", decoded binary" * round_trip
     ).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """Add ``name``: the bytes of the tokens in the packed column ``ids``; null stays null."""
     need(df, ids)
-    if name in df.columns:
-        raise ValueError(f"column {name} is there already")
+    absent(df, name)
 
     @F.pandas_udf("binary")
     def of(column: pd.Series) -> pd.Series:

@@ -13,8 +13,8 @@ a text with others and gives the number of differing digests and the likeness
 ``(shared) / (all)``.  ``successors`` pairs each row with the next by id.
 
 Scale: ``reconcile`` is a narrow map.  ``successors`` moves each text once, to the range
-of ids it belongs to (ranges are approximate quantiles, ``RANGES`` a shuffle partition); the
-first row of a range is sent to the range before it as well.
+of ids it belongs to (ranges are approximate quantiles, ``RANGES`` a shuffle partition; an id, null too, with more rows
+than a range has its rows dealt out by their texts' hash); the first row of a range is sent to the range before it as well.
 
 Defined results: a null text is an empty one; an empty text has an empty sketch; two
 empty texts have likeness 1; equal texts have equal fingerprints.  Null ids come first,
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, tasks_for
+from .common import absent, need, tasks_for
 
 HASHES, CELLS, GROWTH, LONGEST, RANGES = 3, 30, 4, 64, 3
 #: Rows compared at a time, and cells held at a time.
@@ -176,8 +176,7 @@ def reconcile(df: DataFrame, base: str, others: dict[str, str], keep: list[str])
     """The columns ``keep``, ``fingerprint`` of the column ``base`` and, for each ``name: column`` of
     ``others``, the struct ``name (fingerprint, likeness, only_base, only_other)`` with the recovered digests."""
     need(df, base, *others.values(), *keep)
-    if clash := {"fingerprint", *others} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    absent(df.select(*keep), "fingerprint", *others)
     n = len(keep)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,25 +233,34 @@ def successors(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     spark = df.sparkSession
     tasks = tasks_for(spark)
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("at"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
     n = RANGES * tasks
-    bounds = np.unique(np.array(rows.approxQuantile("at", [i / n for i in range(1, n)], 1 / (4 * n)), np.float64))
+    # an id that is the quantile of several ranges has rows for as many: they are dealt by their texts' hash
+    bounds, repeats = np.unique(np.array(rows.approxQuantile("at", [i / n for i in range(1, n)], 1 / (4 * n)), np.float64), return_counts=True)
+    below = np.cumsum(repeats) - repeats
 
     @F.pandas_udf("int")
-    def place(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, at.to_numpy(np.float64), side="right").astype(np.int32))
-
-    placed = rows.withColumn("place", place(F.col("at")))
-    first = {r["place"]: r["least"] for r in placed.groupBy("place").agg(F.min("at").alias("least")).collect()}  # one row for each range
+    def place(at: pd.Series, tie: pd.Series) -> pd.Series:
+        x = at.to_numpy(np.float64)
+        i = np.searchsorted(bounds, x, side="right") - 1
+        if not len(bounds):
+            return pd.Series(np.zeros(len(x), np.int32))
+        own = np.floor((tie.to_numpy(np.float64) / 2.0**64 + 0.5) * repeats[i]).clip(0, repeats[i] - 1)
+        found = np.where(bounds[i] == x, below[i] + 1 + own, below[i] + repeats[i])
+        return pd.Series(np.where(i < 0, 0, found).astype(np.int32))
+
+    placed = rows.withColumn("place", place("at", "tie"))
+    first = {r["place"]: tuple(r["least"]) for r in placed.groupBy("place").agg(F.min(F.struct("at", "tie")).alias("least")).collect()}  # one row for each range
     ranges = sorted(first)
-    before = {first[p]: ranges[i - 1] for i, p in enumerate(ranges)}  # the range that a range's first id is sent to as well
+    before = {first[p]: ranges[i - 1] for i, p in enumerate(ranges)}  # the range that a range's first row is sent to as well
 
     @F.pandas_udf("array<int>")
-    def sent(at: pd.Series, own: pd.Series) -> pd.Series:
+    def sent(at: pd.Series, tie: pd.Series, own: pd.Series) -> pd.Series:
         """Twice the range, and one more where the row is sent ahead."""
-        return pd.Series([[2 * p, 2 * before[a] + 1] if a in before else [2 * p] for a, p in zip(at, own, strict=True)], dtype=object)
+        return pd.Series([[2 * p, 2 * before[a, t] + 1] if (a, t) in before else [2 * p] for a, t, p in zip(at, tie, own, strict=True)], dtype=object)
 
-    moved = placed.withColumn("to", F.explode(sent("at", "place"))).select(
-        F.shiftright("to", 1).alias("range"), (F.col("to") % 2 == 1).alias("ahead"), "id", "text", "at", F.xxhash64("text").alias("tie")
+    moved = placed.withColumn("to", F.explode(sent("at", "tie", "place"))).select(
+        F.shiftright("to", 1).alias("range"), (F.col("to") % 2 == 1).alias("ahead"), "id", "text", "at", "tie"
     )
     ordered = moved.repartition(tasks, "range").sortWithinPartitions("range", "ahead", "at", "tie").select("range", "ahead", "id", "text")
     return ordered.mapInArrow(_pairs, "id bigint, text string, next_text string").withColumnRenamed("id", id_col)

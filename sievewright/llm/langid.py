@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import absent, free, need
 
 ORDERS, HASHES, POSITIONS = (3, 4), 2, 1 << 18
 #: N-grams rarer than this share of a language's are not kept.
@@ -70,6 +70,15 @@ def grams(x: np.ndarray) -> Iterator[np.ndarray]:
             yield h
 
 
+def popcounts(words: np.ndarray) -> np.ndarray:
+    """How many words have each of the 64 bits set."""
+    low = words & np.uint64(0xFFFF)
+    if (low == words).all():  # up to sixteen languages: one count of the masks themselves
+        times = np.bincount(low.astype(np.int64))
+        return np.array([times[np.arange(len(times)) >> i & 1 == 1].sum() if len(times) >> i else 0 for i in range(64)], np.float64)
+    return np.unpackbits(np.ascontiguousarray(words).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.float64)
+
+
 @dataclass
 class Filters:
     languages: list[str]
@@ -92,8 +101,7 @@ class Filters:
         for h in grams(letters(text)):
             masks = self.masks(h)
             n += len(h)
-            for i in range(len(self.languages)):
-                hits[i] += np.count_nonzero(masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1))
+            hits += np.concatenate([popcounts(masks[:, w]) for w in range(masks.shape[1])])[: len(hits)]
         return np.maximum(0.0, (hits - n * self.chance) / (1 - self.chance)), n
 
     def decide(self, text: str | None) -> tuple[str, float]:
@@ -154,8 +162,8 @@ def learn(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
 def predict(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score``, the language's share of all languages' corrected hits."""
     need(df, text)
-    if clash := {"lang_pred", "score"} & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    absent(df, "lang_pred", "score")
+    decided = free(df, "_decided")
     shared = df.sparkSession.sparkContext.broadcast(filters)  # POSITIONS rows: 2 MB for 64 languages
 
     @F.pandas_udf("lang_pred string, score double")
@@ -163,4 +171,4 @@ def predict(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
         model = shared.value
         return pd.DataFrame([model.decide(t) for t in texts], columns=["lang_pred", "score"])
 
-    return df.withColumn("_decided", decide(F.col(text))).select("*", "_decided.lang_pred", "_decided.score").drop("_decided")
+    return df.withColumn(decided, decide(F.col(text))).select(*df.columns, f"{decided}.lang_pred", f"{decided}.score")
