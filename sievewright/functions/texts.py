@@ -185,3 +185,11 @@ def deadline(text: Column, labels: str = DEADLINE_LABELS) -> Column:
     """The first date after a label, at most 45 characters on; null for none."""
     after = F.regexp_extract(folded(text), rf"(?:{labels})[^0-9]{{0,45}}([0-9]{{1,4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,4}}|[0-9]{{1,2}} (?:{_NAMES}) [0-9]{{4}})", 1)
     return F.try_element_at(F.concat(dates(after), written_dates(after)), F.lit(1))
+
+
+def first_date(text: Column) -> Column:
+    """The date, numeric or written, that a text has first; null for none."""
+    folded_ = folded(text)
+    form = rf"(?<![0-9])(?:[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}|[0-9]{{1,2}}[-/][0-9]{{1,2}}[-/][0-9]{{4}}|[0-9]{{1,2}} (?:{_NAMES}) [0-9]{{4}})(?![0-9])"
+    each = F.transform(F.regexp_extract_all(folded_, F.lit(form), F.lit(0)), lambda d: F.try_element_at(F.concat(dates(d), written_dates(d)), F.lit(1)))
+    return F.try_element_at(F.array_compact(each), F.lit(1))

@@ -6,12 +6,10 @@ The canonicalisers differ on purpose: ``canonical`` keeps scheme and parameter o
 
 from __future__ import annotations
 
-from urllib.parse import quote, unquote
+import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Names of tracking parameters of the two canonicalisers.
 TRACKING = ("fbclid", "gclid", "dclid", "gbraid", "wbraid", "mc_cid", "mc_eid", "igshid", "ref", "ref_src", "cmpid", "ocid", "spm")
@@ -36,17 +34,40 @@ def host(url: Column) -> Column:
 
 def path(url: Column) -> Column:
     """The path with single slashes and none at its end; ``/`` for none."""
-    one = F.regexp_replace(F.regexp_replace(part(url, 3), r";[^/]*$", ""), "/{2,}", "/")
+    one = spelled(F.regexp_replace(F.regexp_replace(part(url, 3), r";[^/]*$", ""), "/{2,}", "/"), "/:@!$&'()*+,;=-._~", "/")
     bare = F.regexp_replace(one, "/+$", "")
     return F.when(bare == "", F.lit("/")).otherwise(bare)
 
 
+def spelled(text: Column, safe: str, keep: str = "") -> Column:
+    """Percent escapes in one spelling: decoded as UTF-8, then each byte that is no ASCII letter, digit or ``safe`` escaped.
+
+    Texts without escapes, spaces or characters beyond ASCII stay as they are.  What is invalid as UTF-8 becomes the replacement character.
+    """
+    # the decoder of forms takes a plus for a space, and fails on a percent sign that begins no escape
+    sound = F.regexp_replace(F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+    plain = F.coalesce(F.try_url_decode(sound), text)
+    marks = "".join(c for c in safe if c not in "-._*")
+    out = F.url_encode(plain)  # letters, digits and -._* stay, a space is a plus
+    out = F.regexp_replace(F.regexp_replace(out, r"\+", "%20"), r"\*", "*" if "*" in safe else "%2A")
+    for c in marks:
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return F.when(text.rlike(rf"[^A-Za-z0-9{re.escape(safe)}{keep}]"), out).otherwise(text)
+
+
 def pairs(url: Column, dropped: tuple[str, ...], prefix: str | None = None) -> Column:
     """``key=value`` pairs of the query without the dropped keys; blank values stay."""
     key = lambda p: F.lower(F.substring_index(p, "=", 1))
     keep = lambda p: (p != "") & ~key(p).isin(*dropped) & (~F.startswith(key(p), F.lit(prefix)) if prefix else F.lit(True))
     full = F.transform(F.split(part(url, 4), "&"), lambda p: F.when((p == "") | F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))))
-    return F.filter(full, keep)
+    return F.transform(F.filter(full, keep), _form)
+
+
+def _form(pair: Column) -> Column:
+    """A pair in the one spelling of forms: escapes decoded and written again, a space as a plus."""
+    of = lambda t: F.replace(spelled(F.replace(t, F.lit("+"), F.lit("%20")), "-._~"), F.lit("%20"), F.lit("+"))
+    key = F.substring_index(pair, "=", 1)
+    return F.when(pair.rlike(r"[^A-Za-z0-9=._~-]"), F.concat(of(key), F.lit("="), of(F.substring(pair, F.char_length(key) + 2, F.char_length(pair))))).otherwise(pair)
 
 
 def _joined(scheme: Column, authority: Column, where: Column, query: Column) -> Column:
@@ -63,13 +84,7 @@ def canonical(url: Column) -> Column:
 def canonical_job(url: Column) -> Column:
     """https, no ``www.``, sorted parameters without tracking ones; texts other than web addresses trimmed."""
     made = _joined(F.lit("https"), host(url), path(url), F.array_sort(pairs(url, JOB_TRACKING)))
-    return F.when(part(url, 1).isin("http", "https"), made).otherwise(F.trim(F.coalesce(url, F.lit(""))))
-
-
-@F.pandas_udf(StringType())
-def canonical_path(paths: pd.Series) -> pd.Series:
-    """Percent escapes in one spelling, for paths that have any."""
-    return paths.map(lambda p: None if p is None else quote(unquote(p), safe="/:@!$&'()*+,;=-._~"))
+    return F.when(F.lower(part(url, 1)).isin("http", "https"), made).otherwise(F.trim(F.coalesce(url, F.lit(""))))
 
 
 def link_key(url: Column) -> Column:
@@ -100,4 +115,4 @@ def is_likely_article(title: Column, url: Column, site: Column) -> Column:
     """A web address of the site or a sub-domain, with a real title, neither the root nor an asset."""
     own = (host(url) == host(site)) | F.endswith(host(url), F.concat(F.lit("."), host(site)))
     asset = F.lower(path(url)).rlike(r"\.(?:jpe?g|png|gif|svg|webp|css|js|ico|pdf|zip)$")
-    return part(url, 1).isin("http", "https") & own & (F.char_length(F.trim(title)) >= 8) & (path(url) != "/") & ~asset
+    return F.lower(part(url, 1)).isin("http", "https") & own & (F.char_length(F.trim(title)) >= 8) & (path(url) != "/") & ~asset
