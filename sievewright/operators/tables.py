@@ -6,6 +6,8 @@ without a bound; where an operator orders within a key, the key is the caller's.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,16 +149,23 @@ def consensus(df: DataFrame, by: list[str], value: str, otherwise: Column) -> Da
 # Similarity and graphs
 
 
-def overlap_pairs(df: DataFrame, key: str, tokens: str, least: float, distinct_sets: bool = True) -> DataFrame:
-    """Pairs of different token sets with ``shared / larger >= least``, and the sets' members.
+def classes(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    """``(key, rep)`` of every row with tokens: rows of equal token sets are one class, its smallest key the representative."""
+    sets = df.select(key, F.array_sort(F.array_distinct(tokens)).alias("_set")).filter(F.size("_set") > 0)
+    return sets.join(sets.groupBy("_set").agg(F.min(key).alias("rep")), "_set").select(key, "rep")
+
 
-    Equal sets are one class, so copies do not make pairs.  Prefix filtering: two sets that share so
-    much have a common token among the first ``size - ceil(least * size) + 1`` of each, rarest first.
+def overlap_pairs(df: DataFrame, key: str, tokens: str, least: float, marked: str | None = None) -> DataFrame:
+    """``(left, right, shared, larger)``: pairs of representatives of different token sets with ``shared / larger >= least``.
+
+    Equal sets are one class, so copies do not make pairs; ``classes`` gives the members.  Prefix filtering: two sets that share so
+    much have a common token among the first ``size - ceil(least * size) + 1`` of each, rarest first.  With ``marked``, a
+    pattern, any shared token links two sets of which one has a token that matches.
     """
     sets = df.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(tokens)).alias("tokens")).filter(F.size("tokens") > 0)
-    classes = sets.groupBy("tokens").agg(F.min("key").alias("rep"), F.count("*").alias("members"))
-    counts = classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    rare = classes.select("rep", F.explode("tokens").alias("token")).join(counts, "token")
+    reps = sets.groupBy("tokens").agg(F.min("key").alias("rep"))
+    counts = reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    rare = reps.select("rep", F.explode("tokens").alias("token")).join(counts, "token")
     ordered = rare.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda t: t["token"]).alias("tokens"))
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - F.ceil(F.lit(least) * n).cast("int") + 1)
@@ -164,9 +173,87 @@ def overlap_pairs(df: DataFrame, key: str, tokens: str, least: float, distinct_s
     a, b = posted.alias("a"), posted.alias("b")
     size = (F.col("a.n") >= F.col("b.n") * least) & (F.col("b.n") >= F.col("a.n") * least)
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.rep") < F.col("b.rep")) & size)
-    shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    scored = met.select(F.col("a.rep").alias("left"), F.col("b.rep").alias("right"), shared.alias("shared"), F.greatest("a.n", "b.n").alias("larger")).distinct()
-    return scored.filter(F.col("shared") / F.col("larger") >= least)
+    shape = lambda d: d.select(F.least("a.rep", "b.rep").alias("left"), F.greatest("a.rep", "b.rep").alias("right"), F.size(F.array_intersect("a.tokens", "b.tokens")).alias("shared"), F.greatest("a.n", "b.n").alias("larger")).distinct()
+    found = shape(met).filter(F.col("shared") / F.col("larger") >= least)
+    if marked is None:
+        return found
+    every = ordered.select("rep", n.alias("n"), "tokens", F.explode("tokens").alias("token"))
+    some = every.filter(F.exists("tokens", lambda t: t.rlike(marked)))
+    also = some.alias("a").join(every.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.rep") != F.col("b.rep")))
+    return found.union(shape(also)).distinct()
+
+
+def linked_classes(df: DataFrame, key: str, tokens: str, pairs: DataFrame) -> DataFrame:
+    """``(key, rep, links)``: every row's class, and how many other classes it is linked to by ``pairs (left, right)``."""
+    ends = pairs.select(F.explode(F.array("left", "right")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    return classes(df, key, tokens).join(ends, "rep", "left").select(key, "rep", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
+def duplicate_reasons(df: DataFrame, key: str, by: list[tuple[str, str]], similar: DataFrame | None = None) -> DataFrame:
+    """``(key, reason, earlier)``: why a row repeats an earlier one, by the first of ``by (reason, column)`` that it shares with one.
+
+    ``similar (key, earlier)`` are rows that resemble an earlier one; that reason, ``similar``, is the last.  One aggregate and equi-join a column.
+    """
+    found = None
+    for rank, (reason, column) in enumerate(by):
+        first = df.filter(F.coalesce(F.col(column).cast("string"), F.lit("")) != "").groupBy(F.col(column).alias("_v")).agg(F.min(key).alias("_first"))
+        met = df.join(first, (F.col(column) == F.col("_v")) & (F.col(key) > F.col("_first"))).select(key, F.struct(F.lit(rank).alias("rank"), F.lit(reason).alias("reason"), F.col("_first").alias("earlier")).alias("m"))
+        found = met if found is None else found.union(met)
+    if similar is not None:
+        found = found.union(similar.select(key, F.struct(F.lit(len(by)).alias("rank"), F.lit("similar").alias("reason"), "earlier").alias("m")))
+    return found.groupBy(key).agg(F.min("m").alias("m")).select(key, "m.reason", "m.earlier")
+
+
+def related(df: DataFrame, key: str, within: str, weights: dict[str, int], k: int) -> DataFrame:
+    """``(key, related, points, place)``: for every row the ``k`` rows of its group with most points, a column's weight where both have its value.
+
+    A row that shares just the columns M with another is among the ``k`` best only if fewer than ``k`` rows of smaller key share M at least;
+    so each row meets the first ``k + 1`` of every group of equal M, not its whole group.
+    """
+    names = list(weights)
+    rows = df.select(key, within, *names)
+    found = None
+    for n in range(1, len(names) + 1):
+        for some in itertools.combinations(names, n):
+            by = [within, *some]
+            first = top_k(rows.dropna(subset=by), by, k + 1, key).withColumnsRenamed({c: f"_{c}" for c in rows.columns})
+            same = [F.col(c) == F.col(f"_{c}") for c in by]
+            met = rows.join(first, [*same, F.col(key) != F.col(f"_{key}")])
+            points = sum((F.when(F.col(c) == F.col(f"_{c}"), w).otherwise(0) for c, w in weights.items()), F.lit(0))
+            met = met.select(key, F.col(f"_{key}").alias("related"), points.alias("points"))
+            found = met if found is None else found.union(met)
+    return top_k(found.distinct(), [key], k, F.desc("points"), "related", rank="place")
+
+
+def outer_merge(first: DataFrame, second: DataFrame, key: str, value: str, flag: str) -> DataFrame:
+    """``(key, value, flag)`` of both sides: the first side's value where it has one, the flag of either."""
+    a, b = first.alias("a"), second.alias("b")
+    both = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return both.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), F.coalesce(f"a.{value}", f"b.{value}").alias(value), (yes(f"a.{flag}") | yes(f"b.{flag}")).alias(flag))
+
+
+def all_failed(df: DataFrame, by: list[str], failed: Column) -> DataFrame:
+    """Groups in which every row failed, with their number."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.bool_and(failed).alias("_all")).filter("_all").drop("_all")
+
+
+def mean_tenths(cents: Column, n: Column, places: int) -> Column:
+    """The mean of a sum of cents, rounded half up to some decimal places, by whole numbers alone."""
+    unit = 10**places
+    return (F.floor((cents * (2 * unit) + n * 100) / (n * 200)) / unit).cast("double")
+
+
+def anchors(pages: DataFrame, page_url: str, href: str, key) -> DataFrame:
+    """``(src, dst)``: distinct links between known pages, none to the page itself; ``key`` makes two addresses comparable."""
+    known = pages.select(key(F.col(page_url)).alias("_known")).distinct()
+    edges = pages.select(key(F.col(page_url)).alias("src"), F.explode(href).alias("_h")).select("src", key(F.col("_h")).alias("dst")).filter("src <> dst").distinct()
+    return edges.join(known, F.col("dst") == F.col("_known"), "left_semi")
+
+
+def planned(plan: DataFrame, edges: DataFrame) -> DataFrame:
+    """Planned edges that are not there yet."""
+    return plan.join(edges, ["src", "dst"], "left_anti")
 
 
 def degrees(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
