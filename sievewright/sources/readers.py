@@ -20,7 +20,7 @@ SOURCE = "name string, base_url string, feed_url string, enabled boolean, extrac
 REGISTRY = f"categories array<struct<key: string, name: string, label: string, sources: array<struct<{SOURCE.replace(' ', ': ').replace(',: ', ', ')}>>>>, sources array<struct<{SOURCE.replace(' ', ': ').replace(',: ', ', ')}>>"
 CAMPAIGN = "campaign_id string, identity_key string, semantic_key string, status string, url string, title string, company string, updated_at string"
 RUN = "run_id string, finished_at string, success boolean, sources_checked int, candidates_found int, published_url string"
-FEED_ITEM = "title string, link string, guid string, pubDate string, published string, updated string, description string, summary string"
+FEED_ITEM = "title string, link array<struct<_VALUE: string, _href: string, _rel: string>>, guid string, id string, pubDate string, published string, updated string, date string, description string, summary string"
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
@@ -76,27 +76,30 @@ def run_log(spark: SparkSession, path: str, tail: int = 672) -> DataFrame:
 def feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
     """Items of RSS (``item``) or Atom (``entry``) files: title, address, time, summary; the first of an address."""
     raw = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True).schema(FEED_ITEM).load(path)
-    at = F.coalesce("published", "pubDate", "updated")
+    at = F.coalesce("published", "pubDate", "updated", "date")
+    # a link is text, or an attribute whose relation is none or "alternate"
+    links = F.transform(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), lambda x: F.coalesce(F.nullif(F.trim(x["_VALUE"]), F.lit("")), F.trim(x["_href"])))
+    link = F.try_element_at(F.filter(links, lambda u: F.coalesce(u, F.lit("")) != ""), F.lit(1))
     shaped = raw.select(
         texts.clean(F.col("title")).alias("title"),
-        F.trim(F.coalesce("link", "guid")).alias("url"),
+        F.trim(F.coalesce(link, "guid", "id")).alias("url"),
         F.coalesce(times.parse(at), F.try_to_timestamp(F.regexp_replace(at, r"^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z"))).alias("published_at"),
         texts.clean(F.coalesce("description", "summary")).alias("summary"),
     ).filter("title <> '' and url <> ''")
     return tables.keep_first(shaped, ["url"], "published_at", "title")
 
 
-#: Listing adapters: host, path of a detail page, least title length, and the reference in the path.
+# Listing adapters: host, path of a detail page (the whole path), least title length.
 ADAPTERS: dict[str, dict[str, Any]] = {
-    "tanmia": {"host": "tanmia.ma", "path": r"/\d{2}-\d{2}-20\d{2}/\d+", "title": 8},
+    "tanmia": {"host": "tanmia.ma", "path": r"/\d{2}-\d{2}-20\d{2}/\d+(?:/.*)?", "title": 8},
     "accor": {"host": "careers.accor.com", "path": r"/global/en/job/.*-jid-\d+", "title": 8},
-    "alten": {"host": "alten.ma", "path": r"/jobs/\d{8,}-", "title": 8},
-    "inwi": {"host": None, "path": r"/jobs/\d+-", "title": 1},
+    "alten": {"host": "alten.ma", "path": r"/jobs/\d{8,}-.*", "title": 8},
+    "inwi": {"host": None, "path": r"/jobs/\d+-.*", "title": 1},
     "credit_du_maroc": {"host": None, "path": r"/offre-de-emploi/emploi-.*_\d+\.aspx", "title": 1},
     "cih": {"host": None, "path": r"/\d+_offre-emploi-.*\.html", "title": 1},
     "capgemini": {"host": "careers.capgemini.com", "path": r"/job/.*\d+", "title": 4},
-    "etalent": {"host": None, "path": r"/offre/\d+", "title": 4},
-    "ofppt": {"host": None, "path": r"/offre/\d+", "title": 8},
+    "etalent": {"host": None, "path": r"/offre/\d+(?:/.*)?", "title": 4},
+    "ofppt": {"host": None, "path": r"/offre/\d+(?:/.*)?", "title": 8},
 }
 
 
@@ -115,7 +118,7 @@ def listing(pages: DataFrame, id_col: str, html_col: str, url_col: str, adapter:
     if adapter:
         rule = ADAPTERS[adapter]
         own = F.lit(True) if rule["host"] is None else urls.host(F.col("url")) == rule["host"]
-        kept = found.filter(own & urls.path(F.col("url")).rlike(rule["path"]) & (F.char_length("title") >= rule["title"]))
+        kept = found.filter(own & urls.path(F.col("url")).rlike(f"^(?:{rule['path']})/?$") & (F.char_length("title") >= rule["title"]))
     else:
         kept = found.filter(urls.is_likely_article(F.col("title"), F.col("url"), F.col("page_url")))
     keyed = kept.withColumn("key", urls.canonical_job(F.col("url")))
@@ -175,3 +178,40 @@ def within_budget(df: DataFrame, by: list[str], size: Column, budget: int, *orde
     """Rows in order while their sizes fit a budget together."""
     running = F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("_sum", running).filter(F.col("_sum") <= budget).drop("_sum")
+
+
+STATE = "sources map<string, struct<last_crawled_at: string, discovery_last_status: string, discovery_last_new_count: int>>"
+
+
+def crawl_state(spark: SparkSession, path: str) -> DataFrame:
+    """``(source, last_crawled_at, status, new_count)`` of a keyed state document; one of another shape has none."""
+    raw = spark.read.schema(STATE).option("mode", "PERMISSIVE").json(path, multiLine=True)
+    found = raw.select(F.explode("sources").alias("source", "s")).filter("s is not null")
+    return found.select("source", times.parse(F.col("s.last_crawled_at")).alias("last_crawled_at"), F.col("s.discovery_last_status").alias("status"), F.coalesce("s.discovery_last_new_count", F.lit(0)).alias("new_count"))
+
+
+def by_identity(keys: DataFrame, pointers: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """Two hops: ``keys (identity_key)`` to ``pointers (identity_key, campaign_id)`` to the campaign; those that lead nowhere are left out."""
+    return keys.join(pointers, "identity_key").join(campaigns.drop("identity_key"), "campaign_id")
+
+
+def by_semantic(keys: DataFrame, index: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """``keys (semantic_key)`` to all campaigns that ``index (semantic_key, campaign_ids)`` lists and that are still there."""
+    return keys.join(index.select("semantic_key", F.explode("campaign_ids").alias("campaign_id")), "semantic_key").join(campaigns.drop("semantic_key"), "campaign_id")
+
+
+#: What reads a source, by its declared type; the general filter reads the others.
+EXTRACTORS = {**{name: "listing" for name in ADAPTERS}, "workday": "api", "csod": "api", "phenom": "embedded", "smartrecruiters": "api", "rss": "feed", "atom": "feed"}
+
+
+def dispatched(sources: DataFrame) -> DataFrame:
+    """Add ``reader``: what reads each source, a declared feed before its type."""
+    table = F.create_map(*(F.lit(x) for kv in EXTRACTORS.items() for x in kv))
+    kind = F.lower(F.trim(F.coalesce("extractor_type", F.lit(""))))
+    return sources.withColumn("reader", F.when(F.trim(F.coalesce("feed_url", F.lit(""))) != "", F.lit("feed")).otherwise(F.coalesce(F.try_element_at(table, kind), F.lit("general"))))
+
+
+def stamped(rows: DataFrame, sources: DataFrame, source: str, now: Column) -> DataFrame:
+    """Rows with their source's columns and the time of discovery; rows of unknown or disabled sources are left out."""
+    own = sources.filter("coalesce(enabled, true)").select(F.col("name").alias("_name"), "category_hint", "extractor_type")
+    return rows.join(own, F.col(source) == F.col("_name")).drop("_name").withColumn("discovered_at", now)

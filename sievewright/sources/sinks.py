@@ -6,7 +6,9 @@ reader never sees half a table and a run that fails leaves the old version.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tables
@@ -23,10 +25,47 @@ def write_if_changed(df: DataFrame, path: str, known: str | None) -> str:
     """Write unless the content's hash is the known one; the hash."""
     now = content_hash(df)
     if now != known:
-        df.write.mode("overwrite").parquet(path)
+        write_version(df, path)
     return now
 
 
+def _paths(spark: SparkSession, path: str):
+    """The path as the file system of the session knows it, and that file system."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_version(df: DataFrame, path: str) -> None:
+    """Write a folder beside ``path`` and give it the name once it is whole; ``df`` may read the old one."""
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{path}.{mark}")
+    where, files = _paths(spark, path)
+    old, _ = _paths(spark, f"{path}.{mark}-old")
+    new, _ = _paths(spark, f"{path}.{mark}")
+    if files.exists(where):
+        files.rename(where, old)
+    files.rename(new, where)
+    files.delete(old, True)
+
+
+def persist(first: tuple[DataFrame, str], *then: tuple[DataFrame, str]) -> list[str]:
+    """Write tables one after another, each only once those before it are whole: the queue first, then its cursors."""
+    written = []
+    for df, path in (first, *then):
+        write_version(df, path)
+        written.append(path)
+    return written
+
+
+def registry_store(registry: DataFrame, found: DataFrame, key: str, confidence: str, least: float) -> DataFrame:
+    """A registry with the findings that are sure enough in place of what it has, unless that is surer; equal ones stay."""
+    sure = found.filter(F.col(confidence) >= least)
+    both = registry.select("*", F.lit(0).alias("_new")).unionByName(sure.select("*", F.lit(1).alias("_new")))
+    rest = [c for c in registry.columns if c != confidence]
+    return tables.keep_first(both, [key], F.desc(confidence), "_new", *rest).drop("_new")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str], path: str) -> None:
     """All rows, new values over old ones unless blank, as a new version."""
     tables.upsert_non_blank(old, new, key, columns).drop("merge_state").write.mode("errorifexists").parquet(path)
@@ -41,9 +80,28 @@ def append_semantic(old: DataFrame, new: DataFrame, key: str, ids: str, one: str
 
 
 def archive_by_month(df: DataFrame, key: list[str], at: str, path: str) -> None:
-    """The newest row of each key in its month's partition; other months stay."""
-    monthly = tables.keep_first(df.withColumn("month", F.date_format(at, "yyyy-MM")), ["month", *key], F.desc(at))
-    monthly.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    """The newest row of each key in its month's partition, with the rows that the month has already; other months stay."""
+    spark = df.sparkSession
+    rows = df.withColumn("month", F.date_format(at, "yyyy-MM"))
+    where, files = _paths(spark, path)
+    if files.exists(where):
+        old = spark.read.option("basePath", path).schema(rows.schema).parquet(path)
+        rows = rows.unionByName(old.join(F.broadcast(rows.select("month").distinct()), "month", "left_semi"))  # as many months as are written
+    rest = sorted(c for c in df.columns if c not in (*key, at))
+    kept = tables.keep_first(rows, ["month", *key], F.desc(at), *(F.to_json(F.struct(c)) for c in rest))
+    # what is read and what is replaced are the same folders: the rows are written beside them first
+    beside = f"{path}.{uuid.uuid4().hex}"
+    kept.write.partitionBy("month").parquet(beside)
+    whole = spark.read.option("basePath", beside).schema(rows.schema).parquet(beside)
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    files.delete(_paths(spark, beside)[0], True)
+
+
+def compacted(df: DataFrame, id_col: str, url: str, columns: list[str]) -> DataFrame:
+    """Archive rows: a key of id and address, and of ``columns`` those that are not empty, as a map."""
+    key = F.substring(F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), F.coalesce(url, F.lit(""))), 256), 1, 24)
+    pairs = F.array(*(F.struct(F.lit(c).alias("k"), F.trim(F.col(c).cast("string")).alias("v")) for c in columns))
+    return df.select(key.alias("archive_key"), F.map_from_entries(F.filter(pairs, lambda p: F.coalesce(p["v"], F.lit("")) != "")).alias("kept"))
 
 
 def bounded_log(log: DataFrame, rows: DataFrame, most: int, at: str, tie: str) -> DataFrame:

@@ -6,6 +6,8 @@ checkpoint.  Time is event time throughout.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -24,7 +26,11 @@ HEALTH = "source string, failures int, cooldown_until timestamp, last_seen times
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A folder of its own under the shared one that the session names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="sievewright-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
