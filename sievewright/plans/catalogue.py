@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsons, ladders, texts, times, urls
-from ..operators import facts, html, identity, tables
+from ..operators import facts, html, identity, reports, schedule, tables
 from ..sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,10 +171,9 @@ def recovery_anti_join(spark, sf_dir):
 @query
 def post_merge_precedence(spark, sf_dir):
     """Purchases override signups by user; either flag counts."""
-    of = lambda kind, name: tables.top_k(events.filter(F.col("event_type") == kind), ["user_id"], 1, F.desc("ts"), F.desc("event_id")).select(F.col("user_id").alias(f"{name}_user"), F.col("event_id").alias(name))
     events = table(spark, sf_dir, "events")
-    both = of("purchase", "p").join(of("signup", "s"), F.col("p_user") == F.col("s_user"), "full")
-    return both.select(F.coalesce("p_user", "s_user").alias("user_id"), F.coalesce("p", "s").alias("event_id"), F.col("p").isNotNull().alias("bought"))
+    of = lambda kind: tables.top_k(events.filter(F.col("event_type") == kind), ["user_id"], 1, F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", F.lit(kind == "purchase").alias("bought"))
+    return tables.outer_merge(of("purchase"), of("signup"), "user_id", "event_id", "bought")
 
 
 @query
@@ -187,26 +186,20 @@ def interval_unique_match(spark, sf_dir):
 def all_failed_sources(spark, sf_dir):
     """Users and days whose events all failed."""
     events = table(spark, sf_dir, "events").select("user_id", _day().alias("day"), (F.col("event_type") == "error").alias("failed"))
-    return events.groupBy("user_id", "day").agg(F.count("*").alias("n"), F.bool_and("failed").alias("all_failed")).filter("all_failed").drop("all_failed")
+    return tables.all_failed(events, ["user_id", "day"], F.col("failed"))
 
 
 @query
 def similar_topic_pairs(spark, sf_dir):
-    """Classes of titles that share 0.62 of the larger's keywords."""
+    """Classes of titles that share 0.62 of the larger's keywords, or any with a CVE number; ``topic_classes`` has the members."""
     titled = table(spark, sf_dir, "documents").select("doc_id", texts.topic_keywords(texts.first_line(F.col("text"))).alias("tokens"))
-    return tables.overlap_pairs(titled, "doc_id", "tokens", 0.62).select("left", "right", "shared", "larger")
+    return tables.overlap_pairs(titled, "doc_id", "tokens", 0.62, marked="^cve-")
 
 
 @query
 def related_top3(spark, sf_dir):
-    """For every part of size 1 the three most related of its brand: type 8, size 4, name 2."""
-    part = table(spark, sf_dir, "part")
-    a, b = part.filter("p_size = 1").alias("a"), part.alias("b")
-    same = lambda c, w: F.when(F.col(f"a.{c}") == F.col(f"b.{c}"), w).otherwise(0)
-    scored = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") != F.col("b.p_partkey"))).select(
-        F.col("a.p_partkey").alias("part"), F.col("b.p_partkey").alias("related"), (same("p_type", 8) + same("p_size", 4) + same("p_name", 2)).alias("points")
-    )
-    return tables.top_k(scored.filter("points > 0"), ["part"], 3, F.desc("points"), "related", rank="place")
+    """For every part the three most related of its brand: type 8, size 4, name 2."""
+    return tables.related(table(spark, sf_dir, "part"), "p_partkey", "p_brand", {"p_type": 8, "p_size": 4, "p_name": 2}, 3).withColumnRenamed("p_partkey", "part")
 
 
 # Scores, gates, ranking
@@ -304,20 +297,21 @@ def best_confidence_dedup(spark, sf_dir):
 
 @query
 def daypart_engagement(spark, sf_dir):
+    """Mature events by part of the day: parts with three samples of two days, and their mean."""
     hour = F.hour("ts")
     part = F.when(hour < 8, "overnight").when(hour < 12, "morning").when(hour < 17, "midday").otherwise("evening")
     mature = table(spark, sf_dir, "events").filter((times.seconds_between(F.col("ts"), _now()) >= 86_400) & (F.col("event_type") != "error"))
-    grouped = mature.groupBy(part.alias("daypart")).agg(F.count("*").alias("samples"), F.countDistinct(_day()).alias("days"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
-    return grouped.filter("samples >= 3 and days >= 2")
+    return reports.engagement(mature, [part.alias("daypart")], "value", 1, _day()).filter("samples >= 3 and days >= 2")
 
 
 @query
 def daytype_period(spark, sf_dir):
+    """Purchases by kind of day and period: whether a cell has enough, its mean, and whether two cells have."""
     hour = F.hour("ts")
     kind = F.when(F.weekday("ts") < 5, "weekday").otherwise("weekend")
     period = F.when(hour < 12, "morning").when(hour < 17, "afternoon").otherwise("evening")
-    cells = table(spark, sf_dir, "events").filter("event_type = 'purchase'").groupBy(kind.alias("daytype"), period.alias("period")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
-    return cells.withColumn("enough", F.col("n") >= 4)
+    cells = reports.engagement(table(spark, sf_dir, "events").filter("event_type = 'purchase'"), [kind.alias("daytype"), period.alias("period")], "value", 2, _day())
+    return reports.with_flag(cells.withColumn("enough", F.col("samples") >= 4), "enough", 2, "recommend")
 
 
 @query
@@ -545,10 +539,7 @@ def log_tail(spark, sf_dir):
 
 @query
 def weekly_slots(spark, sf_dir):
-    """Purchases by 50-minute slot of the week, and the next slot with one."""
-    minute = F.weekday("ts") * 1440 + F.hour("ts") * 60 + F.minute("ts")
-    slot = F.floor(minute / 50).cast("int")
+    """Purchases by 50-minute slot of the week, and the next slot that has one, over the end of the week too."""
+    slot = F.floor((F.weekday("ts") * 1440 + F.hour("ts") * 60 + F.minute("ts")) / 50).cast("int")
     counted = table(spark, sf_dir, "events").filter("event_type = 'purchase'").groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    return counted.withColumn("next_slot", F.lead("slot").over(Window.partitionBy(F.floor(F.col("slot") / 29)).orderBy("slot")))
+    return schedule.following(counted, "slot", 202, "next_slot")

@@ -44,14 +44,14 @@ def any_key_lookup(spark, sf_dir):
     return gates.any_key_lookup(supplier, table(spark, sf_dir, "customer"), "s_suppkey", [("n", "c_name"), ("s_nationkey", "c_nationkey")], "c_custkey")
 
 
-@oracle(r"""with s as (select conv_id, turn, role, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{3,}')) w from conversations where text is not null),
-    p as (select a.conv_id, a.turn as "left", b.turn as "right", len(list_intersect(a.w, b.w)) x, len(a.w) n, len(b.w) m from s a join s b on a.conv_id = b.conv_id and a.turn < b.turn and a.role <> b.role
-      where len(a.w) >= 4 and len(b.w) >= 4)
-    select conv_id, "left", "right", x::bigint as shared from p where x >= 4 and x / least(n, m) >= 0.84 and x / (n + m - x) >= 0.55""")
+@oracle(r"""with s as (select conv_id, turn, role, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{3,}')) w, list_distinct(regexp_extract_all(text, '[0-9][0-9./:-]*[0-9]')) a, regexp_matches(lower(text), 'license|licence') k from conversations where text is not null),
+    p as (select a.conv_id, a.turn as "left", b.turn as "right", len(list_intersect(a.w, b.w)) x, len(a.w) n, len(b.w) m, len(list_intersect(a.a, b.a)) > 0 as atom, a.k and b.k as kind
+      from s a join s b on a.conv_id = b.conv_id and a.turn < b.turn and a.role <> b.role where len(a.w) >= 4 and len(b.w) >= 4)
+    select conv_id, "left", "right", x::bigint as shared from p where (x >= 4 and x / least(n, m) >= 0.84 and x / (n + m - x) >= 0.55) or (x > 0 and atom and x / least(n, m) >= 0.65) or (kind and x >= 3 and x / least(n, m) >= 0.55)""")
 @query
 def block_repetition(spark, sf_dir):
-    """Turns of a conversation that repeat the other role's."""
-    return gates.repeated_blocks(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    """Turns of a conversation that repeat the other role's, in their words, or in part with a number or a licence."""
+    return gates.repeated_blocks(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text", categories={"licence": "license|licence"})
 
 
 @oracle("""select o_orderkey, case when o_totalprice < 50000 then 'no_channel' when o_orderkey % 11 = 0 then 'bad_address' when o_orderkey % 7 = 0 then 'front_page'

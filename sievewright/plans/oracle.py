@@ -1,7 +1,8 @@
 """Independent DuckDB formulations of the registered queries, by the same names.
 
-Left out: queries over a parsed HTML tree, which SQL cannot express.  The streams' oracles
-give what the streams come to once all is processed.
+Left out: queries over a parsed HTML tree of unknown markup, which SQL cannot express.  The streams' oracles
+give what the streams come to once all is processed.  Names, patterns and limits in the SQL are the fixed values of
+``functions`` and ``operators``.
 """
 
 from __future__ import annotations
@@ -79,9 +80,10 @@ SQL: dict[str, str] = {
     "all_failed_sources": """select user_id, strftime(ts, '%Y-%m-%d') as day, count(*) n from events group by 1, 2 having count(*) = count(*) filter (event_type = 'error')""",
     "similar_topic_pairs": f"""with k as (select list_sort(kw) t, min(doc_id) rep from ({_KEYWORDS}) group by 1)
         select a.rep as "left", b.rep as "right", len(list_intersect(a.t, b.t))::int as shared, greatest(len(a.t), len(b.t))::int as larger
-        from k a join k b on a.rep < b.rep where len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) >= 0.62""",
+        from k a join k b on a.rep < b.rep where len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) >= 0.62
+          or (len(list_intersect(a.t, b.t)) > 0 and len(list_filter(list_concat(a.t, b.t), lambda w: starts_with(w, 'cve-'))) > 0)""",
     "related_top3": """with s as (select a.p_partkey part, b.p_partkey related, (case when a.p_type = b.p_type then 8 else 0 end + case when a.p_size = b.p_size then 4 else 0 end
-        + case when a.p_name = b.p_name then 2 else 0 end)::int as points from part a join part b on a.p_brand = b.p_brand and a.p_partkey <> b.p_partkey where a.p_size = 1)
+        + case when a.p_name = b.p_name then 2 else 0 end)::int as points from part a join part b on a.p_brand = b.p_brand and a.p_partkey <> b.p_partkey)
         select part, related, points, row_number() over (partition by part order by points desc, related)::int as place from s where points > 0
         qualify row_number() over (partition by part order by points desc, related) <= 3""",
     "score_clamped": f"""select o_orderkey, greatest(0, least(100, case when o_orderstatus = 'F' then 25 else 0 end + case when age_days <= 365 then 15 else 0 end
@@ -106,10 +108,11 @@ SQL: dict[str, str] = {
     "best_confidence_dedup": """select source, quality, arg_max(doc_id, (n_chars, -doc_id)) as doc_id, max(n_chars) as n_chars, min(doc_id) as first_position
         from documents join labels using (doc_id) group by source, quality""",
     "daypart_engagement": """select case when hour(ts) < 8 then 'overnight' when hour(ts) < 12 then 'morning' when hour(ts) < 17 then 'midday' else 'evening' end as daypart,
-        count(*) samples, count(distinct ts::date) as days, sum(round(value * 100)::bigint)::bigint as cents from events
+        count(*) samples, count(distinct ts::date) as days, ((sum(round(value * 100)::bigint) * 20 + count(*) * 100) // (count(*) * 200))::bigint / 10 as mean from events
         where event_type <> 'error' and floor((epoch_us(timestamp '2024-01-31') - epoch_us(ts)) / 1000000) >= 86400 group by 1 having count(*) >= 3 and count(distinct ts::date) >= 2""",
     "daytype_period": """select case when isodow(ts) < 6 then 'weekday' else 'weekend' end as daytype, case when hour(ts) < 12 then 'morning' when hour(ts) < 17 then 'afternoon' else 'evening' end as period,
-        count(*) n, sum(round(value * 100)::bigint)::bigint as cents, count(*) >= 4 as enough from events where event_type = 'purchase' group by 1, 2""",
+        count(*) samples, count(distinct ts::date) as days, ((sum(round(value * 100)::bigint) * 200 + count(*) * 100) // (count(*) * 200))::bigint / 100 as mean, count(*) >= 4 as enough,
+        count(*) filter (where count(*) >= 4) over () >= 2 as recommend from events where event_type = 'purchase' group by 1, 2""",
     "blocker_top10": """select label, count(*) n from (select unnest(list_filter([case when l_returnflag = 'R' then 'returned' end, case when l_linestatus = 'O' then 'open' end,
         case when l_discount > 0.08 then 'discounted' end, case when l_quantity > 45 then 'bulk' end, case when l_tax = 0 then 'untaxed' end], lambda x: x is not null)) as label from lineitem)
         group by label order by n desc, label limit 10""",
@@ -175,5 +178,8 @@ SQL: dict[str, str] = {
     "budgeted_rows": "select conv_id, turn from conversations qualify sum(length(text)) over (partition by conv_id order by turn, role, text rows unbounded preceding) <= 1000",
     "log_tail": "select event_id from events order by ts desc, event_id desc limit 672",
     "weekly_slots": """with s as (select ((isodow(ts) - 1) * 1440 + hour(ts) * 60 + minute(ts)) // 50 as slot, count(*) n from events where event_type = 'purchase' group by 1)
-        select slot::int as slot, n, (lead(slot) over (partition by slot // 29 order by slot))::int as next_slot from s""",
+        select slot::int as slot, n, coalesce(lead(slot) over (order by slot), min(slot) over ())::int as next_slot from s""",
+    "link_degree_orphans": f"""with p as (select {_HOST} as src from pages), e as (select distinct src, regexp_replace(src, '^(?:m|blog)\\.', '') as dst from p), n as (select src as host from e union select dst from e)
+        select host, count(*) filter (where dst = host) as in_degree, count(*) filter (where src = host) as out_degree, count(*) filter (where dst = host) = 0 as orphan
+        from n left join (select * from e where src <> dst) on host in (src, dst) group by host""",
 }

@@ -40,8 +40,12 @@ def test_reference(spark, url, ref):
     assert value(spark, urls.reference(F.col("u").cast("string")), u=url) == ref
 
 
-def test_escaped_paths_have_one_spelling():
-    assert urls.canonical_path.func(pd.Series(["/%d8%a7", "/ا", None])).tolist()[:2] == ["/%D8%A7", "/%D8%A7"]
+@pytest.mark.parametrize("path", ["/%d8%a7", "/ا", "/a%2Fb c", "/a+b", "/100%", "/a~b!*'()@:$&,;=", "/%zz%41", "/plain-path_1.html", "/é%C3%A9"])
+def test_paths_are_spelled_as_the_library_does(spark, path):
+    from urllib.parse import quote, unquote
+
+    safe = "/:@!$&'()*+,;=-._~"
+    assert value(spark, urls.spelled(F.col("u"), safe, "/"), u=path) == quote(unquote(path), safe=safe)
 
 
 def test_topics(spark):
@@ -114,7 +118,7 @@ def test_overlap_pairs_against_brute_force(spark):
 
 
 def test_html_of_broken_markup():
-    title, text, blocks, found, links = html.parse('<title>T &amp; U</title><script>var t="</p>";</script><h1>Head</h1><p>One<p>Two<table><tr><th>A<td>1</table><a href="/x">go</a>')
+    title, text, blocks, found, links, *_ = html.parse('<title>T &amp; U</title><script>var t="</p>";</script><h1>Head</h1><p>One<p>Two<table><tr><th>A<td>1</table><a href="/x">go</a>')
     assert title == "T & U" and "var t" not in text
     assert [b["heading"] for b in blocks if b["text"] in ("One", "Two")] == ["Head", "Head"]
     assert links == [{"href": "/x", "label": "go"}] and found
@@ -157,3 +161,15 @@ def test_numbers(spark):
     assert value(spark, numbers.next_page(F.lit("https://x/?a=1&page=9#z"))) == "https://x/?a=1&page=10"
     assert value(spark, numbers.feed_links(F.lit('<link rel="alternate" type="application/rss+xml" href="/f.xml">'))) == ["/f.xml"]
     assert numbers.object_after('x = {"a": {"b": "}"}} tail', "x") == '{"a": {"b": "}"}}' and numbers.object_after("x = {", "x") is None
+
+
+def test_tables_beyond_the_budget_are_left_out_and_never_merged():
+    rows = lambda n, t: "".join(f"<tr><td>{t}.{i}</td></tr>" for i in range(n))
+    page = "".join(f"<table>{rows(2, t)}</table>" for t in range(html.MOST_TABLES + 2))
+    *_, found, _, truncated, _, _, _, _, _ = html.parse(page)
+    assert found == [[[f"{t}.0"], [f"{t}.1"]] for t in range(html.MOST_TABLES)] and truncated
+    *_, found, _, truncated, _, _, _, _, _ = html.parse(f"<table>{rows(html.MOST_ROWS + 3, 0)}</table><table>{rows(1, 1)}</table>")
+    assert [len(t) for t in found] == [html.MOST_ROWS, 1] and found[0][-1] == [f"0.{html.MOST_ROWS - 1}"] and truncated
+    *_, found, _, truncated, _, _, _, _, _ = html.parse("<table><tr>" + "".join(f"<td>{i}" for i in range(20)) + f"</tr><tr><td>{'x' * html.MOST_CHARS}</td></tr><tr><td>y</td></tr></table>")
+    assert found == [[[str(i) for i in range(html.MOST_CELLS)]]] and truncated
+    assert html.parse("<table><tr><td>a<table><tr><td>inner</table></td></tr></table>")[5] is False and html.parse(None)[1] == ""

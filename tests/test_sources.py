@@ -2,9 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from sievewright.operators import facts
+from sievewright.operators import facts, tables
 from sievewright.sources import readers, sinks
 
 
@@ -92,15 +93,22 @@ def test_write_only_when_changed(spark, tmp_path):
     assert sinks.write_if_changed(df.orderBy(F.desc("i")), str(tmp_path / "never"), known) == known
     assert not (tmp_path / "never").exists() and spark.read.parquet(path).count() == 2
     assert sinks.content_hash(df.union(df)) != known
+    # a table that is made of the one it replaces; no other version is left
+    sinks.write_if_changed(spark.read.parquet(path).filter("i = 1"), path, known)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(1, "a")] and [p.name for p in tmp_path.iterdir()] == ["t"]
+    with pytest.raises(Exception, match="boom"):
+        sinks.write_version(spark.range(3).select(F.raise_error(F.lit("boom")).alias("i")), path)
+    assert spark.read.parquet(path).count() == 1
 
 
-def test_archive_keeps_other_months(spark, tmp_path):
+def test_archive_keeps_other_months_and_the_months_own_rows(spark, tmp_path):
     path = str(tmp_path / "a")
     rows = lambda *r: spark.createDataFrame(list(r), "id int, at string").withColumn("at", F.to_timestamp("at"))
     sinks.archive_by_month(rows((1, "2024-01-01"), (1, "2024-01-05"), (2, "2024-02-01")), ["id"], "at", path)
     sinks.archive_by_month(rows((3, "2024-02-02")), ["id"], "at", path)
     got = sorted((str(r.month)[:7], r.id, r["at"].day) for r in spark.read.option("inferSchema", False).parquet(path).withColumn("month", F.col("month").cast("string")).collect())
-    assert got == [("2024-01", 1, 5), ("2024-02", 3, 2)]
+    assert got == [("2024-01", 1, 5), ("2024-02", 2, 1), ("2024-02", 3, 2)]
+    assert [p.name for p in tmp_path.iterdir()] == ["a"]  # nothing is left beside it
 
 
 def test_link_cache(spark):
@@ -114,3 +122,36 @@ def test_table_facts(spark):
     df = spark.createDataFrame([(1, tables)], "id int, t array<array<array<string>>>")
     got = {(r.category, r.value) for r in facts.from_tables(df, "id", "t", {"positions": "Seats", "deadline": "Deadline"}).collect()}
     assert got == {("positions", "12"), ("positions", "3"), ("deadline", "2024-05-01")}
+
+
+def test_feeds(spark, tmp_path):
+    (tmp_path / "atom.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>T</title><link href="https://x.example/1" rel="alternate"/><id>tag:1</id><updated>2024-01-02T03:04:05Z</updated></entry><entry><title>U</title><id>https://x.example/2</id></entry></feed>')
+    (tmp_path / "rss.xml").write_text("<rss><channel><item><title>A</title><link>https://x.example/3</link><pubDate>Tue, 02 Jan 2024 03:04:05 +0000</pubDate></item><item><title></title><link>https://x.example/4</link></item></channel></rss>")
+    atom = {r.title: r for r in readers.feed(spark, str(tmp_path / "atom.xml"), "entry").collect()}
+    assert (atom["T"].url, atom["U"].url) == ("https://x.example/1", "https://x.example/2") and atom["T"].published_at is not None
+    assert [(r.title, r.url) for r in readers.feed(spark, str(tmp_path / "rss.xml")).collect()] == [("A", "https://x.example/3")]
+
+
+def test_related_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.choice([None, 1, 2, 3]), rng.choice("xyz"), rng.choice("pq")) for i in range(120)]
+    weights = {"t": 8, "s": 4, "n": 2}
+    got = sorted((r.i, r.related, r.points) for r in tables.related(spark.createDataFrame(rows, "i int, g string, t int, s string, n string"), "i", "g", weights, 3).collect())
+    want = []
+    for i, g, *own in rows:
+        scored = sorted((-sum(w for w, x, y in zip(weights.values(), own, other, strict=True) if x is not None and x == y), j) for j, h, *other in rows if h == g and j != i)
+        want += [(i, j, -p) for p, j in scored[:3] if p]
+    assert got == sorted(want)
+
+
+def test_similar_titles_with_a_number_in_common(spark):
+    rows = [(1, ["cve-2024-1", "flaw", "parser"]), (2, ["flaw", "other", "words", "here"]), (3, ["parser", "news", "of", "day"]), (4, ["a", "b", "c"]), (5, ["a", "b", "c", "d"]), (6, ["c", "b", "a"])]
+    df = spark.createDataFrame(rows, "k int, t array<string>")
+    pairs = tables.overlap_pairs(df, "k", "t", 0.62, marked="^cve-")
+    assert sorted((r.left, r.right) for r in pairs.collect()) == [(1, 2), (1, 3), (4, 5)]
+    got = {r.k: (r.rep, r.links) for r in tables.linked_classes(df, "k", "t", pairs).collect()}
+    assert got == {1: (1, 2), 2: (2, 1), 3: (3, 1), 4: (4, 1), 6: (4, 1), 5: (5, 1)}
+    reasons = tables.duplicate_reasons(df.withColumn("h", F.size("t")), "k", [("size", "h")], pairs.select(F.col("right").alias("k"), F.col("left").alias("earlier")))
+    assert {r.k: (r.reason, r.earlier) for r in reasons.collect()} == {3: ("size", 2), 4: ("size", 1), 5: ("size", 2), 6: ("size", 1), 2: ("similar", 1)}
