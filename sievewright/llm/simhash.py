@@ -23,11 +23,13 @@ together with the parent too, and a shard yields its components as stars, not it
 number follows the fingerprints'.
 
 *Similarity.*  ``representatives`` links texts by the Jaccard similarity of their
-sets of shingles.  Sets meet in shards where one of ``BANDS`` keys agrees, each of ``WIDTH`` of
+sets of shingles.  Sets meet where one of ``BANDS`` keys agrees, each of ``WIDTH`` of
 the set's minima under multiplied hashes: a pair at 0.8 is missed once in 9,000.  In ``STARS``
-rounds the sets of a key meet one of theirs, so a large group of near copies does not make all
-its pairs; what then still hangs apart asks the shard's BK-tree of 128-bit fingerprints, at a radius
-that a pair of the asked similarity hardly ever exceeds.  Every candidate is decided by the two sets themselves.
+rounds the sets of a key meet one of theirs; what is similar to that one hangs together.  Keys whose sets still hang apart
+make *families*: sets that share such keys, directly or through others.  A family is a shard that each of its sets is sent to once, whatever the
+keys they share; it asks its BK-tree of 128-bit fingerprints, at a radius that a pair of the asked similarity hardly ever exceeds.  Every
+candidate is decided by the two sets themselves, in the shard: what leaves it is links, as stars, so that a large family whose members are just
+below the asked similarity does not make all its pairs as rows.  A family of more than ``FAMILY`` sets is split as a large shard is.
 
 Defined results: words are separated by ASCII white space, A-Z are lower-cased; a
 null or empty text and one without words have fingerprint zero and are linked like
@@ -41,6 +43,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -60,8 +63,8 @@ PART = 16
 BANDS, WIDTH = 30, 6
 #: Standard deviations above the mean distance that a fingerprint may be off.
 SPREAD = 4
-#: Rounds in which the sets of a key meet one of theirs.
-STARS = 2
+#: Rounds in which the sets of a key meet one of theirs; most sets of a part of a family; shingles compared at a time.
+STARS, FAMILY, SLICE = 2, 1_024, 4_096
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _HASHES = 1 << 16
 
@@ -303,31 +306,62 @@ def _shard_links(radius: int, lanes: int):
     return links
 
 
-def _tree_pairs(radius: int, lanes: int, similarity: float):
-    """A map over sets ``(key, i, j, node, n, label, fp)`` sorted by shard: pairs of different labels that a tree finds within the radius."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of sorted sets share, by products of slices of their membership."""
+    sizes = [len(x) for x in sets]
+    values, of = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(of, minlength=len(values)) > 1  # of an element of one set nothing is shared
+    column = np.cumsum(shared) - 1
+    kept = shared[of]
+    owner, column = owner[kept], column[of[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, SLICE):
+        low, high = np.searchsorted(column, [at, at + SLICE])
+        member = np.zeros((len(sets), min(SLICE, int(column[-1]) + 1 - at)), np.float32)
+        member[owner[low:high], column[low:high] - at] = 1
+        out += member @ member.T
+    return out
+
+
+def _family_links(radius: int, lanes: int, similarity: float):
+    """A map over sets ``(key, i, j, label, fp, set)`` sorted by shard: links of similar sets of different labels that a tree finds."""
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, *columns, fp in _shards(batches, 3):
-            node, n, label = (c.to_numpy(zero_copy_only=False) for c in columns)
-            # of two labels one is not the first row's: its rows ask
-            lead = label[np.r_[0, np.flatnonzero(np.diff(shard)) + 1]][shard]
-            asking = np.flatnonzero(label != lead)
-            for a, b in Forest(_lanes_of(fp, lanes), shard).near(asking, shard[asking], radius):
-                kept = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
-                a, b = node[a[kept]], node[b[kept]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, node, label, fp, content in _shards(batches, 3):
+            node, label = (c.to_numpy(zero_copy_only=False) for c in (node, label))
+            x, groups = _lanes_of(fp, lanes), Groups(len(node))
+            values, edges = content.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.r_[0, np.cumsum(content.value_lengths().to_numpy(zero_copy_only=False))]
+            starts = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
+            for first, last in itertools.pairwise(starts.tolist()):
+                n = last - first
+                own = label[first:last]
+                if (own == own[0]).all():
+                    continue
+                sets = [values[edges[k] : edges[k + 1]] for k in range(first, last)]
+                sizes, common = np.array([len(v) for v in sets]), overlaps(sets)
+                rows = np.arange(n)
+                for a, b in Forest(x[first:last], np.zeros(n, np.int64)).near(rows, np.zeros(n, np.int64), radius):
+                    both = common[a, b]
+                    kept = (own[a] != own[b]) & (both >= similarity * (sizes[a] + sizes[b] - both) - 1e-6)
+                    groups.add(first + a[kept], first + b[kept])
+            root = groups.settle()
+            linked = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[root[linked]]), pa.array(node[linked])], names=["a", "b"])
 
-    return pairs
+    return links
 
 
-def blocks(keyed: DataFrame, by: str) -> DataFrame:
+def blocks(keyed: DataFrame, by: str, most: int, sampled: int) -> DataFrame:
     """``keyed``, of columns ``key`` and others, with ``i, j``: the two parts of its shard that meet in a block.
 
-    ``by`` names the column that deals a large shard's rows into parts.
+    ``by`` names the column that deals a shard of more than ``most`` rows into parts.
     """
-    # which shards to split is estimated from a part of the rows; the pairs are the same however they are split
-    part = keyed.filter(F.pmod(F.xxhash64(by, F.lit(SEED)), F.lit(PART)) == 0).groupBy("key").agg((F.count("*") * PART).alias("n"))
-    large = cut(part.filter(F.col("n") > SHARD).select(F.col("key").alias("large"), F.ceil(F.col("n") / SHARD).cast("int").alias("parts")))
+    # which shards to split is estimated from one in ``sampled`` rows; the pairs are the same however they are split
+    part = keyed.filter(F.pmod(F.xxhash64(by, F.lit(SEED)), F.lit(sampled)) == 0).groupBy("key").agg((F.count("*") * sampled).alias("n"))
+    large = cut(part.filter(F.col("n") > most).select(F.col("key").alias("large"), F.ceil(F.col("n") / most).cast("int").alias("parts")))
     if large.isEmpty():
         return keyed.withColumns({"i": F.lit(0), "j": F.lit(0)})
     parts = F.coalesce("parts", F.lit(1))
@@ -339,7 +373,7 @@ def blocks(keyed: DataFrame, by: str) -> DataFrame:
 def link(fps: DataFrame, radius: int, masks: list[int], lanes: int = 1, fp: str = "fp") -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints, enough to connect all within ``radius`` under a common probe."""
     keyed = fps.select(F.explode(_keys(F.col(fp), masks, lanes)).alias("key"), F.col(fp).alias("fp"))
-    shards = blocks(keyed, "fp").select("key", "i", "j", "fp").repartition(tasks_for(fps.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    shards = blocks(keyed, "fp", SHARD, PART).select("key", "i", "j", "fp").repartition(tasks_for(fps.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return shards.mapInArrow(_shard_links(radius, lanes), "a array<bigint>, b array<bigint>").distinct()
 
 
@@ -442,26 +476,30 @@ def similar(sets: DataFrame, texts: DataFrame, shingle: int, similarity: float,
         common = F.size(F.array_intersect("sa", "sb"))
         return cut(both.filter(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b"))
 
-    labelled, roots, links = posted.withColumn("label", F.col("node")), None, None
+    def components_of(links: DataFrame) -> DataFrame:
+        return cut(components(links).select("node", F.col("root").alias("label")))
+
+    def relabelled(labels: DataFrame) -> DataFrame:
+        return cut(posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+    labelled, links = posted.withColumn("label", F.col("node")), []
     for turn in range(STARS + 1):
         hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "fp", "label"))
         apart_still = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), hub.alias("hub")).filter("low < high")
         apart_still = cut(apart_still.select("key", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "fp", "label"))))
         if turn < STARS:
             starred = spread_join(labelled, apart_still, "key").filter((F.col("label") != F.col("hub_label")) & near)
-            pairs = starred.select(F.col("hub_node").alias("a"), F.col("node").alias("b"))
-        else:
-            rest = cut(spread_join(labelled, apart_still.select("key"), "key"))
-            shards = blocks(rest, "node").select("key", "i", "j", "node", "n", "label", "fp").repartition(tasks_for(spark), "key", "i", "j")
-            pairs = shards.sortWithinPartitions("key", "i", "j").mapInArrow(_tree_pairs(radius, lanes, similarity), "a bigint, b bigint")
-        found = verified(pairs)
-        if turn and found.isEmpty():
+            links.append(verified(starred.select(F.col("hub_node").alias("a"), F.col("node").alias("b"))))
+            labelled = relabelled(components_of(reduce(DataFrame.union, links)))
             continue
-        links = found if links is None else links.union(found)
-        roots = components(links)
-        labels = cut(roots.select("node", F.col("root").alias("label")))
-        labelled = cut(posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    return roots
+        # a set's family is the component of the keys that it shares with sets that it does not hang together with
+        met_apart = cut(spread_join(labelled.select("key", "node", "label", "fp"), apart_still.select("key", "hub_node"), "key"))
+        families = components(met_apart.select(F.col("hub_node").alias("a"), F.col("node").alias("b"))).select("node", F.col("root").alias("key"))
+        members = cut(met_apart.groupBy("node").agg(F.first("label").alias("label"), F.first("fp").alias("fp")).join(families, "node"))
+        shards = blocks(members.select("key", "node", "label", "fp"), "node", FAMILY, 1).join(shelf, "node").select("key", "i", "j", "node", "label", "fp", "set")
+        shards = shards.repartition(tasks_for(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        links.append(cut(shards.mapInArrow(_family_links(radius, lanes, similarity), "a bigint, b bigint")))
+    return components(reduce(DataFrame.union, links))
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 128) -> DataFrame:

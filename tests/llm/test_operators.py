@@ -541,10 +541,19 @@ def test_one_of_each_group_stays(spark, odd, empty):
     assert simhash.representatives(empty).count() == 0 and simhash.near_duplicates(odd).count() == len(ODD)
 
 
-@pytest.mark.parametrize("stars", [0, 2])
-def test_representatives_against_brute_force(spark, monkeypatch, stars):
-    """Groups of near copies: every pair of 0.8 or more is linked, and no other; with and without the rounds before the trees."""
+def test_overlaps_against_sets(monkeypatch):
+    monkeypatch.setattr(simhash, "SLICE", 7)
+    rng = random.Random(2)
+    sets = [sorted({rng.randrange(60) for _ in range(rng.randrange(30))}) for _ in range(20)]
+    got = simhash.overlaps([np.array(x, np.uint64) for x in sets])
+    assert all(got[i, j] == len(set(sets[i]) & set(sets[j])) for i in range(20) for j in range(20) if i != j)
+
+
+@pytest.mark.parametrize(("stars", "family"), [(0, 1_024), (1, 4)])
+def test_representatives_against_brute_force(spark, monkeypatch, stars, family):
+    """Groups of near copies: every pair of 0.8 or more is linked, and no other; without the rounds before the trees, and with families that are split."""
     monkeypatch.setattr(simhash, "STARS", stars)
+    monkeypatch.setattr(simhash, "FAMILY", family)
     rng = random.Random(13)
     texts = []
     for _ in range(12):
