@@ -140,16 +140,17 @@ def mix(
     left = F.round("target").cast("long") - F.sum("quota").over(source) * block
     full = F.col("target") >= F.col("source_size") * most
     wanted = F.when(full, F.col("shard_size") * most).otherwise(F.col("quota") * block + F.when(largest, left).otherwise(0))
-    quota = quota.withColumn("wanted", F.greatest(F.lit(0), F.least(wanted, F.col("shard_size") * most))).filter("shard_size > 0")
+    quota = quota.withColumn("wanted", F.greatest(F.lit(0), F.least(wanted, F.col("shard_size") * most)))
     draw = F.xxhash64(F.lit(seed + 1), *by)
     blocks = F.floor(F.col("shard_size") / block)
     strides = F.filter(F.array(*(F.lit(s).cast("long") for s in STRIDES)), lambda s: (F.col("blocks") == 0) | (F.col("blocks") % s != 0))
-    quota = quota.withColumns({"blocks": blocks, "rest": F.col("wanted") % F.col("shard_size")}).select(
+    some = F.greatest("shard_size", F.lit(1))  # a shard without words wants none
+    quota = quota.withColumns({"blocks": blocks, "rest": F.col("wanted") % some}).select(
         *by,
         "source_size",
         "target",
         "blocks",
-        F.floor(F.col("wanted") / F.col("shard_size")).cast("int").alias("epochs"),
+        F.floor(F.col("wanted") / some).cast("int").alias("epochs"),
         # whole blocks that are taken once more, and the words of the one that is taken in part
         F.least(F.floor(F.col("rest") / block), F.col("blocks")).alias("rest"),
         (F.col("rest") - F.least(F.floor(F.col("rest") / block), F.col("blocks")) * block).alias("part"),
@@ -157,10 +158,8 @@ def mix(
         F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(draw), F.greatest("blocks", F.lit(1)))).otherwise(0).alias("offset"),
     )
     stream = Window.partitionBy(*by).orderBy("key", "key2", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    laid = sized.withColumn("end", F.sum("size").over(stream)).join(quota, by, "left").withColumn("start", F.col("end") - F.col("size"))
-    # a shard without words has no quota: its rows' source may have words elsewhere
-    of_source = for_source.select("none", "named", F.col("source_size").alias("_size"), F.col("target").alias("_target"))
-    laid = laid.join(of_source, ["none", "named"], "left").withColumns({"source_size": F.coalesce("source_size", "_size"), "target": F.coalesce("target", "_target"), "epochs": F.when(F.col("size") > 0, F.col("epochs")).otherwise(0)})
+    laid = sized.withColumn("end", F.sum("size").over(stream)).join(quota, by).withColumn("start", F.col("end") - F.col("size"))
+    laid = laid.withColumn("epochs", F.when(F.col("size") > 0, F.col("epochs")).otherwise(0))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)
     blocks_of = F.when((F.col("end") > F.col("start")) & (F.col("rest") + F.col("part") > 0), F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<bigint>"))
 
