@@ -158,7 +158,8 @@ def mix(
         F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(draw), F.greatest("blocks", F.lit(1)))).otherwise(0).alias("offset"),
     )
     stream = Window.partitionBy(*by).orderBy("key", "key2", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    laid = sized.withColumn("end", F.sum("size").over(stream)).join(quota, by).withColumn("start", F.col("end") - F.col("size"))
+    # by shard, and not as the rows come from the join by source: a source may hold a third of them
+    laid = sized.repartition(*by).withColumn("end", F.sum("size").over(stream)).join(quota, by).withColumn("start", F.col("end") - F.col("size"))
     laid = laid.withColumn("epochs", F.when(F.col("size") > 0, F.col("epochs")).otherwise(0))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)
     blocks_of = F.when((F.col("end") > F.col("start")) & (F.col("rest") + F.col("part") > 0), F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<bigint>"))
