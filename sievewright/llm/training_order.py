@@ -3,7 +3,8 @@
 ``write_order`` cuts each row's token ids into records of ``length`` ids, numbered without gaps.  A keyed
 Feistel network over the next power of four, cycle-walking until the number is in range, permutes the
 numbers into *slots*: a bijection that any task computes by itself.  The records are dealt out in
-contiguous ranges of slots, by number and not by hash, and each range's task writes its shards as raw files:
+contiguous ranges of slots, by number and not by hash, travelling in compressed blocks of one range each; a range's task
+puts them at their slots, which needs no sort, and writes its shards as raw files:
 slot ``s`` is at byte ``(s mod per_shard) * stride`` of the file of shard ``s // per_shard``.  A row for each shard goes to
 a table of ``MANIFEST`` beside them.  ``read_order`` reads any range of slots, seeking by stride, so a run can resume anywhere.
 
@@ -15,17 +16,19 @@ same bytes.  Numbering takes two jobs over the input; a task that does not meet
 fails, so the input must come in the same order when it is read again, as files do.
 
 Defined results: a null or empty column of ids is one record of no ids; repeated rows have records of
-their own; an empty table has no shard; only the named columns are read, so others cannot clash.  Memory: one Arrow batch,
-and one shard of ``per_shard`` records.
+their own; an empty table has no shard; only the named columns are read, so others cannot clash.  Memory: one Arrow batch
+and ``BLOCK`` bytes of records where they are cut, one range of slots (``RANGE`` bytes and a shard) where they are written.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ ROUNDS, KEY = 6, 0x5EED
 NO_ID = -(1 << 63)
 #: Bytes of records that a range of slots has at most, unless the session asks for more ranges.
 RANGE = 128 << 20
+#: Bytes of records that a task gathers before it packs them by ranges.
+BLOCK = 16 << 20
 MANIFEST = "shard bigint, first_slot bigint, records bigint, length int, width int, per_shard bigint, file string"
 RECORDS = "slot bigint, id bigint, part bigint, n bigint, ids binary"
 
@@ -71,20 +76,34 @@ def located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def _numbered(starts: dict[int, tuple[int, int, int]], total: int, kind: np.dtype, key: int):
-    """Map over rows ``(id, ids, mark)``: their records and slots."""
+def _bounds(span: int, spans: int, shards: int) -> tuple[int, int]:
+    """The first shard of a range of slots, and the first of the next: shard ``s`` is in range ``s * spans // shards``."""
+    return -(-span * shards // spans), -(-(span + 1) * shards // spans)
+
+
+def _numbered(starts: dict[int, tuple[int, int, int]], total: int, spans: int, per_shard: int, kind: np.dtype, key: int):
+    """Map over rows ``(id, ids, mark)``: blocks of their slots and records, each of one range."""
     length, width = kind["ids"].shape[0], kind["ids"].base.itemsize
+    shards = -(-total // per_shard)
+
+    def packed(numbers: np.ndarray, record: np.ndarray) -> pa.RecordBatch:
+        slot = slots(numbers, total, key)
+        span = slot // per_shard * spans // shards
+        order = np.argsort(span, kind="stable")
+        found, first = np.unique(span[order], return_index=True)
+        blocks = [zstandard.compress(slot[g].tobytes() + record[g].tobytes(), 3) for g in np.split(order, first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blocks, pa.binary())], names=["span", "block"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         partition = TaskContext.get().partitionId()
         first, wanted, marked = starts.get(partition, (0, 0, 0))
-        at, seen = first, 0
+        at, seen, held, begun = first, 0, [], first
         for batch in batches:
             seen ^= int(np.bitwise_xor.reduce(batch.column(2).to_numpy(zero_copy_only=False))) if batch.num_rows else 0
-            for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(packed.as_py() or b"", f"<u{width}")
+            for doc, given in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.frombuffer(given.as_py() or b"", f"<u{width}")
                 n = max(1, -(-len(ids) // length))
                 if at + n > first + wanted:
                     break
@@ -92,43 +111,52 @@ def _numbered(starts: dict[int, tuple[int, int, int]], total: int, kind: np.dtyp
                 record["id"], record["part"] = NO_ID if doc is None else doc, np.arange(n)
                 record["n"] = np.clip(len(ids) - length * np.arange(n), 0, length)
                 record["ids"] = np.pad(ids, (0, n * length - len(ids))).reshape(n, length)
-                slot = slots(np.arange(at, at + n), total, key)
+                held.append(record)
                 at += n
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array([r.tobytes() for r in record], pa.binary())], names=["slot", "record"])
+                if (at - begun) * kind.itemsize >= BLOCK:
+                    yield packed(np.arange(begun, at), np.concatenate(held))
+                    held, begun = [], at
+        if held:
+            yield packed(np.arange(begun, at), np.concatenate(held))
         if (at - first, seen) != (wanted, marked):
             raise RuntimeError(f"partition {partition} is not as it was counted: the input must come in the same order when it is read again, as files do")
 
     return records
 
 
-def _written(path: str, length: int, width: int, per_shard: int):
-    """Map over records sorted by slot: shards' files, and their rows of the manifest."""
+def _written(path: str, total: int, spans: int, per_shard: int, kind: np.dtype):
+    """Map over blocks sorted by range: shards' files, and their rows of the manifest."""
+    length, width = kind["ids"].shape[0], kind["ids"].base.itemsize
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = located(path)
-        shard, held = -1, []
-
-        def done() -> pa.RecordBatch:
-            name, beside = f"{root}/shard-{shard:010d}.bin", f"{root}/_{uuid.uuid4().hex}"
-            with where.open_output_stream(beside) as out:
-                for record in held:
-                    out.write(record)
-            if where.get_file_info(name).type == fs.FileType.File:
-                where.delete_file(name)
-            where.move(beside, name)
-            row = [shard, shard * per_shard, len(held), length, width, per_shard, f"shard-{shard:010d}.bin"]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
-        for batch in batches:
-            for slot, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if slot // per_shard != shard:
-                    if held:
-                        yield done()
-                    shard, held = slot // per_shard, []
-                held.append(record)
-        if held:
-            yield done()
+        def done(span: int, blocks: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+            begin, end = _bounds(span, spans, -(-total // per_shard))
+            first, stop = begin * per_shard, min(end * per_shard, total)
+            records, there = np.zeros(stop - first, kind), np.zeros(stop - first, bool)
+            for block in blocks:
+                raw = zstandard.decompress(block)
+                n = len(raw) // (8 + kind.itemsize)
+                at = np.frombuffer(raw, "<i8", n) - first
+                records[at], there[at] = np.frombuffer(raw, kind, n, 8 * n), True
+            if not there.all():
+                raise RuntimeError(f"slots of range {span} have no record")
+            for shard in range(begin, end):
+                some = records[(shard - begin) * per_shard :][:per_shard]
+                name, beside = f"{root}/shard-{shard:010d}.bin", f"{root}/_{uuid.uuid4().hex}"
+                with where.open_output_stream(beside) as out:
+                    out.write(some.tobytes())
+                if where.get_file_info(name).type == fs.FileType.File:
+                    where.delete_file(name)
+                where.move(beside, name)
+                row = [shard, shard * per_shard, len(some), length, width, per_shard, f"shard-{shard:010d}.bin"]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[c.split()[0] for c in MANIFEST.split(", ")])
+
+        rows = ((span, block.as_py()) for batch in batches for span, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for span, group in groupby(rows, key=lambda row: row[0]):
+            yield from done(span, (block for _, block in group))
 
     return write
 
@@ -156,10 +184,9 @@ def write_order(df: DataFrame, path: str, id_col: str = "doc_id", ids: str = "id
     where.create_dir(root)
     shards = -(-total // per_shard)
     spans = max(1, min(shards, max(tasks_for(spark), -(-total * kind.itemsize // RANGE))))
-    placed = rows.mapInArrow(_numbered(starts, total, kind, key), "slot bigint, record binary")
-    span = F.floor(F.floor(F.col("slot") / per_shard) * spans / max(1, shards)).cast("int")
-    ranges = placed.repartitionById(spans, span).sortWithinPartitions("slot")
-    ranges.mapInArrow(_written(path, length, width, per_shard), MANIFEST).write.mode("overwrite").parquet(f"{path}/manifest")
+    placed = rows.mapInArrow(_numbered(starts, total, spans, per_shard, kind, key), "span int, block binary")
+    ranges = placed.repartitionById(spans, "span").sortWithinPartitions("span")
+    ranges.mapInArrow(_written(path, total, spans, per_shard, kind), MANIFEST).write.mode("overwrite").parquet(f"{path}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
