@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, free, need
+from .common import WORD, cut, free, need, spread_join
 
 #: None of a block count under 10^15 is a multiple of five of these.
 STRIDES = (1_009, 10_007, 100_003, 1_000_003, 10_000_019)
@@ -121,8 +121,10 @@ def mix(
     sized = cut(df.select(F.col(id_col).alias("id"), key.alias("key"), key2.alias("key2"), F.col(source).alias("source"), words(F.col(text)).alias("size")))
     sized = sized.withColumns({"none": F.col("source").isNull(), "named": F.coalesce("source", F.lit(""))})
     shards = F.least(F.ceil(F.count("*") / rows_per_shard), F.floor(F.sum("size") / (block_tokens * BLOCKS_PER_SHARD)))
-    shards = sized.groupBy("none", "named").agg(F.greatest(shards, F.lit(1)).cast("long").alias("shards"))
-    sized = sized.join(shards, ["none", "named"]).withColumn("shard", F.pmod("key", "shards")).drop("shards")
+    origin = F.struct("none", "named").alias("origin")
+    shards = sized.groupBy(origin).agg(F.greatest(shards, F.lit(1)).cast("long").alias("shards"))
+    # a source may hold a third of all rows
+    sized = spread_join(sized.select("id", "key", "key2", "size", origin), shards, "origin").select("id", "key", "key2", "size", "origin.*", F.pmod("key", "shards").alias("shard"))
     by = ["none", "named", "shard"]
     per_shard = sized.groupBy(*by).agg(F.sum("size").alias("shard_size"))
     per_source = per_shard.groupBy("none", "named").agg(F.sum("shard_size").alias("source_size"))
@@ -158,7 +160,7 @@ def mix(
         F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(draw), F.greatest("blocks", F.lit(1)))).otherwise(0).alias("offset"),
     )
     stream = Window.partitionBy(*by).orderBy("key", "key2", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    # by shard, and not as the rows come from the join by source: a source may hold a third of them
+    # by shard, and not as the rows come from the join by source
     laid = sized.repartition(*by).withColumn("end", F.sum("size").over(stream)).join(quota, by).withColumn("start", F.col("end") - F.col("size"))
     laid = laid.withColumn("epochs", F.when(F.col("size") > 0, F.col("epochs")).otherwise(0))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)
