@@ -96,3 +96,16 @@ def spread_join(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     salted = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*rest), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
     dealt = lookup.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot").isNotNull(), SALTS - 1).otherwise(0)))).drop("_hot")
     return salted.join(dealt, [key, "_salt"]).drop("_salt")
+
+
+def dealt_join(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` with the one row of ``lookup``, if any, that has their ``keys``; ``lookup`` knows the number ``n`` of rows of its keys.
+
+    As in ``spread_join``, keys of more than one in ``HOT`` rows are dealt out under ``SALTS`` salts; ``n`` is left out.  Both are read twice.
+    """
+    total = rows.count()
+    hot = F.broadcast(lookup.filter(F.col(n) * HOT > total).select(*keys, F.lit(True).alias("_hot")))
+    rest = [c for c in rows.columns if c not in keys]
+    salted = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rest), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    dealt = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(n) * HOT > total, SALTS - 1).otherwise(0)))).drop(n)
+    return salted.join(dealt, [*keys, "_salt"]).drop("_salt")

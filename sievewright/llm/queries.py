@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, iblt, langid, media, mixing, pii, simhash, spans, toxicity, training_order, trigrams
-from .common import documents, fold, fresh_path
+from . import bpe, iblt, langid, media, mixing, oracles, periods, pii, repeats, simhash, spans, toxicity, training_order, trigrams, variants
+from .common import WORD, documents, fold, fresh_path
 
 
 #: Texts of this score or more count as toxic.
@@ -118,8 +118,45 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), filters).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of six characters that occur five times, and the frequent forms that they vary by one edit."""
+    counted = variants.count_words(documents(spark, sf_dir), doc_id="doc_id", one_in=199)
+    return variants.group(counted.filter((F.char_length("word") >= 6) & (F.col("n") >= 5)), ratio=5)
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each text less the passages of fifty words or more that documents of smaller ids have too."""
+    found = repeats.remove(documents(spark, sf_dir).select("doc_id", "text"), window=50)
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), F.size("removed").cast("long").alias("n_stretches"))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in each text, in one of ten texts planted ones, and the texts without their repetitions."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    n = F.regexp_count("text", F.lit(WORD)).cast("long")
+    start = F.pmod(g, n)
+    period = 1 + F.floor((n - start) / (3 + F.pmod(g, F.lit(8))))
+    planted = F.when(h % 10 == 0, F.when(n > 0, periods.looped(F.col("text"), start, period)))
+    found = periods.find(documents(spark, sf_dir).select("doc_id", F.coalesce(planted, "text").alias("text")), least=12)
+    run = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumns({"run": run, "lines": lines})
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("run.start")).alias("start"),
+        F.col("run.length").alias("length"),
+        (-F.col("run.period")).alias("period"),
+        F.expr("1000 * run.length div -run.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_training_order": op3_training_order, "op4_bpe": op4_bpe, "op5_media": op5_media, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_secrets": op8_secrets, "op9_iblt": op9_iblt, "op10_langid": op10_langid}
+    return {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_training_order": op3_training_order, "op4_bpe": op4_bpe, "op5_media": op5_media, "op6_pii": op6_pii, "op7_simhash": op7_simhash, "op8_secrets": op8_secrets, "op9_iblt": op9_iblt, "op10_langid": op10_langid, "op11_variants": op11_variants, "op12_repeats": op12_repeats, "op13_periods": op13_periods}
 
 
 #: The rules of ``trigrams.RULES`` for DuckDB, which has no possessive quantifiers: kind, pattern, condition on a match ``m``.
@@ -153,4 +190,4 @@ def _secrets_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express: the others hash with XXH64, fit models, or encode."""
-    return {"op8_secrets": _secrets_sql()}
+    return {"op8_secrets": _secrets_sql()} | oracles.SQL
