@@ -16,7 +16,7 @@ each distinct word.  Blocks are counted before their words meet, so no task gets
 one in ``common.HOT`` rows are dealt out under salts when the counts are joined.  Chains of forms grow at least ``RATIO``-fold
 at each step, so they are short; they are followed by doubling.
 
-Defined results: a null text has no words; a null id leaves words as they are; repeated rows count each; an empty table gives an empty table.
+Defined results: a null text has no words, and no word is empty; a null id leaves words as they are; repeated rows count each; an empty table gives an empty table.
 Words and ties are ordered by code points.
 """
 
@@ -93,7 +93,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     half = _split(F.col("length") - F.col("before") - F.col("behind"))
     sides = F.array(F.struct((F.col("before") + half).alias("before"), F.col("behind").alias("behind")), F.struct(F.col("before").alias("before"), (F.col("behind") + half).alias("behind")))
     parted = rows.select("word", "n", "length", F.explode(sides).alias("side")).select("word", "n", "length", "side.before", "side.behind")
-    return parted.withColumns({"head": F.left("word", F.col("before")), "tail": F.right("word", F.col("behind"))})
+    return parted.withColumns({"head": F.left("word", F.col("before")), "tail": F.right("word", F.col("behind"))}).distinct()  # two ways may lead to a block
 
 
 def _canonical(length: int, before: int, behind: int, prefix: int) -> bool:
@@ -160,7 +160,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near(words: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(word, other, n)``: all pairs of distinct ``words (word, n)`` that differ by one edit, from either side; ``n`` is the other's."""
+    """``(word, other, n)``: all pairs of distinct ``words (word, n)``, not empty, that differ by one edit, from either side; ``n`` is the other's."""
     need(words, "word", "n")
     tasks = tasks_for(words.sparkSession)
     # a word is the shorter or equal one of pairs of its own length, the longer one of pairs of the length below
