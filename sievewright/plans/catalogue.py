@@ -438,7 +438,16 @@ def section_blocks(spark, sf_dir):
 
 @query
 def table_facts(spark, sf_dir):
-    return html.parsed(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", F.explode("tables").alias("t")).select("page_id", F.posexplode("t").alias("row", "cells"))
+    """Each customer's orders as a table of a page, with a header, and a table of labels, parsed and read as facts."""
+    order = F.struct("o_orderkey", F.concat(F.lit("<tr><td>"), F.col("o_orderkey").cast("string"), F.lit("<td> "), F.col("o_orderpriority"), F.lit(" </td><td>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</tr>")).alias("row"))
+    listed = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda o: o["row"]), "\n").alias("rows"))
+    customers = table(spark, sf_dir, "customer").join(listed, F.col("c_custkey") == F.col("o_custkey"))
+    page = F.concat(
+        F.lit("<html><body><nav><table><tr><td>Priority<td>none</table></nav><table><thead><tr><th>No<th>Priority<th>Due</thead>"), F.col("rows"),
+        F.lit("</table><table><tr><th>Segment</th><td>"), F.col("c_mktsegment"), F.lit("</td></tr><tr><td>Other<td>x</table>"),
+    )
+    parsed = html.parsed(customers.select("c_custkey", page.alias("page")), "c_custkey", "page")
+    return facts.from_tables(parsed, "c_custkey", "tables", {"priority": "^Priority$", "due": "^Due$", "segment": "^Segment$"})
 
 
 @query

@@ -36,6 +36,9 @@ _ORDERS = "(select *, date_diff('day', o_orderdate::date, date '2001-09-01') age
 _DEADLINE = "case when h < 0 then 0 when h <= 24 then 30 when h <= 48 then 26 when h <= 72 then 22 when h <= 168 then 16 when h <= 336 then 10 else 4 end"
 
 SQL: dict[str, str] = {
+    "table_facts": """select o_custkey as c_custkey, 'priority' as category, o_orderpriority as value, 'table_column' as origin, 'high' as confidence from orders
+        union all select o_custkey, 'due', strftime(o_orderdate, '%Y-%m-%d'), 'table_column', 'high' from orders
+        union all select c_custkey, 'segment', c_mktsegment, 'table_label', 'high' from customer where c_custkey in (select o_custkey from orders)""",
     "url_canonical": f"""select page_id, lower(regexp_extract(url, {_URL}, 1)) || '://' || lower(regexp_extract(url, {_URL}, 2)) || {_PATH}
         || case when {_TAIL} = '' then '' else '?' || {_TAIL} end as canonical from pages""",
     "job_url_canonical": f"select page_id, {_JOB_URL} as canonical, {_HOST} || {_PATH} as link_key from pages",

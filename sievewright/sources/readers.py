@@ -106,8 +106,15 @@ ADAPTERS: dict[str, dict[str, Any]] = {
 def resolve(base: Column, href: Column) -> Column:
     """An anchor's address against its page's."""
     root = F.concat(urls.part(base, 1), F.lit("://"), urls.part(base, 2))
-    return F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(F.startswith(href, F.lit("//")), F.concat(urls.part(base, 1), F.lit(":"), href)).when(F.startswith(href, F.lit("/")), F.concat(root, href)).otherwise(
-        F.concat(root, F.regexp_replace(urls.path(base), "[^/]*$", ""), href)
+    bare = F.regexp_replace(base, "#.*$", "")
+    return (
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(F.startswith(href, F.lit("//")), F.concat(urls.part(base, 1), F.lit(":"), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
+        .when(href == "", bare)
+        .when(F.startswith(href, F.lit("#")), F.concat(bare, href))
+        .when(F.startswith(href, F.lit("?")), F.concat(F.regexp_replace(bare, "[?].*$", ""), href))
+        .otherwise(F.concat(root, F.regexp_replace(urls.path(base), "[^/]*$", ""), href))
     )
 
 
