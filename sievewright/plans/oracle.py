@@ -35,7 +35,31 @@ _KEYWORDS = f"""
 _ORDERS = "(select *, date_diff('day', o_orderdate::date, date '2001-09-01') age_days from orders join customer on o_custkey = c_custkey)"
 _DEADLINE = "case when h < 0 then 0 when h <= 24 then 30 when h <= 48 then 26 when h <= 72 then 22 when h <= 168 then 16 when h <= 336 then 10 else 4 end"
 
+_MARK = "(select epoch_us(max(ts)) // 1000 - 3600000 from events)"
+_CIRCUIT_STEPS = """
+    o as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as rn, epoch_us(ts) as us, ['slow', 'public', 'x'][user_id % 3 + 1] as host,
+        case when event_type in ('error', 'click') then ['timeout', '429', '403', 'other'][event_id % 4 + 1] else 'success' end as outcome from events),
+    s as (select user_id, 0::bigint as rn, 0 as failures, 0::bigint as until, 0::bigint as was, null::bigint as us, '' as outcome, 0 as minutes, 0 as fell from (select distinct user_id from events)
+        union all select user_id, rn, case when outcome = 'success' then 0 else f end, case when outcome = 'success' then 0 when minutes > 0 then greatest(open_until, us + minutes::bigint * 60000000) else open_until end, was, us, outcome, minutes, f from (
+            select *, case when outcome = 'success' then 0 when outcome = '429' then 60 when outcome = '403' then 180
+                when outcome = 'timeout' then case host when 'slow' then case when f >= 5 then 30 when f >= 2 then 15 else 5 end when 'public' then case when f >= 5 then 15 when f >= 2 then 10 else 5 end else 30 end
+                when f >= 3 then 45 else 0 end as minutes from (
+                select o.user_id, o.rn, o.us, o.outcome, o.host, s.failures + (o.outcome <> 'success')::int as f, s.until as was, case when s.until < o.us then 0 else s.until end as open_until
+                from s join o on s.user_id = o.user_id and o.rn = s.rn + 1)))"""
+
 SQL: dict[str, str] = {
+    "reread_timers": f"""with recursive e as (select user_id, epoch_us(ts) as us from events),
+        opened as (select user_id, min(us) as us from e group by user_id
+            union all select o.user_id, (select min(e.us) from e where e.user_id = o.user_id and e.us >= o.us + 86400000000) from opened o where o.us is not null)
+        select user_id::varchar as key, us as opened_us, m::int as minutes, us + m::bigint * 60000000 as due_us from opened, unnest([20, 360, 1440]) x(m)
+        where us is not null and -((-(us + m::bigint * 60000000)) // 1000) <= {_MARK}""",
+    "circuit_timers": f"""with recursive {_CIRCUIT_STEPS},
+        told as (
+            select user_id, 'closed' as kind, was as at_us, was as until_us, lag(failures) over (partition by user_id order by rn) as failures from s qualify rn > 0 and was > 0 and us > was
+            union all select user_id, 'closed', us, was, lag(failures) over (partition by user_id order by rn) from s qualify rn > 0 and was > 0 and us <= was and outcome = 'success'
+            union all select user_id, 'open', us, until, failures from s where rn > 0 and outcome <> 'success' and minutes > 0
+            union all select user_id, 'closed', until, until, failures from s qualify until > 0 and rn = max(rn) over (partition by user_id) and -((-until) // 1000) <= {_MARK})
+        select user_id::varchar as source, kind, at_us, until_us, failures from told""",
     "table_facts": """select o_custkey as c_custkey, 'priority' as category, o_orderpriority as value, 'table_column' as origin, 'high' as confidence from orders
         union all select o_custkey, 'due', strftime(o_orderdate, '%Y-%m-%d'), 'table_column', 'high' from orders
         union all select c_custkey, 'segment', c_mktsegment, 'table_label', 'high' from customer where c_custkey in (select o_custkey from orders)""",

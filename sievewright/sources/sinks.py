@@ -1,7 +1,8 @@
 """Writers of state: skipped when unchanged, keyed upserts, bounded logs, monthly archives.
 
-Each writes a new version beside the old one and leaves the switch to the folder's name, so a
-reader never sees half a table and a run that fails leaves the old version.
+Each writes a new version beside the old one and gives it the folder's name once it is whole, so a
+reader never sees half a table.  Between the two renames of that the name is absent for a moment; readers that may look then, and
+tables that change together, belong in a ``commits.Store``.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def registry_store(registry: DataFrame, found: DataFrame, key: str, confidence:
 
 def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str], path: str) -> None:
     """All rows, new values over old ones unless blank, as a new version."""
-    tables.upsert_non_blank(old, new, key, columns).drop("merge_state").write.mode("errorifexists").parquet(path)
+    write_version(tables.upsert_non_blank(old, new, key, columns).drop("merge_state"), path)
 
 
 def append_semantic(old: DataFrame, new: DataFrame, key: str, ids: str, one: str, most: int = 20) -> DataFrame:
