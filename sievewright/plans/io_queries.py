@@ -5,7 +5,7 @@ The files that readers read and sinks write are made from the tables, in the fol
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import local, texts, urls
@@ -32,6 +32,13 @@ def _document(rows: DataFrame, name: str, body: str) -> str:
     return _lines(whole.select(F.concat(F.lit(head), F.col("all"), F.lit(tail)).alias("value")), name)
 
 
+def _documents(rows: DataFrame, group: Column, name: str, body: str) -> str:
+    """Write a JSON or XML document for each group of rows ``value``, a file each; their folder."""
+    each = rows.withColumn("_g", group).groupBy("_g").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("all"))  # bounded groups
+    head, tail = body.split("%s")
+    return _lines(each.select(F.concat(F.lit(head), F.col("all"), F.lit(tail)).alias("value")), name, rows=1)
+
+
 def _source():
     return F.to_json(F.struct(
         F.col("n_name").alias("name"), F.concat(F.lit("https://"), F.lower("n_name"), F.when(F.col("n_nationkey") % 6 == 0, F.lit("")).otherwise("/x/")).alias("base_url"),
@@ -64,32 +71,34 @@ def registry_lint(spark, sf_dir):
     return readers.lint(readers.registry(spark, _registry(spark, sf_dir)), ("jobs",))
 
 
-@oracle("select c_custkey, (row_number() over (order by c_custkey) - 1)::int as position, c_name from customer where c_custkey <= 100")
+@oracle("select c_custkey, (row_number() over (partition by c_custkey // 500 order by c_custkey) - 1)::int as position, c_name from customer")
 @query
 def queue_document(spark, sf_dir):
-    """Rows of a queue document, with a byte order mark, beside a corrupt one that has none."""
-    rows = table(spark, sf_dir, "customer").filter("c_custkey <= 100").select(F.to_json(F.struct(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("a"), "c_custkey", "c_name")).alias("value"))
-    good = readers.queue(spark, _document(rows, "queue", '﻿{"articles":[%s]}'), "c_custkey: bigint, c_name: string")
-    bad = readers.queue(spark, _lines(rows.limit(1).select(F.lit('{"articles": [').alias("value")), "queue"), "c_custkey: bigint, c_name: string")
+    """Rows of queue documents of up to 500 customers, with a byte order mark, beside corrupt ones that have none."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("a"), "c_custkey", "c_name")).alias("value"))
+    good = readers.queue(spark, _documents(rows, F.floor(F.col("c_custkey") / 500), "queue", '﻿{"articles":[%s]}'), "c_custkey: bigint, c_name: string")
+    bad = readers.queue(spark, _documents(rows, F.floor(F.col("c_custkey") / 500), "queue", '{"articles": [%s'), "c_custkey: bigint, c_name: string")
     return good.union(bad).select("c_custkey", "position", "c_name")
 
 
-@oracle("select unnest(['ok', 'corrupt', 'invalid_shape']) as status")
+@oracle("""select ['ok', 'corrupt', 'invalid_shape'][c_custkey % 3 + 1] as status, count(*) as n from customer group by 1""")
 @query
 def storage_states(spark, sf_dir):
-    """The state of three queue documents."""
-    of = lambda text: readers.storage_status(spark, _lines(spark.range(1).select(F.lit(text).alias("value")), "status")).filter("status is not null").select("status")
-    return of('{"articles": []}').union(of('{"articles": ')).union(of('{"articles": {"a": 1}}'))
+    """The state of a queue document of each customer: whole, cut off, or of another shape."""
+    key, name = F.col("c_custkey") % 3, F.to_json(F.struct("c_name"))
+    value = F.when(key == 0, F.concat(F.lit('{"articles": ['), name, F.lit("]}"))).when(key == 1, F.concat(F.lit('{"articles": ['), name)).otherwise(F.concat(F.lit('{"articles": '), name, F.lit("}")))
+    path = _lines(table(spark, sf_dir, "customer").select(value.alias("value")), "status", rows=1)
+    return readers.storage_status(spark, path).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@oracle("""select c_custkey::varchar as campaign_id, 'k' || c_nationkey as semantic_key from customer where c_custkey % 4 <> 1 and c_custkey % 5 > 0 and c_custkey < 60 order by c_custkey desc limit 20""")
+@oracle("""select c_custkey::varchar as campaign_id, 'k' || c_nationkey as semantic_key from customer where c_custkey % 4 <> 1 and c_custkey % 5 > 0 order by c_custkey desc limit 20""")
 @query
 def active_campaigns(spark, sf_dir):
     """The newest active campaigns of a folder of records."""
     key = F.col("c_custkey")
     record = F.to_json(F.struct(key.cast("string").alias("campaign_id"), F.concat(F.lit("k"), F.col("c_nationkey").cast("string")).alias("semantic_key"), F.when(key % 4 == 1, F.lit("closed")).otherwise(F.when(key % 4 == 2, F.lit("active"))).alias("status"),
                                 F.when(key % 5 > 0, F.lit("https://x.example/")).alias("url"), F.lpad(key.cast("string"), 9, "0").alias("updated_at")))
-    path = _lines(table(spark, sf_dir, "customer").filter("c_custkey < 60").select(record.alias("value")), "campaigns", rows=1)
+    path = _lines(table(spark, sf_dir, "customer").select(record.alias("value")), "campaigns", rows=1)
     return readers.campaigns(spark, path, 20).select("campaign_id", "semantic_key")
 
 
@@ -111,17 +120,18 @@ def crawl_states(spark, sf_dir):
     return readers.crawl_state(spark, path).withColumn("last_crawled_at", F.col("last_crawled_at").cast("timestamp_ntz"))
 
 
-@oracle("""select 'https://x.example/' || (p_partkey % 30) as url, 'Part ' || min(p_partkey) as title, (p_partkey % 30) >= 15 as atom from part where p_partkey <= 90 group by p_partkey % 30""")
+@oracle("""select 'https://x.example/' || (p_partkey // 3) as url, 'Part ' || min(p_partkey) as title, (p_partkey // 3) % 2 = 1 as atom from part group by p_partkey // 3""")
 @query
 def feed_items(spark, sf_dir):
-    """Items of an RSS and an Atom file: links as text and as an attribute, the first of an address."""
-    part = table(spark, sf_dir, "part").filter("p_partkey <= 90").withColumn("n", F.col("p_partkey") % 30)
+    """Items of RSS and Atom files of up to 300 parts: links as text and as an attribute, the first of an address."""
+    part = table(spark, sf_dir, "part").withColumn("n", F.floor(F.col("p_partkey") / 3))
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_partkey").cast("int")), "yyyy-MM-dd")
     name, key = F.concat(F.lit("<title> Part  "), F.col("p_partkey").cast("string"), F.lit("</title>")), F.col("n").cast("string")
     item = F.concat(F.lit("<item>"), name, F.lit("<link>https://x.example/"), key, F.lit("</link><pubDate>"), day, F.lit("</pubDate></item>"))
     entry = F.concat(F.lit("<entry>"), name, F.lit('<link rel="self" href="https://s.example/"/><link href="https://x.example/'), key, F.lit('"/><id>i</id><updated>'), day, F.lit("</updated></entry>"))
-    rss = readers.feed(spark, _document(part.filter("n < 15").select(item.alias("value")), "rss", "<rss><channel>%s</channel></rss>"), "item")
-    atom = readers.feed(spark, _document(part.filter("n >= 15").select(entry.alias("value")), "atom", "<feed>%s</feed>"), "entry")
+    group = F.floor(F.col("p_partkey") / 300)
+    rss = readers.feed(spark, _documents(part.filter("n % 2 = 0").select("p_partkey", item.alias("value")), group, "rss", "<rss><channel>%s</channel></rss>"), "item")
+    atom = readers.feed(spark, _documents(part.filter("n % 2 = 1").select("p_partkey", entry.alias("value")), group, "atom", "<feed>%s</feed>"), "entry")
     return rss.select("url", "title", F.lit(False).alias("atom")).union(atom.select("url", "title", F.lit(True)))
 
 
@@ -159,12 +169,12 @@ def stamped_rows(spark, sf_dir):
 # Sinks
 
 
-@oracle("""select strftime(o_orderdate, '%Y-%m') as month, o_custkey, max(o_orderkey) as o_orderkey from orders where o_orderstatus = 'F' and o_custkey % 10 = 0 group by all""")
+@oracle("""select strftime(o_orderdate, '%Y-%m') as month, o_custkey, max(o_orderkey) as o_orderkey from orders group by all""")
 @query
 def monthly_archive(spark, sf_dir):
     """An archive written in two turns: a month keeps the rows of both."""
     path = jobs.scratch(spark, "archive")
-    rows = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_custkey % 10 = 0").select("o_custkey", "o_orderkey", (F.col("o_orderdate").cast("date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0))).alias("d"))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderdate").cast("date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0))).alias("d"))
     # the newest of a month is told by the order's key, as a second within it
     rows = rows.withColumn("at", F.timestamp_seconds(F.unix_seconds(F.date_trunc("month", "d")) + F.col("o_orderkey") % 2_000_000)).drop("d")
     for odd in (0, 1):

@@ -87,7 +87,7 @@ SQL: dict[str, str] = {
     "secret_redact": r"""select doc_id, sha1(regexp_replace(regexp_replace(regexp_replace(t, 'Bearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [redacted]', 'g'),
         'access_token=[^&\s]+', 'access_token=[redacted]', 'g'),
         '(?i)(api[_-]?key|access[_-]?token|refresh[_-]?token|client[_-]?secret|authorization|bot[_-]?token)([''"]?\s*[:=]\s*[''"]?)[^,''"\s}]+', '\1\2[redacted]', 'g')) as redacted
-        from (select doc_id, trim(regexp_replace(replace(text, 'token = ', 'access_token: '), '\s+', ' ', 'g')) t from documents where contains(text, 'token = '))""",
+        from (select doc_id, trim(regexp_replace(replace(text, 'token = ', 'access_token: '), '\s+', ' ', 'g')) t from documents)""",
     "failure_fingerprint": """select substr(sha256('error|timeout after <n>s at <url>'), 1, 20) as fingerprint, count(*) n from events where event_type = 'error'""",
     "dates_in_text": "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as dates from orders",
     "slugs": r"""select p_partkey, array_to_string(list_slice(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[a-z][a-z0-9]*'), 1, 8), '-') as slug from part""",
