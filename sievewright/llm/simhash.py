@@ -11,8 +11,8 @@ in one shard, which builds its own tree, children keyed by their integer Hamming
 distance to the parent, and each of them asks the tree, following only the edges within
 the radius of its distance.  The bits are cut into ``radius + agree`` runs, with a probe for every
 ``agree`` of them: two fingerprints within the radius agree on that many runs whole, so no link is
-lost.  ``agree`` is the least number at which a shard has about ``TREE`` fingerprints or fewer, so
-the shards are as coarse, and the probes as few, as the number of fingerprints allows.
+lost.  ``agree`` is the least number at which a shard can have ``TREE`` fingerprints or fewer, and a probe looks at
+only so many bits of each run as that takes: the probes are as few, and the trees as large, as the number of fingerprints allows.
 Nothing is broadcast.  A shard of more than ``SHARD`` fingerprints is split by hash; each two
 of its parts meet in a block of their own, so a task never holds more than two parts.
 
@@ -141,18 +141,31 @@ def fingerprint(df: DataFrame, text: str = "text", shingle: int = 5, bits: int =
     return df.withColumn(name, of(F.col(text)))
 
 
-def exact_probes(radius: int, bits: int = 64, agree: int = 2) -> list[int]:
-    """Bit masks; fingerprints within ``radius`` agree under at least one."""
+def exact_probes(radius: int, bits: int = 64, agree: int = 2, taken: int | None = None) -> list[int]:
+    """Bit masks; fingerprints within ``radius`` agree under at least one.  ``taken`` bits of each run are looked at, all by default:
+    fingerprints that agree on a run agree on any part of it."""
     edges = np.linspace(0, bits, radius + agree + 1).astype(int).tolist()
-    runs = [(1 << b) - (1 << a) for a, b in itertools.pairwise(edges)]
+    runs = [(1 << (b if taken is None else min(b, a + taken))) - (1 << a) for a, b in itertools.pairwise(edges)]
     return [sum(some) for some in itertools.combinations(runs, agree)]
 
 
 def agreement(n: int, radius: int, bits: int = 64) -> int:
-    """The least number of runs to agree on at which a shard of ``n`` even fingerprints has at most ``TREE``."""
+    """The least number of runs to agree on at which a shard of ``n`` even fingerprints can have at most ``TREE``."""
     return next((k for k in range(radius) if n <= TREE << int(bits * k / (radius + k))), radius)
 
 
+def taken_bits(n: int, agree: int, radius: int, bits: int = 64) -> int:
+    """Bits of each run that a probe looks at: the fewest at which a shard of ``n`` even fingerprints has at most ``TREE``."""
+    wanted = max(0, math.ceil(math.log2(max(1, n) / TREE)))
+    return min(-(-wanted // agree), bits // (radius + agree)) if agree else 0
+
+
+def probes_for(n: int, radius: int, bits: int = 64) -> list[int]:
+    """The probes of ``n`` fingerprints."""
+    agree = agreement(n, radius, bits)
+    return exact_probes(radius, bits, agree, taken_bits(n, agree, radius, bits))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -405,7 +418,7 @@ def grouped(df: DataFrame, id_col: str, text: str, shingle: int, bits: int, radi
     rows = cut(fingerprint(named, "text", shingle, bits).select("id", "fp"))
     of = lambda c: F.col(c)[0] if lanes == 1 else F.xxhash64(c)
     fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", of("fp")))
-    edges = link(fps, radius, exact_probes(radius, bits, agreement(fps.count(), radius, bits)), lanes)
+    edges = link(fps, radius, probes_for(fps.count(), radius, bits), lanes)
     roots = components(edges.select(of("a").alias("a"), of("b").alias("b")))
     linked = cut(fps.join(roots, "node").select("root", "fp", "least"))
     least = linked.groupBy("root").agg(F.min("least").alias("component"))

@@ -828,3 +828,30 @@ def test_spans_are_even(spark, tmp_path, monkeypatch):
     assert training_order.write_order(df, str(tmp_path / "o"), width=1, length=16, per_shard=400).count() == 16
     seen = [int(p.read_text()) for p in sorted(tmp_path.glob("*.part"), key=lambda p: int(p.stem))]
     assert seen == [i // 2 for i in range(16)]
+
+
+def test_shards_are_trees_at_every_number_of_fingerprints(spark):
+    """Probes look at so few bits that shards stay near ``TREE``, and lose no pair within the radius."""
+    rng = random.Random(9)
+    for n in (1_025, 9_296, 300_000, 12_000_000, 10**11):
+        masks = simhash.probes_for(n, 4)
+        looked = bin(masks[0]).count("1")
+        assert simhash.TREE / 16 < n / 2**looked <= simhash.TREE or n > 10**10
+        for _ in range(500):
+            flipped = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(not flipped & m for m in masks)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    x = np.array([r.fp for r in simhash.fingerprint(docs, "text", 4).select("fp").distinct().collect()], np.int64).view(np.uint64)
+    links, steps, sizes = set(), 0, []
+    for mask in simhash.probes_for(len(x), 4):
+        _, shard = np.unique(x[:, 0] & np.uint64(mask), return_inverse=True)
+        order = np.argsort(shard, kind="stable")
+        label, n = simhash.shard_groups(x[order], shard[order], 4)
+        steps += n
+        sizes += np.bincount(shard).tolist()
+        links |= {(int(order[i]), int(order[j])) for i, j in enumerate(label) if i != j}
+    assert np.average(sizes, weights=sizes) > 256 and steps > 100 * len(x)
+    found = simhash.Groups(len(x))
+    found.add(*(np.array(c) for c in zip(*links, strict=True)))
+    whole, _ = simhash.shard_groups(x, np.zeros(len(x), np.int64), 4)  # one tree of all
+    assert (found.settle() == whole).all()
