@@ -38,9 +38,9 @@ from .common import need, tasks_for
 ROUNDS, KEY = 6, 0x5EED
 NO_ID = -(1 << 63)
 #: Bytes of records that a range of slots has at most, unless the session asks for more ranges.
-RANGE = 128 << 20
+RANGE = 48 << 20
 #: Bytes of records that a task gathers before it packs them by ranges.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 MANIFEST = "shard bigint, first_slot bigint, records bigint, length int, width int, per_shard bigint, file string"
 RECORDS = "slot bigint, id bigint, part bigint, n bigint, ids binary"
 
@@ -91,7 +91,7 @@ def _numbered(starts: dict[int, tuple[int, int, int]], total: int, spans: int, p
         span = slot // per_shard * spans // shards
         order = np.argsort(span, kind="stable")
         found, first = np.unique(span[order], return_index=True)
-        blocks = [zstandard.compress(slot[g].tobytes() + record[g].tobytes(), 3) for g in np.split(order, first[1:])]
+        blocks = [zstandard.compress(b"".join((slot[g].data, record[g].view(np.uint8).data)), 3) for g in np.split(order, first[1:])]
         return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blocks, pa.binary())], names=["span", "block"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,13 +141,14 @@ def _written(path: str, total: int, spans: int, per_shard: int, kind: np.dtype):
                 n = len(raw) // (8 + kind.itemsize)
                 at = np.frombuffer(raw, "<i8", n) - first
                 records[at], there[at] = np.frombuffer(raw, kind, n, 8 * n), True
+                del raw
             if not there.all():
                 raise RuntimeError(f"slots of range {span} have no record")
             for shard in range(begin, end):
                 some = records[(shard - begin) * per_shard :][:per_shard]
                 name, beside = f"{root}/shard-{shard:010d}.bin", f"{root}/_{uuid.uuid4().hex}"
                 with where.open_output_stream(beside) as out:
-                    out.write(some.tobytes())
+                    out.write(pa.py_buffer(some.view(np.uint8)))
                 if where.get_file_info(name).type == fs.FileType.File:
                     where.delete_file(name)
                 where.move(beside, name)
@@ -173,8 +174,10 @@ def write_order(df: DataFrame, path: str, id_col: str = "doc_id", ids: str = "id
     kind = record_type(length, width)
     size = F.coalesce(F.octet_length(ids), F.lit(0))
     parts = F.greatest(F.ceil(size / (length * width)), F.lit(1))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(ids).alias("ids"), F.xxhash64(F.col(id_col).cast("long"), size).alias("mark"))
-    counted = df.select(F.spark_partition_id().alias("p"), parts.alias("n"), F.xxhash64(F.col(id_col).cast("long"), size).alias("mark"))
+    # of a row's place in its partition, its id and its ids: rows in another order have other marks
+    mark = F.xxhash64(F.monotonically_increasing_id(), F.col(id_col).cast("long"), F.col(ids))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(ids).alias("ids"), mark.alias("mark"))
+    counted = df.select(F.spark_partition_id().alias("p"), parts.alias("n"), mark.alias("mark"))
     # one row for each partition
     counts = {r["p"]: (int(r["n"]), r["mark"]) for r in counted.groupBy("p").agg(F.sum("n").alias("n"), F.bit_xor("mark").alias("mark")).collect()}
     total, starts = 0, {}
