@@ -81,13 +81,15 @@ def queue_document(spark, sf_dir):
     return good.union(bad).select("c_custkey", "position", "c_name")
 
 
-@oracle("""select ['ok', 'corrupt', 'invalid_shape'][c_custkey % 3 + 1] as status, count(*) as n from customer group by 1""")
+@oracle("""select ['ok', 'corrupt', 'invalid_shape'][g % 3 + 1] as status, count(*) as n from (select distinct c_custkey // 20 as g from customer) group by 1""")
 @query
 def storage_states(spark, sf_dir):
-    """The state of a queue document of each customer: whole, cut off, or of another shape."""
-    key, name = F.col("c_custkey") % 3, F.to_json(F.struct("c_name"))
-    value = F.when(key == 0, F.concat(F.lit('{"articles": ['), name, F.lit("]}"))).when(key == 1, F.concat(F.lit('{"articles": ['), name)).otherwise(F.concat(F.lit('{"articles": '), name, F.lit("}")))
-    path = _lines(table(spark, sf_dir, "customer").select(value.alias("value")), "status", rows=1)
+    """The states of queue documents of twenty customers each: whole, cut off, or of another shape."""
+    group, name = F.floor(F.col("c_custkey") / 20), F.to_json(F.struct("c_name"))
+    listed = table(spark, sf_dir, "customer").groupBy(group.alias("g")).agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("all"), F.min(name).alias("one"))
+    kind = F.col("g") % 3
+    value = F.when(kind == 0, F.concat(F.lit('{"articles": ['), F.col("all"), F.lit("]}"))).when(kind == 1, F.concat(F.lit('{"articles": ['), F.col("all"))).otherwise(F.concat(F.lit('{"articles": '), F.col("one"), F.lit("}")))
+    path = _lines(listed.select(value.alias("value")), "status", rows=1)
     return readers.storage_status(spark, path).groupBy("status").agg(F.count("*").alias("n"))
 
 
