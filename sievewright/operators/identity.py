@@ -36,12 +36,32 @@ def rollover() -> Column:
     return F.coalesce(late, F.lit(False)) | F.coalesce(F.datediff("a.posted", "r.posted") >= ROLLOVER_AFTER_POST, F.lit(False))
 
 
-def material_change(columns: tuple[str, ...] = ("positions", "deadline", "salary", "apply_url")) -> Column:
+#: Compared columns of ``resolve``; ``COMPARED`` names all that a campaign's record may hold.
+BASIC = ("positions", "deadline", "salary", "apply_url")
+COMPARED = ("positions", "deadline", "salary", "contract", "location", "apply_url", "notice_type", "notice_status", "document_urls")
+
+
+def compared(side: str, column: str) -> Column:
+    """A column's text as it is compared: addresses in one form, those of documents sorted, no kind of notice a vacancy."""
+    c = F.col(f"{side}.{column}")
+    if column == "document_urls":
+        return F.array_join(F.array_sort(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), urls.canonical_job), lambda u: u != "")), "|")
+    if column == "apply_url":
+        return urls.canonical_job(c)
+    text = F.coalesce(F.trim(c.cast("string")), F.lit(""))
+    return F.when(text == "", F.lit("vacancy")).otherwise(text) if column == "notice_type" and side == "a" else text
+
+
+def changed_columns(columns: tuple[str, ...] = COMPARED) -> Column:
+    """The names of the compared columns in which an article ``a`` departs from a campaign ``r``, in their order."""
+    return F.array_compact(F.array(*(F.when(compared("a", c) != compared("r", c), F.lit(c)) for c in columns)))
+
+
+def material_change(columns: tuple[str, ...] = BASIC) -> Column:
     """A compared column differs, or complete and strong evidence does."""
-    text = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
     changed = F.lit(False)
     for c in columns:
-        changed = changed | (text(f"a.{c}") != text(f"r.{c}"))
+        changed = changed | (compared("a", c) != compared("r", c))
     return changed | (F.col("a.complete") & _both("signature") & (F.col("a.signature") != F.col("r.signature")) & (F.least("a.strength", "r.strength") >= STRONG))
 
 
@@ -67,10 +87,10 @@ def same_campaign() -> Column:
     return F.col("a.complete") & ((relation() == "same") | ((relation() != "different") & (weights >= ENOUGH)))
 
 
-def decision() -> Column:
+def decision(columns: tuple[str, ...] = BASIC) -> Column:
     """The ladder for one article ``a`` and one campaign ``r``."""
     duplicate = F.when(F.col("a.complete"), F.lit("duplicate")).otherwise(F.lit("hold"))
-    confirmed = F.when(~F.col("a.complete"), F.lit("hold")).when(material_change(), F.lit("update")).otherwise(F.lit("duplicate"))
+    confirmed = F.when(~F.col("a.complete"), F.lit("hold")).when(material_change(columns), F.lit("update")).otherwise(F.lit("duplicate"))
     across = F.when(same_campaign(), duplicate).otherwise(F.lit("new_campaign"))
     ref = F.lower(F.trim("a.reference")) == F.lower(F.trim("r.reference"))
     apply_ = urls.canonical_job(F.col("a.apply_url")) == urls.canonical_job(F.col("r.apply_url"))
@@ -88,14 +108,14 @@ def decision() -> Column:
     )
 
 
-def resolve(articles: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """``(article_id, action, campaign_id)`` of every article."""
+def resolve(articles: DataFrame, campaigns: DataFrame, columns: tuple[str, ...] = BASIC) -> DataFrame:
+    """``(article_id, action, campaign_id)`` of every article; a change of one of ``columns`` is an update."""
     a, r = articles.alias("a"), campaigns.alias("r")
     exact = a.join(r, F.col("a.identity_key") == F.col("r.identity_key"))
     rest = a.join(r, F.col("a.identity_key") == F.col("r.identity_key"), "left_anti")
     loose = rest.join(r, F.col("a.semantic_key") == F.col("r.semantic_key"))
     rank = F.array_position(F.array(*map(F.lit, PREFERENCE)), F.col("action")).alias("rank")
-    met = exact.select("a.article_id", "r.campaign_id", decision().alias("action")).union(loose.select("a.article_id", "r.campaign_id", decision().alias("action")))
+    met = exact.select("a.article_id", "r.campaign_id", decision(columns).alias("action")).union(loose.select("a.article_id", "r.campaign_id", decision(columns).alias("action")))
     best = met.groupBy("article_id").agg(F.min(F.struct(rank, "campaign_id", "action")).alias("best"))
     found = best.select(F.col("article_id").alias("_id"), "best.action", F.when(F.col("best.action") != "new", F.col("best.campaign_id")).alias("campaign_id"))
     return articles.join(found, F.col("article_id") == F.col("_id"), "left").select("article_id", F.coalesce("action", F.lit("new")).alias("action"), "campaign_id")

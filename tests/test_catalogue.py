@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sievewright.plans import catalogue, collect_queries, field_queries, gate_queries, io_queries, memory_queries, oracle, policy_queries, quality_queries, streams  # noqa: F401
+from sievewright.plans import candidate_queries, catalogue, collect_queries, field_queries, gate_queries, io_queries, memory_queries, oracle, policy_queries, quality_queries, streams  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
