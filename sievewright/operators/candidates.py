@@ -45,7 +45,7 @@ SOURCE_RANK = {"S+": 6, "S": 5, "A+": 4, "A": 3, "B+": 2, "B": 1}
 URGENCY_RANK = {"critical": 2, "high": 2, "elevated": 1}
 URGENCY_BOOST = {"critical": 4.0, "high": 3.0, "elevated": 1.5}
 
-_WORKING = ("_apply", "_detail", "_shown", "_mail", "_specific", "_exposed", "_portal")
+_WORKING = ("_apply", "_detail", "_mail", "_host", "_own", "_specific", "_exposed", "_portal")
 
 
 def _text(c: Column | str) -> Column:
@@ -79,23 +79,26 @@ def is_public_host(host: Column) -> Column:
 
 def addressed(df: DataFrame) -> DataFrame:
     """Add the working columns that the rules share: addresses in one form, and what they are."""
-    shown = F.transform(F.filter("actions", lambda a: F.lower(F.trim(a["kind"])) == "apply"), lambda a: urls.canonical_job(a["url"]))
     first = df.withColumns({
         "_apply": urls.canonical_job(_text("apply_url")),
         "_detail": urls.canonical_job(F.coalesce(keys.present(F.col("detail_url")), keys.present(F.col("url")), F.lit(""))),
-        "_shown": F.coalesce(shown, F.array().cast("array<string>")),
         "_mail": F.when(F.startswith(_low("apply_url"), F.lit("mailto:")), F.trim(F.substring_index(F.substring(_low("apply_url"), 8, 10_000), "?", 1))),
     })
     second = first.withColumns({
+        "_host": urls.host(F.col("_apply")),
+        "_own": urls.host(F.col("_detail")),
         "_specific": keys.is_job_specific(F.col("_apply")),
-        "_exposed": (F.col("_apply") != "") & F.array_contains("_shown", F.col("_apply")),
     })
-    return second.withColumn("_portal", _verified_portal())
+    # an address of another host, or the very same text, needs no canonical form
+    same = lambda u: (F.trim(u) == _text("apply_url")) | (urls.canonical_job(u) == F.col("_apply"))
+    is_shown = lambda a: (F.lower(F.trim(a["kind"])) == "apply") & F.contains(F.lower(a["url"]), F.col("_host")) & same(a["url"])
+    third = second.withColumn("_exposed", (F.col("_apply") != "") & _yes(F.exists("actions", is_shown)))
+    return third.withColumn("_portal", _verified_portal())
 
 
 def _verified_portal() -> Column:
     """An address without a vacancy that the specific notice of a public competition shows as its action."""
-    host, own = urls.host(F.col("_apply")), urls.host(F.col("_detail"))
+    host, own = F.col("_host"), F.col("_own")
     notice = (_low("notice_type") == "competition") & _yes("official") & keys.is_job_specific(F.col("_detail"))
     return is_web(F.col("_apply")) & ~F.col("_specific") & notice & F.col("_exposed") & ((host == own) | is_public_host(host))
 
@@ -111,8 +114,7 @@ def _bound() -> Column:
 
 def _refusal() -> Column:
     """The ladder of refusals, first rule first; an accepted branch is an empty reason."""
-    url, apply_ = _text("apply_url"), F.col("_apply")
-    host = urls.host(apply_)
+    url, apply_, host = _text("apply_url"), F.col("_apply"), F.col("_host")
     platform = host.isin(*ACCOUNT_HOSTS) | _yes("needs_account")
     for name in ACCOUNT_HOSTS:
         platform = platform | F.endswith(host, F.lit(f".{name}"))
@@ -126,12 +128,12 @@ def _refusal() -> Column:
         (F.col("_mail").isNotNull() & ~_mail_proved(), "mail_not_verified"),
         (F.col("_mail").isNotNull(), ""),
         (~is_web(url), "no_direct_address"),
-        (urls.path(apply_).rlike(ACCOUNT) | urls.part(apply_, 4).rlike(ACCOUNT_NEXT), "sign_in_page"),
+        (urls.part(apply_, 3).rlike(ACCOUNT) | urls.part(apply_, 4).rlike(ACCOUNT_NEXT), "sign_in_page"),
         (channel & ~F.col("_portal"), "portal_not_verified"),
         (channel & unproved, "portal_not_in_document"),
         (channel, ""),
         (kind.isin(*NO_ACTION), "not_an_action"),
-        (~F.col("_specific") | ~_bound(), "generic_or_other_vacancy"),
+        (~F.col("_specific") | ~F.col("bound"), "generic_or_other_vacancy"),
         ((F.col("_detail") == apply_) & ~direct, "description_page"),
         (~(F.col("_exposed") | (kind == "direct_apply") | direct), "no_apply_action"),
         (platform & ~F.col("_exposed"), "account_not_verified"),
@@ -140,7 +142,7 @@ def _refusal() -> Column:
 
 def applied(df: DataFrame) -> DataFrame:
     """Add ``bound`` (the address belongs to this vacancy) and ``refusal`` (why it is refused; empty for a good one)."""
-    return addressed(df).withColumns({"bound": _bound(), "refusal": _refusal()}).drop(*_WORKING)
+    return addressed(df).withColumn("bound", _bound()).withColumn("refusal", _refusal()).drop(*_WORKING)
 
 
 def indicators(now: Column) -> dict[str, Column]:
