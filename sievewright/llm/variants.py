@@ -9,7 +9,8 @@ words that share a prefix (a suffix) of half the length stand in one *block*.  A
 edit lies in the characters that the block does not share, of which one edit again leaves a half intact, so each
 word goes on into a block that shares the half before as well and one that shares the half behind; and so on until one character
 is left, where the alphabet bounds a block's size.  Within a block each word is verified against the others.  A pair may share several
-blocks; it is reported in the one that always taking the shared prefix, where there is one, leads to.
+blocks; it is reported in the one that always taking the shared prefix, where there is one, leads to.  A block knows the *way* that led to it
+(0 for each half before, 1 for each half behind): two ways may share the same characters, one of them by a larger block than the other.
 
 Scale: texts are read once; words are counted before they are shuffled.  All that follows has a row or a few for
 each distinct word.  Blocks are counted before their words meet, so no task gets a large one; words of a block with more than
@@ -41,7 +42,7 @@ RATIO = 5
 #: Distinct words counted in a task before they are handed on.
 HELD = 1 << 18
 _RUN = re.compile("[a-zÀ-ÿ]+")
-_PARTS = ["length", "before", "behind", "head", "tail"]
+_PARTS = ["length", "before", "behind", "way", "head", "tail"]
 
 
 def misspelt(doc_id: int | None, word: str, one_in: int) -> str:
@@ -91,21 +92,24 @@ def _split(middle: Column) -> Column:
 def _blocks(rows: DataFrame) -> DataFrame:
     """Each row's two blocks: of the characters that its block does not share, the half before is shared too, or the half behind."""
     half = _split(F.col("length") - F.col("before") - F.col("behind"))
-    sides = F.array(F.struct((F.col("before") + half).alias("before"), F.col("behind").alias("behind")), F.struct(F.col("before").alias("before"), (F.col("behind") + half).alias("behind")))
-    parted = rows.select("word", "n", "length", F.explode(sides).alias("side")).select("word", "n", "length", "side.before", "side.behind")
-    return parted.withColumns({"head": F.left("word", F.col("before")), "tail": F.right("word", F.col("behind"))}).distinct()  # two ways may lead to a block
+    side = lambda before, behind, step: F.struct(before.alias("before"), behind.alias("behind"), F.concat("way", F.lit(step)).alias("way"))
+    sides = F.array(side(F.col("before") + half, F.col("behind"), "0"), side(F.col("before"), F.col("behind") + half, "1"))
+    parted = rows.select("word", "n", "length", F.explode(sides).alias("side")).select("word", "n", "length", "side.before", "side.behind", "side.way")
+    return parted.withColumns({"head": F.left("word", F.col("before")), "tail": F.right("word", F.col("behind"))})
 
 
-def _canonical(length: int, before: int, behind: int, prefix: int) -> bool:
-    """Whether a pair that shares so long a prefix comes to this block by taking a shared prefix wherever there is one."""
+def _canonical(length: int, way: str, prefix: int) -> bool:
+    """Whether a pair that shares so long a prefix comes this way by taking a shared prefix wherever there is one."""
     a = b = 0
-    while a + b < before + behind:
+    for step in way:
         half = (length - a - b) // 2
-        a, b = (a + half, b) if prefix >= a + half else (a, b + half)
-    return (a, b) == (before, behind)
+        if (prefix >= a + half) != (step == "0"):
+            return False
+        a, b = (a + half, b) if step == "0" else (a, b + half)
+    return True
 
 
-def _pairs(length: int, before: int, behind: int, words: list[str]) -> Iterator[tuple[int, int]]:
+def _pairs(length: int, way: str, words: list[str]) -> Iterator[tuple[int, int]]:
     """Positions of the block's words that are one edit apart, the pairs that belong to other blocks left out."""
     same = [i for i, w in enumerate(words) if len(w) == length]
     longer = [i for i, w in enumerate(words) if len(w) == length + 1]
@@ -117,14 +121,14 @@ def _pairs(length: int, before: int, behind: int, words: list[str]) -> Iterator[
     for k, i in enumerate(same):
         other = short[k + 1 :] != short[k]
         for j in np.flatnonzero(other.sum(axis=1) == 1):
-            if _canonical(length, before, behind, int(other[j].argmax())):
+            if _canonical(length, way, int(other[j].argmax())):
                 yield i, same[k + 1 + int(j)]
         if len(longer):
             ahead, back = long[:, :-1] != short[k], (long[:, 1:] != short[k])[:, ::-1]
             prefix = np.where(ahead.any(axis=1), ahead.argmax(axis=1), length)
             suffix = np.where(back.any(axis=1), back.argmax(axis=1), length)
             for j in np.flatnonzero(prefix + suffix >= length):
-                if _canonical(length, before, behind, int(prefix[j])):
+                if _canonical(length, way, int(prefix[j])):
                     yield i, longer[int(j)]
 
 
@@ -142,7 +146,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def block() -> None:
         if len(words) > 1:
-            for i, j in _pairs(*key[:3], words):
+            for i, j in _pairs(key[0], key[3], words):
                 out.extend(((words[i], words[j], counts[j]), (words[j], words[i], counts[i])))
 
     for batch in batches:
@@ -165,7 +169,7 @@ def near(words: DataFrame, block: int = BLOCK) -> DataFrame:
     tasks = tasks_for(words.sparkSession)
     # a word is the shorter or equal one of pairs of its own length, the longer one of pairs of the length below
     lengths = F.explode(F.array(F.char_length("word"), F.char_length("word") - 1))
-    rows = words.select("word", "n", lengths.alias("length")).filter("length > 0").withColumns({"before": F.lit(0), "behind": F.lit(0)})
+    rows = words.select("word", "n", lengths.alias("length")).filter("length > 0").withColumns({"before": F.lit(0), "behind": F.lit(0), "way": F.lit("")})
     ready: list[DataFrame] = []
     while True:
         rows = reread(_blocks(rows), "variants-blocks")
@@ -174,7 +178,7 @@ def near(words: DataFrame, block: int = BLOCK) -> DataFrame:
         met = dealt_join(rows, sizes.drop("short"), _PARTS, "size")
         open_ = (F.col("more") > block) & (_split(F.col("length") - F.col("before") - F.col("behind")) > 0)
         ready.append(met.filter(~open_).select(*_PARTS, "word", "n"))
-        rows = met.filter(open_).select("word", "n", "length", "before", "behind")
+        rows = met.filter(open_).select("word", "n", "length", "before", "behind", "way")
         if sizes.filter(open_).isEmpty():
             break
     every = ready[0]
@@ -182,7 +186,7 @@ def near(words: DataFrame, block: int = BLOCK) -> DataFrame:
         every = every.unionByName(more)
     # two dictionaries, forwards by the shared head, and backwards by the shared tail
     every = reread(every, "variants-words")
-    order = ["length", "before", "behind", "head", F.reverse("tail")]
+    order = ["length", "before", "behind", "way", "head", F.reverse("tail")]
     sorted_ = every.repartitionByRange(tasks, *order).sortWithinPartitions(*order, "word")
     return sorted_.select(*_PARTS, "word", "n").mapInArrow(_scan, "word string, other string, n bigint")
 

@@ -168,6 +168,14 @@ def test_blocks_are_subdivided_and_no_pair_is_lost_or_told_twice(spark, block):
     assert result(got) == plain_groups(counted)
 
 
+def test_a_pair_is_told_once_where_a_small_and_a_large_block_lead_to_the_same_characters(spark):
+    # four first letters are shared by few words; three and the last one by many, which lead to four and one as well
+    counted = {f"abc{x}{y}z": 5 + i for i, x in enumerate("abcdefghijklmnopqrstuvwx") for y in "abc"}
+    df = spark.createDataFrame(list(counted.items()), "word string, n bigint")
+    pairs = [(r.word, r.other) for r in variants.near(df, 8).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a in counted for b in counted if a != b and one_edit(a, b)}
+
+
 # Repeated passages
 
 
