@@ -59,32 +59,44 @@ def _due(keys: list[str], opened: list[int], minutes: list[int], due: list[int])
 
 
 class Rereads(StatefulProcessor):
+    """A key has one timer, of what falls due first: it gives all that is due by then, so calls grow with keys and not with re-reads."""
+
     def __init__(self, minutes: tuple[int, ...]) -> None:
         self.minutes = minutes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.opened = handle.getValueState("opened", "us bigint")
-        self.due = handle.getMapState("due", "ms bigint", "opened bigint, minutes int")
+        # what opened the item last, and what is pending: by when it was opened, and minutes
+        self.state = handle.getValueState("state", "last bigint, opened array<bigint>, minutes array<int>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         times = np.sort(np.concatenate([f["us"].to_numpy(np.int64) for f in rows]))
-        last = self.opened.get()[0] if self.opened.exists() else None
-        for opened in episodes(times, last, max(self.minutes) * _MINUTE):
-            self.opened.update((opened,))
-            for m in self.minutes:
-                ms = _millis(opened + m * _MINUTE)
-                self.due.updateValue((ms,), (opened, m))
-                self.handle.registerTimer(ms)
+        last, opened, minutes = self.state.get() if self.state.exists() else (None, [], [])
+        before = min(map(self._ms, opened, minutes), default=None)
+        found = episodes(times, last, max(self.minutes) * _MINUTE)
+        if found:
+            opened, minutes = [*opened, *(o for o in found for _ in self.minutes)], [*minutes, *(m for _ in found for m in self.minutes)]
+            self.state.update((found[-1], opened, minutes))
+            if (first := min(map(self._ms, opened, minutes))) != before:
+                self.handle.registerTimer(first)
         yield _due([], [], [], [])
 
+    @staticmethod
+    def _ms(opened: int, minutes: int) -> int:
+        return _millis(opened + minutes * _MINUTE)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms = expiredTimerInfo.getExpiryTimeInMs()
-        opened, minutes = self.due.getValue((ms,))
-        self.due.removeKey((ms,))
-        if not self.due.exists():
-            self.opened.clear()
-        yield _due([key[0]], [opened], [minutes], [opened + minutes * _MINUTE])
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        last, opened, minutes = self.state.get() if self.state.exists() else (None, [], [])
+        pending = list(zip(opened, minutes, strict=True))
+        fallen = [p for p in pending if self._ms(*p) <= now]
+        left = [p for p in pending if self._ms(*p) > now]
+        if left and fallen:
+            self.state.update((last, *map(list, zip(*left, strict=True))))
+            self.handle.registerTimer(min(self._ms(*p) for p in left))
+        elif not left and self.state.exists():
+            self.state.clear()
+        yield _due([key[0]] * len(fallen), [o for o, _ in fallen], [m for _, m in fallen], [o + m * _MINUTE for o, m in fallen])
 
     def close(self) -> None:
         pass

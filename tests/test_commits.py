@@ -1,5 +1,6 @@
 """Commits of several tables, the memory's corner cases, and timers over batches of any cut."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,52 @@ def test_timers_do_not_depend_on_batches(spark, tmp_path):
     assert got[1] == got[3] and all(map(len, got[1]))
 
 
+class Held:
+    """What a processor asks of Spark, counted."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def getExpiryTimeInMs(self):
+        return self.timers[-1]
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_one_timer_gives_all_that_is_due_of_a_key():
+    day, minute = 86_400_000_000, 60_000_000
+    held, processor = Held(), timers.Rereads((20, 1_440))
+    processor.init(held)
+    list(processor.handleInputRows(("k",), iter([pd.DataFrame({"us": [i * day + 500 for i in range(5)]})]), held))
+    assert held.timers == [20 * 60_000 + 1]
+    held.watermark = 2 * 86_400_000 + 20 * 60_000
+    (got,) = processor.handleExpiredTimer(("k",), held, held)
+    assert list(got["due_us"]) == [500 + 20 * minute, 500 + day, 500 + day + 20 * minute, 500 + 2 * day]
+    assert held.timers[1:] == [2 * 86_400_000 + 20 * 60_000 + 1]
+    held.watermark = 9 * 86_400_000
+    (rest,) = processor.handleExpiredTimer(("k",), held, held)
+    assert len(got) + len(rest) == 10 and held.value is None and len(held.timers) == 2
+
+
 def test_cooldown_by_outcome_and_host():
     assert [timers.cooldown("timeout", "slow", n) for n in (1, 2, 5)] == [5, 15, 30]
     assert [timers.cooldown("timeout", "public", n) for n in (1, 4, 9)] == [5, 10, 15]
