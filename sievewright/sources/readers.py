@@ -62,7 +62,7 @@ def storage_status(spark: SparkSession, path: str) -> DataFrame:
 
 
 def campaigns(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Active campaigns with an address, newest first, of a folder of one-record files."""
+    """Active campaigns with an address, newest first, of a folder of files of one record, or of an array of records, each."""
     raw = spark.read.schema(CAMPAIGN).option("recursiveFileLookup", True).option("multiLine", True).json(path)
     active = raw.filter("coalesce(nullif(status, ''), 'active') = 'active' and coalesce(url, '') <> ''").orderBy(F.desc("updated_at"), "campaign_id")
     return active.limit(max(1, limit)) if limit is not None else active
