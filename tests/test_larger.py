@@ -22,6 +22,13 @@ def same(spark, name, tmp_path, **tables):
     return rows(got.collect()) == rows(want.fetchall())
 
 
+def test_a_number_that_is_not_one_of_posts_is_no_fact_of_positions(spark, tmp_path):
+    assert same(spark, "line_facts", tmp_path, supplier="select s.* replace (s_nationkey + 0.5 as s_acctbal) from '{t}' s")
+    texts = spark.createDataFrame([("in rabat 12", False), ("with 12 posts", True), ("112 posts", False), ("1 200 posts", False), ("12 postes à Fès", True), ("12 posters", False)], "text string, has boolean")
+    got = texts.select("has", facts.present(F.col("text"), F.lit("positions"), F.lit("12")).alias("found")).collect()
+    assert all(r.has == r.found for r in got)
+
+
 def test_campaigns_of_many_records_are_few_files(spark, tmp_path, monkeypatch):
     written = []
     whole = io_queries._lines
