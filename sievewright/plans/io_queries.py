@@ -178,8 +178,8 @@ def monthly_archive(spark, sf_dir):
     """An archive written in two turns: a month keeps the rows of both."""
     path = jobs.scratch(spark, "archive")
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderdate").cast("date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0))).alias("d"))
-    # the newest of a month is told by the order's key, as a second within it
-    rows = rows.withColumn("at", F.timestamp_seconds(F.unix_seconds(F.date_trunc("month", "d")) + F.col("o_orderkey") % 2_000_000)).drop("d")
+    # the newest of a month is told by the order's key, as a microsecond within it: there are 2.4e12
+    rows = rows.withColumn("at", F.timestamp_micros(F.unix_micros(F.date_trunc("month", "d")) + F.col("o_orderkey"))).drop("d")
     for odd in (0, 1):
         sinks.archive_by_month(rows.filter(F.col("o_orderkey") % 2 == odd), ["o_custkey"], "at", path)
     return spark.read.parquet(path).select(F.col("month").cast("string").alias("month"), "o_custkey", "o_orderkey")

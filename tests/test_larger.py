@@ -29,6 +29,10 @@ def test_a_number_that_is_not_one_of_posts_is_no_fact_of_positions(spark, tmp_pa
     assert all(r.has == r.found for r in got)
 
 
+def test_the_archive_keeps_the_largest_key_beyond_two_million(spark, tmp_path):
+    assert same(spark, "monthly_archive", tmp_path, orders="select o.* replace (o_orderkey + i * 1_999_000 as o_orderkey) from '{t}' o, range(3) r(i)")
+
+
 def test_campaigns_of_many_records_are_few_files(spark, tmp_path, monkeypatch):
     written = []
     whole = io_queries._lines
