@@ -70,19 +70,20 @@ def repeated_blocks(blocks: DataFrame, doc: str, position: str, region: str, tex
 
     Blocks of at least four words; shared four and 0.84 of the smaller and 0.55 of all; or 0.65 of the smaller with a shared
     *atom* (a number or date); or three shared and 0.55 of the smaller with a shared category. The join is on
-    document and word, so unrelated blocks never meet.
+    document and word, so unrelated blocks never meet; its rows are words alone, and atoms and categories are met by the pairs that share enough.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0)))
     numbers = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(atoms), F.lit(0)))
     kinds = F.array_compact(F.array(*(F.when(F.lower(text).rlike(pattern), F.lit(name)) for name, pattern in (categories or {}).items()))).cast("array<string>")
     sets = blocks.select(doc, position, region, words.alias("w"), numbers.alias("atoms"), kinds.alias("kinds")).filter(F.size("w") >= 4)
-    posted = sets.select("*", F.explode("w").alias("word"))
+    posted = sets.select(doc, position, region, F.size("w").alias("n"), F.explode("w").alias("word"))
     a, b = posted.alias("a"), posted.alias("b")
     met = a.join(b, (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("a.word") == F.col("b.word")) & (F.col(f"a.{position}") < F.col(f"b.{position}")) & (F.col(f"a.{region}") != F.col(f"b.{region}")))
-    one = lambda c, name: F.first(c).alias(name)
-    shared = met.groupBy(F.col(f"a.{doc}").alias(doc), F.col(f"a.{position}").alias("left"), F.col(f"b.{position}").alias("right")).agg(
-        F.count("*").alias("shared"), one(F.size("a.w"), "n"), one(F.size("b.w"), "m"), one(F.arrays_overlap("a.atoms", "b.atoms"), "atom"), one(F.arrays_overlap("a.kinds", "b.kinds"), "kind")
-    )
+    keys = [F.col(f"a.{doc}").alias(doc), F.col(f"a.{position}").alias("left"), F.col(f"b.{position}").alias("right"), F.col(f"a.{region}").alias("_lr"), F.col(f"b.{region}").alias("_rr")]
+    counted = met.groupBy(*keys).agg(F.count("*").alias("shared"), F.first("a.n").alias("n"), F.first("b.n").alias("m"))
+    enough = counted.filter(F.col("shared") / F.least("n", "m") >= 0.55)  # the least that any rule asks for
+    side = lambda at, where, name: sets.select(doc, F.col(position).alias(at), F.col(region).alias(where), F.struct("atoms", "kinds").alias(name))
+    shared = enough.join(side("left", "_lr", "l"), [doc, "left", "_lr"]).join(side("right", "_rr", "r"), [doc, "right", "_rr"]).withColumns({"atom": F.arrays_overlap("l.atoms", "r.atoms"), "kind": F.arrays_overlap("l.kinds", "r.kinds")})
     part, all_ = F.col("shared") / F.least("n", "m"), F.col("n") + F.col("m") - F.col("shared")
     same = (F.col("shared") >= 4) & (part >= 0.84) & (F.col("shared") / all_ >= 0.55)
     says = F.coalesce(F.col("atom"), F.lit(False)) & (part >= 0.65) | F.coalesce(F.col("kind"), F.lit(False)) & (F.col("shared") >= 3) & (part >= 0.55)

@@ -1,10 +1,11 @@
 """Registered queries against their oracles on rows that the given tables do not have: equal numbers, large keys, more records."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.operators import facts
+from sievewright.operators import facts, gates, html
 from sievewright.plans import catalogue, io_queries, oracle  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +40,19 @@ def test_campaigns_of_many_records_are_few_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(io_queries, "_lines", lambda *a, **k: written.append(whole(*a, **k)) or written[-1])
     assert same(spark, "active_campaigns", tmp_path, customer="select c.* replace (c_custkey + i * 150 as c_custkey) from '{t}' c, range(20) r(i)")
     assert len(spark.read.format("binaryFile").load(written[0]).select("path").collect()) <= 4
+
+
+def test_a_batch_is_parsed_in_slices():
+    texts = ["x" * 10] * 700 + ["y" * (1 << 19)] * 5 + [None, ""]
+    parts = list(html.slices(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "html"]), 1))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert max(p.num_rows for p in parts) <= html.SLICE and max(sum(len(t or "") for t in p.column(1).to_pylist()) for p in parts) < 2 * html.SLICE_CHARS
+    empty = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string())], names=["id", "html"])
+    assert [p.num_rows for p in html.slices(empty, 1)] == [0]
+
+
+def test_blocks_of_one_place_in_two_regions_are_two_pairs(spark):
+    words = "five words that say something 12-34"
+    rows = [(1, 1, "a", words), (1, 2, "b", words), (1, 2, "c", words), (1, 3, "a", "four other words here entirely"), (2, 2, "b", words)]
+    found = gates.repeated_blocks(spark.createDataFrame(rows, "doc int, pos int, region string, text string"), "doc", "pos", "region", "text")
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 2, 5), (1, 1, 2, 5)]
