@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.operators import facts, gates, html
-from sievewright.plans import catalogue, io_queries, oracle  # noqa: F401
+from sievewright.plans import catalogue, field_queries, io_queries, oracle  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +56,9 @@ def test_blocks_of_one_place_in_two_regions_are_two_pairs(spark):
     rows = [(1, 1, "a", words), (1, 2, "b", words), (1, 2, "c", words), (1, 3, "a", "four other words here entirely"), (2, 2, "b", words)]
     found = gates.repeated_blocks(spark.createDataFrame(rows, "doc int, pos int, region string, text string"), "doc", "pos", "region", "text")
     assert sorted(map(tuple, found.collect())) == [(1, 1, 2, 5), (1, 1, 2, 5)]
+
+
+@pytest.mark.parametrize("name", ["table_facts"])
+def test_pages_are_parsed_once(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
