@@ -16,11 +16,11 @@ LAYERS = ("structured", "label", "row", "source")
 CONFIDENCE = {"structured": "high", "label": "high", "row": "medium", "source": "low"}
 
 
-def _long(df: DataFrame, id_col: str, fields: dict[str, Column], origin: str) -> DataFrame:
-    """A row for each field that is not blank."""
-    pairs = F.array(*(F.struct(F.lit(k).alias("field"), texts.clean(v.cast("string")).alias("value")) for k, v in fields.items()))
-    rows = df.select(F.col(id_col), F.explode(F.filter(pairs, lambda p: F.coalesce(p["value"], F.lit("")) != "")).alias("p"))
-    return rows.select(id_col, "p.field", "p.value", F.lit(origin).alias("origin"), F.lit(CONFIDENCE[origin]).alias("confidence"))
+def _long(df: DataFrame, id_col: str, layers: dict[str, dict[str, Column]]) -> DataFrame:
+    """A row for each layer's field that is not blank."""
+    pair = lambda k, v, origin: F.struct(F.lit(k).alias("field"), texts.clean(v.cast("string")).alias("value"), F.lit(origin).alias("origin"), F.lit(CONFIDENCE[origin]).alias("confidence"))
+    pairs = F.array(*(pair(k, v, origin) for origin, fields in layers.items() for k, v in fields.items()))
+    return df.select(F.col(id_col), F.explode(F.filter(pairs, lambda p: F.coalesce(p["value"], F.lit("")) != "")).alias("p")).select(id_col, "p.*")
 
 
 def _one_or_many(node: Column, key: str) -> Column:
@@ -67,25 +67,37 @@ def posting_fields(node: Column) -> dict[str, Column]:
 
 def from_nodes(pages: DataFrame, id_col: str, nodes: str, kind: str = "JobPosting") -> DataFrame:
     """Candidates of the first node of a kind of ``array<struct<type, json>>``, as ``html.parsed`` gives it."""
-    own = F.get(F.filter(nodes, lambda n: F.array_contains(F.split(n["type"], ","), kind)), F.lit(0))
-    found = pages.select(id_col, F.try_parse_json(own["json"]).alias("_node")).filter("_node is not null")
-    return _long(found, id_col, posting_fields(F.col("_node")), "structured")
+    return _long(pages.select(id_col, _own(nodes, kind).alias("_node")).filter("_node is not null"), id_col, {"structured": posting_fields(F.col("_node"))})
+
+
+def _own(nodes: str, kind: str) -> Column:
+    return F.try_parse_json(F.get(F.filter(nodes, lambda n: F.array_contains(F.split(n["type"], ","), kind)), F.lit(0))["json"])
 
 
 def from_labels(pages: DataFrame, id_col: str, blocks: str, labels: dict[str, str]) -> DataFrame:
     """Candidates of blocks ``label: value``: a field's label is a regex for the whole of what stands before the colon; the first block wins."""
+    return _long(pages.select(id_col, blocks), id_col, {"label": _labelled(blocks, labels)})
+
+
+def _labelled(blocks: str, labels: dict[str, str]) -> dict[str, Column]:
     text = F.transform(blocks, lambda b: b["text"])
 
     def value(pattern: str) -> Column:
         whole = rf"(?i)^\s*(?:{pattern})\s*[:：]\s*(\S.*)$"
         return F.regexp_extract(F.get(F.filter(text, lambda t: t.rlike(whole)), F.lit(0)), whole, 1)
 
-    return _long(pages.select(id_col, blocks), id_col, {f: value(p) for f, p in labels.items()}, "label")
+    return {f: value(p) for f, p in labels.items()}
+
+
+def from_page(pages: DataFrame, id_col: str, nodes: str, blocks: str, labels: dict[str, str], kind: str = "JobPosting") -> DataFrame:
+    """Candidates of ``from_nodes`` and ``from_labels`` in one pass, so that pages are parsed once."""
+    read = pages.select(id_col, _own(nodes, kind).alias("_node"), blocks)
+    return _long(read, id_col, {"structured": posting_fields(F.col("_node")), "label": _labelled(blocks, labels)})
 
 
 def from_row(rows: DataFrame, id_col: str, fields: dict[str, Column], origin: str = "row") -> DataFrame:
     """Candidates of columns of the row that led to the page, or (``origin="source"``) of its source."""
-    return _long(rows, id_col, fields, origin)
+    return _long(rows, id_col, {origin: fields})
 
 
 def merged(id_col: str, *layers: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def extracted_fields(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
     parsed = html.parsed(customers.select("c_custkey", page.alias("page")), "c_custkey", "page")
     found = fields.merged(
-        "c_custkey", fields.from_nodes(parsed, "c_custkey", "nodes"), fields.from_labels(parsed, "c_custkey", "blocks", {"company": "employeur|company", "deadline": r"date\s+limite|deadline"}),
+        "c_custkey", fields.from_page(parsed, "c_custkey", "nodes", "blocks", {"company": "employeur|company", "deadline": r"date\s+limite|deadline"}),
         fields.from_row(customers, "c_custkey", {"title": F.concat(F.lit("Row "), key), "country": F.lit(" ")}), fields.from_row(customers, "c_custkey", {"company": F.lit("Source")}, "source"),
     )
     return found.select("c_custkey", "field", "value", "origin")

@@ -58,7 +58,7 @@ def test_blocks_of_one_place_in_two_regions_are_two_pairs(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 1, 2, 5), (1, 1, 2, 5)]
 
 
-@pytest.mark.parametrize("name", ["table_facts"])
+@pytest.mark.parametrize("name", ["table_facts", "extracted_fields"])
 def test_pages_are_parsed_once(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
