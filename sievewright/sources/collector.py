@@ -10,6 +10,9 @@ a page; a backlog walks on through known rows.  Pages are always finished, so re
 
 The driver plans: it fetches at most ``pages_a_batch`` pages of each walk to follow cursors, and keeps none.  The executors fetch
 the same pages, one task each, and emit the rows that are not known.
+
+That is for a listing's head.  A backlog whose cursors are known at more places than its head (an archive's page numbers) is walked by
+``backlog``: walks from all of these places at once, each up to where the next began, followed on the executors.
 """
 
 from __future__ import annotations
@@ -18,9 +21,11 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import pandas as pd
 import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 #: A page: its rows ``(id, payload)`` and the next cursor.
@@ -89,12 +94,12 @@ def _located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if path.startswith("file:") or "://" in path else (fs.LocalFileSystem(), path)
 
 
-def known_ids(path: str, source: str) -> frozenset[str]:
-    """Ids of a source in a Parquet table ``(source, id)``: the bounded memory of what was seen."""
-    if not path:
+def known_ids(path: str, source: str, among: list[str]) -> frozenset[str]:
+    """Which of these ids of a source are in a Parquet table ``(source, id)``, the memory of what was seen."""
+    if not path or not among:
         return frozenset()
     files, where = _located(path)
-    rows = ds.dataset(where, filesystem=files, format="parquet").to_table(columns=["id"], filter=ds.field("source") == source)
+    rows = ds.dataset(where, filesystem=files, format="parquet").to_table(columns=["id"], filter=(ds.field("source") == source) & ds.field("id").isin(among))
     return frozenset(rows["id"].to_pylist())
 
 
@@ -128,13 +133,13 @@ class WalkReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         out = {}
         for key, offset in self._planned().items():
-            walk, known = Walk.at(key, offset), None
+            walk = Walk.at(key, offset)
             for _ in range(self.rules.pages_a_batch):
                 if walk.stop:
                     break
-                known = known_ids(self.known, walk.source) if known is None else known
                 rows, following = self.fetch(walk.source, walk.cursor)
-                walk = advanced(walk, [i for i, _ in rows], following, known, self.rules)
+                ids = [i for i, _ in rows]
+                walk = advanced(walk, ids, following, known_ids(self.known, walk.source, ids), self.rules)
             out[key] = walk.offset()
         return out
 
@@ -154,8 +159,8 @@ class WalkReader(DataSourceStreamReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         source, kind, cursor = partition.value
-        known = known_ids(self.known, source)
         rows, _ = self.fetch(source, cursor)
+        known = known_ids(self.known, source, [i for i, _ in rows])
         for position, (one, payload) in enumerate(rows):
             if one not in known:
                 yield source, kind, cursor, position, one, payload
@@ -209,6 +214,69 @@ def resumed(walks: list[Walk]) -> list[tuple[str, str, str]]:
     return [(w.source, "backlog", w.resume) for w in walks if w.resume]
 
 
+WALKS = "source string, kind string, start string, until string"
+_KEY = ("source", "kind", "start", "until")
+_FETCHED = f"{WALKS}, number int, cursor string, following string, position int, id string, payload string"
+_ENDS = f"{WALKS}, pages int, stop string, resume string"
+
+
+def _followed(fetch: Fetch, rules: Rules) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Pages of walks, a frame each, to where a walk ends whatever is known; a page without rows is a row without an id."""
+    names = [c.split()[0] for c in _FETCHED.split(", ")]
+
+    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for source, kind, start, until in frame[list(_KEY)].itertuples(index=False):
+                cursor, visited = start, []
+                while cursor is not None and cursor not in visited and len(visited) < rules.max_pages and (not visited or cursor != until):
+                    rows, following = fetch(source, cursor)
+                    places = [(source, kind, start, until, len(visited), cursor, following, i, *row) for i, row in enumerate(rows)]
+                    yield pd.DataFrame(places or [(source, kind, start, until, len(visited), cursor, following, -1, None, None)], columns=names)
+                    visited.append(cursor)
+                    cursor = following if len(rows) >= rules.page_size else None
+
+    return follow
+
+
+def _ended(rules: Rules) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Where one walk ends, of its at most ``max_pages`` pages' ids and whether they are known."""
+
+    def end(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        walk = Walk(first["source"], first["kind"], first["start"])
+        for _, page in rows.sort_values(["number", "position"]).groupby("number"):
+            ids, following = page["id"].dropna().tolist(), page["following"].iloc[0]
+            walk = advanced(walk, ids, following, frozenset(page["id"][page["seen"]]), rules)
+            if following is not None and following == first["until"] and walk.stop in ("", "max_items", "max_pages"):
+                walk = replace(walk, stop="met", resume="")
+            if walk.stop:
+                break
+        return pd.DataFrame([(first["source"], first["kind"], first["start"], first["until"], len(walk.visited), walk.stop, walk.resume)], columns=[*_KEY, "pages", "stop", "resume"])
+
+    return end
+
+
+def backlog(spark: SparkSession, fetch: Fetch, walks: DataFrame, known: DataFrame, folder: str, rules: Rules = Rules()) -> DataFrame:
+    """The new rows of walks ``(source, kind, start, until)`` that are resumed until every one has stopped, in the columns of ``SCHEMA``.
+
+    A walk also ends (``met``) before the cursor ``until``, where another begins; null is none.  Rounds are as many as the
+    longest stretch between two starts has cuts.  ``folder`` keeps each round's pages and ends; a walk's starts must be distinct.
+    """
+    seen, found, run = known.select("source", "id").distinct().withColumn("seen", F.lit(True)), None, 0
+    while not walks.isEmpty():
+        # as many tasks as there are cores, four times over: a walk is a small row, but its pages take time
+        fetched = walks.repartition(4 * spark.sparkContext.defaultParallelism, "source", "start").mapInPandas(_followed(fetch, rules), _FETCHED)
+        fetched.join(seen, ["source", "id"], "left").withColumn("seen", F.coalesce("seen", F.lit(False))).write.parquet(f"{folder}/pages-{run}")
+        pages = spark.read.parquet(f"{folder}/pages-{run}")
+        pages.drop("payload", "cursor").groupBy(*_KEY).applyInPandas(_ended(rules), _ENDS).write.parquet(f"{folder}/ends-{run}")
+        ends = spark.read.parquet(f"{folder}/ends-{run}")
+        kept = pages.join(ends.select("source", "kind", "start", "pages"), ["source", "kind", "start"]).filter("number < pages and not seen and id is not null")
+        rows = kept.select("source", F.col("kind").alias("walk"), "cursor", "position", "id", "payload")
+        found = rows if found is None else found.unionByName(rows)
+        walks, run = ends.filter("resume <> ''").select("source", F.lit("backlog").alias("kind"), F.col("resume").alias("start"), "until"), run + 1
+    return spark.createDataFrame([], SCHEMA) if found is None else found
+
+
 def stored(folder: str) -> Fetch:
     """Pages from an archive: files of JSON lines ``{"id": ..., "payload": ...}`` in ``folder/source=.../page=...``, cursors the page numbers from 0."""
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.operators import facts, gates, html
-from sievewright.plans import catalogue, field_queries, io_queries, oracle  # noqa: F401
+from sievewright.plans import catalogue, collect_queries, field_queries, io_queries, oracle  # noqa: F401
+from sievewright.sources import collector
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +63,24 @@ def test_blocks_of_one_place_in_two_regions_are_two_pairs(spark):
 def test_pages_are_parsed_once(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_a_long_backlog_is_walked_in_a_bounded_number_of_runs(spark, tmp_path, monkeypatch):
+    runs, rounds = [], []
+    run, ended = collector.run, collector._ended
+    monkeypatch.setattr(collector, "run", lambda *a: runs.append(1) or run(*a))
+    monkeypatch.setattr(collector, "_ended", lambda *a: rounds.append(1) or ended(*a))
+    assert same(spark, "collected_pages", tmp_path, events="select e.* replace (event_id + i * 1_000_000 as event_id) from '{t}' e, range(40) r(i)")
+    assert len(runs) == 1 and len(rounds) <= 3
+
+
+def test_walks_from_several_places_are_those_from_one(spark, tmp_path):
+    fetch = lambda source, cursor: ([(f"{source}{cursor}-{i}", "{}") for i in range(0 if (source, cursor) == ("b", "10") else 3)], str(int(cursor) + 1) if int(cursor) < 10 else None)
+    rules = collector.Rules(page_size=3, max_pages=4, max_items=7, streak=3)
+    known = spark.createDataFrame([("a", f"a{p}-{i}") for p in (1, 2, 5) for i in range(3)], "source string, id string")
+    walked = lambda name, walks: sorted(map(tuple, collector.backlog(spark, fetch, spark.createDataFrame(walks, collector.WALKS), known, f"{tmp_path}/{name}", rules).collect()))
+    one = walked("one", [(s, "backlog", "0", None) for s in "ab"])
+    want = sorted((s, "backlog", str(p), i, f"{s}{p}-{i}", "{}") for s in "ab" for p in range(11) for i in range(3) if not (s == "a" and p in (1, 2, 5)) and (s, p) != ("b", 10))
+    assert one == want
+    assert walked("more", [(s, "backlog", str(p), str(p + 4)) for s in "ab" for p in (0, 4, 8)]) == want
+    assert {r[2] for r in walked("head", [("a", "head", "0", None)])} == {"0"}  # its second page is known
