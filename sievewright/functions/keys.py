@@ -30,15 +30,23 @@ def is_job_specific(url: Column) -> Column:
 
     A generic last segment is specific after a segment with an id, or after a name deeper in the path.
     """
-    segments = F.filter(F.split(F.lower(urls.path(url)), "/"), lambda s: s != "")
-    n = F.size(segments)
-    last, parent = F.coalesce(F.try_element_at(segments, F.lit(-1)), F.lit("")), F.coalesce(F.try_element_at(segments, F.lit(-2)), F.lit(""))
     named = lambda p: F.lower(F.substring_index(p, "=", 1)).isin(*urls.REFERENCE_KEYS) & (F.char_length(F.substring_index(p, "=", -1)) >= 3)
-    query = F.exists(urls.pairs(url, urls.JOB_TRACKING), named)
     has_id = lambda s: s.rlike(r"\d{3,}|[a-f0-9]{8,}")
-    generic = last.isin(*GENERIC_TAILS)
-    deep = (n >= 3) & (parent != "") & ~parent.isin(*GENERIC_TAILS)
-    return F.lower(urls.part(url, 1)).isin("http", "https") & F.when(n == 0, query).when(generic, query | has_id(parent) | deep).otherwise(has_id(last) | (n >= 2) | query)
+
+    def specific(url: Column) -> Column:
+        query = F.exists(urls.pairs(url, urls.JOB_TRACKING), named)
+
+        def of_segments(segments: Column) -> Column:
+            n = F.size(segments)
+            last, parent = F.coalesce(F.try_element_at(segments, F.lit(-1)), F.lit("")), F.coalesce(F.try_element_at(segments, F.lit(-2)), F.lit(""))
+            generic = last.isin(*GENERIC_TAILS)
+            deep = (n >= 3) & (parent != "") & ~parent.isin(*GENERIC_TAILS)
+            return F.when(n == 0, query).when(generic, has_id(parent) | deep | query).otherwise(has_id(last) | (n >= 2) | query)
+
+        segments = F.filter(F.split(F.lower(urls.path(url)), "/"), lambda s: s != "")
+        return F.lower(urls.part(url, 1)).isin("http", "https") & urls.bound(segments, of_segments)
+
+    return urls.bound(url, specific)
 
 
 def document_reference(pages: Column) -> Column:
@@ -90,8 +98,8 @@ def article_id(url: Column) -> Column:
 
 def is_foreign_detail(own: Column, url: Column) -> Column:
     """Whether an address of the same host shows another vacancy: both have references and they differ."""
-    a, b = urls.reference(own), urls.reference(url)
-    return (urls.host(own) == urls.host(url)) & (a != "") & (b != "") & (a != b)
+    differ = urls.bound(urls.reference(own), lambda a: (a != "") & urls.bound(urls.reference(url), lambda b: (b != "") & (a != b)))
+    return (urls.host(own) == urls.host(url)) & differ
 
 
 def same_page(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ The canonicalisers differ on purpose: ``canonical`` keeps scheme and parameter o
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ REFERENCE_KEYS = (
 PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once for a row, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def part(url: Column, i: int) -> Column:
     """1 scheme, 2 authority, 3 path, 4 query; empty where the text is no URL."""
     return F.regexp_extract(F.trim(F.coalesce(url, F.lit(""))), PARTS, i)
@@ -35,8 +41,7 @@ def host(url: Column) -> Column:
 def path(url: Column) -> Column:
     """The path with single slashes and none at its end; ``/`` for none."""
     one = spelled(F.regexp_replace(F.regexp_replace(part(url, 3), r";[^/]*$", ""), "/{2,}", "/"), "/:@!$&'()*+,;=-._~", "/")
-    bare = F.regexp_replace(one, "/+$", "")
-    return F.when(bare == "", F.lit("/")).otherwise(bare)
+    return bound(F.regexp_replace(one, "/+$", ""), lambda bare: F.when(bare == "", F.lit("/")).otherwise(bare))
 
 
 def spelled(text: Column, safe: str, keep: str = "") -> Column:
@@ -44,15 +49,19 @@ def spelled(text: Column, safe: str, keep: str = "") -> Column:
 
     Texts without escapes, spaces or characters beyond ASCII stay as they are.  What is invalid as UTF-8 becomes the replacement character.
     """
-    # the decoder of forms takes a plus for a space, and fails on a percent sign that begins no escape
-    sound = F.regexp_replace(F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
-    plain = F.coalesce(F.try_url_decode(sound), text)
-    marks = "".join(c for c in safe if c not in "-._*")
-    out = F.url_encode(plain)  # letters, digits and -._* stay, a space is a plus
-    out = F.regexp_replace(F.regexp_replace(out, r"\+", "%20"), r"\*", "*" if "*" in safe else "%2A")
-    for c in marks:
-        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
-    return F.when(text.rlike(rf"[^A-Za-z0-9{re.escape(safe)}{keep}]"), out).otherwise(text)
+
+    def escaped(text: Column) -> Column:
+        # the decoder of forms takes a plus for a space, and fails on a percent sign that begins no escape
+        sound = F.regexp_replace(F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+        plain = F.coalesce(F.try_url_decode(sound), text)
+        marks = "".join(c for c in safe if c not in "-._*")
+        out = F.url_encode(plain)  # letters, digits and -._* stay, a space is a plus
+        out = F.regexp_replace(F.regexp_replace(out, r"\+", "%20"), r"\*", "*" if "*" in safe else "%2A")
+        for c in marks:
+            out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+        return F.when(text.rlike(rf"[^A-Za-z0-9{re.escape(safe)}{keep}]"), out).otherwise(text)
+
+    return bound(text, escaped)
 
 
 def pairs(url: Column, dropped: tuple[str, ...], prefix: str | None = None) -> Column:
@@ -71,20 +80,28 @@ def _form(pair: Column) -> Column:
 
 
 def _joined(scheme: Column, authority: Column, where: Column, query: Column) -> Column:
-    tail = F.array_join(query, "&")
-    return F.concat(scheme, F.lit("://"), authority, where, F.when(tail == "", F.lit("")).otherwise(F.concat(F.lit("?"), tail)))
+    tail = bound(F.array_join(query, "&"), lambda t: F.when(t == "", F.lit("")).otherwise(F.concat(F.lit("?"), t)))
+    return F.concat(scheme, F.lit("://"), authority, where, tail)
 
 
 def canonical(url: Column) -> Column:
     """Lower scheme and host, one slash at a time, no fragment, no tracking parameters; other texts trimmed."""
-    made = _joined(F.lower(part(url, 1)), F.lower(part(url, 2)), path(url), pairs(url, TRACKING, "utm_"))
-    return F.when(part(url, 1) == "", F.trim(F.coalesce(url, F.lit("")))).otherwise(made)
+
+    def formed(url: Column) -> Column:
+        made = _joined(F.lower(part(url, 1)), F.lower(part(url, 2)), path(url), pairs(url, TRACKING, "utm_"))
+        return F.when(part(url, 1) == "", F.trim(F.coalesce(url, F.lit("")))).otherwise(made)
+
+    return bound(url, formed)
 
 
 def canonical_job(url: Column) -> Column:
     """https, no ``www.``, sorted parameters without tracking ones; texts other than web addresses trimmed."""
-    made = _joined(F.lit("https"), host(url), path(url), F.array_sort(pairs(url, JOB_TRACKING)))
-    return F.when(F.lower(part(url, 1)).isin("http", "https"), made).otherwise(F.trim(F.coalesce(url, F.lit(""))))
+
+    def formed(url: Column) -> Column:
+        made = _joined(F.lit("https"), host(url), path(url), F.array_sort(pairs(url, JOB_TRACKING)))
+        return F.when(F.lower(part(url, 1)).isin("http", "https"), made).otherwise(F.trim(F.coalesce(url, F.lit(""))))
+
+    return bound(url, formed)
 
 
 def link_key(url: Column) -> Column:
@@ -94,21 +111,28 @@ def link_key(url: Column) -> Column:
 
 def reference(url: Column) -> Column:
     """The vacancy's reference: a known query key, else a UUID, else an id in the path."""
-    named = F.try_element_at(F.filter(pairs(url, ()), lambda p: F.lower(F.substring_index(p, "=", 1)).isin(*REFERENCE_KEYS) & (F.substring_index(p, "=", -1) != "")), F.lit(1))
-    where = F.lower(path(url))
-    tries = [
-        F.regexp_extract(where, "([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})", 1),
-        F.regexp_extract(where, r"/requisition/(\d{2,})(?:/|$)", 1),
-        F.regexp_extract(where, r"/jobs?/(\d{3,})(?:/|$)", 1),
-        F.regexp_extract(where, r"/offre/(\d{2,})(?:/|$)", 1),
-    ]
-    return F.coalesce(F.lower(F.substring_index(named, "=", -1)), *(F.nullif(t, F.lit("")) for t in tries), F.lit(""))
+
+    def found(url: Column) -> Column:
+        named = F.try_element_at(F.filter(pairs(url, ()), lambda p: F.lower(F.substring_index(p, "=", 1)).isin(*REFERENCE_KEYS) & (F.substring_index(p, "=", -1) != "")), F.lit(1))
+        return F.coalesce(F.lower(F.substring_index(named, "=", -1)), bound(F.lower(path(url)), in_path))
+
+    def in_path(where: Column) -> Column:
+        tries = [
+            F.regexp_extract(where, "([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})", 1),
+            F.regexp_extract(where, r"/requisition/(\d{2,})(?:/|$)", 1),
+            F.regexp_extract(where, r"/jobs?/(\d{3,})(?:/|$)", 1),
+            F.regexp_extract(where, r"/offre/(\d{2,})(?:/|$)", 1),
+        ]
+        return F.coalesce(*(bound(t, lambda x: F.nullif(x, F.lit(""))) for t in tries), F.lit(""))
+
+    return bound(url, found)
 
 
 def is_specific(url: Column) -> Column:
     """Whether an address shows one item: a reference, or a last path segment with an id or several words."""
-    last = F.element_at(F.split(path(url), "/"), -1)
-    return (reference(url) != "") | last.rlike(r"[0-9]{3,}") | last.rlike(r"[A-Za-z]+-[A-Za-z]+-[A-Za-z]+")
+    last = lambda where: F.element_at(F.split(where, "/"), -1)
+    named = lambda s: s.rlike(r"[0-9]{3,}") | s.rlike(r"[A-Za-z]+-[A-Za-z]+-[A-Za-z]+")
+    return bound(url, lambda u: (reference(u) != "") | bound(last(path(u)), named))
 
 
 def is_likely_article(title: Column, url: Column, site: Column) -> Column:

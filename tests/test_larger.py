@@ -84,3 +84,13 @@ def test_walks_from_several_places_are_those_from_one(spark, tmp_path):
     assert one == want
     assert walked("more", [(s, "backlog", str(p), str(p + 4)) for s in "ab" for p in (0, 4, 8)]) == want
     assert {r[2] for r in walked("head", [("a", "head", "0", None)])} == {"0"}  # its second page is known
+
+
+def test_an_address_is_parsed_a_few_times_and_not_once_for_each_mention(spark):
+    from sievewright.functions import keys, urls
+
+    url = F.col("u")
+    df = spark.createDataFrame([("http://WWW.A.ma//x%41/jobs/1234/?b=2&a=1&ref=z#f",), (None,), ("by post",)], "u string")
+    got = df.select(urls.canonical_job(url).alias("c"), keys.is_job_specific(urls.canonical_job(url)).alias("s"), keys.is_foreign_detail(urls.canonical_job(url), urls.canonical_job(url)).alias("f"))
+    assert [tuple(r) for r in got.collect()] == [("https://a.ma/xA/jobs/1234?a=1&b=2", True, False), ("", False, False), ("by post", False, False)]
+    assert got._jdf.queryExecution().analyzed().toString().count("regexp_extract(") < 80
