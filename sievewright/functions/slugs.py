@@ -9,6 +9,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .urls import bound
+
 # Latin spelling of Arabic letters.
 ARABIC = {
     "ا": "a", "أ": "a", "إ": "a", "آ": "a", "ء": "a", "ؤ": "w", "ئ": "y", "ب": "b", "ت": "t", "ث": "th", "ج": "j", "ح": "h", "خ": "kh", "د": "d", "ذ": "dh", "ر": "r", "ز": "z", "س": "s",
@@ -63,21 +65,20 @@ def _ascii(text: Column) -> Column:
     one = {c: p for c, p in FOLDED.items() if len(p) == 1}
     more = {c: p for c, p in FOLDED.items() if len(p) > 1 and p.isascii()}
     plain = F.translate(plain, "".join(one), "".join(one.values()))
-    return F.when(plain.rlike(f"[{''.join(map(re.escape, more))}]"), transliterated(plain, more)).otherwise(plain)
+    return bound(plain, lambda t: F.when(t.rlike(f"[{''.join(map(re.escape, more))}]"), transliterated(t, more)).otherwise(t))
 
 
 def latinized(text: Column) -> Column:
     """Lower-case ASCII letters in words joined by hyphens; Arabic letters as the table spells them."""
-    plain = _ascii(F.coalesce(text, F.lit("")))
-    spelt = F.when(plain.rlike("[؀-ۿ]"), transliterated(plain, ARABIC)).otherwise(plain)
+    spelt = bound(_ascii(F.coalesce(text, F.lit(""))), lambda t: F.when(t.rlike("[؀-ۿ]"), transliterated(t, ARABIC)).otherwise(t))
     return F.btrim(F.regexp_replace(F.lower(F.regexp_replace(spelt, r"[^\x00-\x7F]", "")), "[^a-z]+", "-"), F.lit("-"))
 
 
 def stem(company: Column, title: Column, words: int = 8, length: int = 90) -> Column:
     """The first words of company and title: no digits, so that dates, places and references never change it."""
     all_words = F.filter(F.split(F.concat_ws("-", latinized(company), latinized(title)), "-"), lambda w: w != "")
-    joined = F.array_join(F.slice(all_words, 1, words), "-")
-    return F.btrim(F.substring(F.when(joined == "", F.lit("job")).otherwise(joined), 1, length), F.lit("-"))
+    joined = bound(F.array_join(F.slice(all_words, 1, words), "-"), lambda t: F.when(t == "", F.lit("job")).otherwise(t))
+    return F.btrim(F.substring(joined, 1, length), F.lit("-"))
 
 
 def english_words(text: Column) -> Column:
@@ -95,6 +96,6 @@ def english_words(text: Column) -> Column:
 def english_stem(company: Column, title: Column, location: Column) -> Column:
     """Two words of the company, three of the title, two of the location, each once."""
     first = lambda c, n: F.slice(english_words(c), 1, n)
-    words = F.array_distinct(F.concat(first(company, 2), first(title, 3), first(location, 2)))
-    words = F.when(F.size(words) == 0, F.array(F.lit("employment"), F.lit("opportunity"))).when(F.size(words) == 1, F.concat(words, F.array(F.lit("job")))).otherwise(words)
+    filled = lambda w: F.when(F.size(w) == 0, F.array(F.lit("employment"), F.lit("opportunity"))).when(F.size(w) == 1, F.concat(w, F.array(F.lit("job")))).otherwise(w)
+    words = bound(F.array_distinct(F.concat(first(company, 2), first(title, 3), first(location, 2))), filled)
     return F.btrim(F.substring(F.array_join(F.slice(words, 1, 7), "-"), 1, 80), F.lit("-"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import slugs, times
 from ..operators import fields, html, rewrite, speed
-from .catalogue import query, table
+from .catalogue import query, spread, table
 from .gate_queries import oracle
 
 _TITLES = ("وزارة الصحة", "Ingénieur réseaux & sécurité", "أستاذ محاضر", "Straße ﬁn Ænd 日本 Ⅳ", "مهندسٌ", "", "Chargé(e) d'études 2026", "شركة غذاء ذهب خبز ظل ثلج")
@@ -24,7 +24,7 @@ _ENGLISH = ("ministry", "engineer-network-security", "lecturer", "strae-fin-nd",
 def arabic_slugs(spark, sf_dir):
     """Stems of every part's name and a title of one of eight scripts and spellings, and their English words."""
     title = F.get(F.array(*map(F.lit, _TITLES)), (F.col("p_partkey") % 8).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", slugs.stem(F.col("p_name"), title).alias("stem"), slugs.english_stem(F.col("p_name"), title, F.lit("الرباط")).alias("english"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", slugs.stem(F.col("p_name"), title).alias("stem"), slugs.english_stem(F.col("p_name"), title, F.lit("الرباط")).alias("english"))
 
 
 @oracle("""with s as (select event_type || ':' || user_id % 7 as candidate, count(*) as successes, sum(round(value::decimal(18,6), 4)) as total, max(ts) as last_at from events where event_type <> 'error' group by 1)
