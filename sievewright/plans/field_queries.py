@@ -90,5 +90,5 @@ def rewritten_pages(spark, sf_dir):
         F.struct(F.lit("detail").alias("kind"), F.lit("Detail").alias("label"), F.concat(F.lit("https://d.example/"), key).alias("url")),
     )
     images = F.array(*(F.struct(F.lit("https://i.example/1.png").alias("url"), F.lit("Page 1").alias("alt")) for _ in range(2)))
-    pages = table(spark, sf_dir, "customer").select("c_custkey", page.alias("html"), links.alias("links"), images.alias("images"), F.lit("https://hub.example/jobs").alias("hub"))
+    pages = spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", page.alias("html"), links.alias("links"), images.alias("images"), F.lit("https://hub.example/jobs").alias("hub"))
     return rewrite.rewritten(pages, "html", "links", "images", "hub").select("c_custkey", "html")
