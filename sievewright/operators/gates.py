@@ -93,7 +93,7 @@ def repeated_blocks(blocks: DataFrame, doc: str, position: str, region: str, tex
 def has_repeated_rows(rows: Column) -> Column:
     """Whether a table has a row twice, apart from case and punctuation."""
     prints = F.filter(F.transform(rows, lambda r: F.regexp_replace(F.lower(F.array_join(r, " ")), r"[^\p{L}\p{N}]+", "")), lambda p: p != "")
-    return F.size(prints) > F.size(F.array_distinct(prints))
+    return texts.has_twice(prints)
 
 
 # Policies

@@ -6,7 +6,7 @@ What other operators decide comes as columns: whether an application's address b
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,8 +55,8 @@ def is_mixed(text: Column, technical: tuple[str, ...]) -> Column:
     arabic = F.regexp_count(text, F.lit(r"[؀-ۿ]{2,}"))
     latin = F.regexp_extract_all(text, F.lit(r"\b[A-Za-z][A-Za-z0-9+._-]+\b"), F.lit(0))
     plain = F.filter(latin, lambda t: ~F.btrim(F.lower(t), F.lit("._-")).isin(*technical) & ~t.rlike(r"(?i)^(?:CVE-\d{4}-\d+|v?\d+(?:\.\d+)+)$"))
-    n, m = F.size(latin), F.size(plain)
-    return (arabic >= LEAST_ARABIC) & (n >= LEAST_LATIN) & (m / n > PLAIN_SHARE) & (m > LEAST_PLAIN) & (m > arabic * OF_ARABIC)
+    counts = F.struct(arabic.alias("arabic"), F.size(latin).alias("n"), F.size(plain).alias("m"))
+    return urls.bound(counts, lambda c: (c["arabic"] >= LEAST_ARABIC) & (c["n"] >= LEAST_LATIN) & (c["m"] / c["n"] > PLAIN_SHARE) & (c["m"] > LEAST_PLAIN) & (c["m"] > c["arabic"] * OF_ARABIC))
 
 
 @dataclass(frozen=True)
@@ -83,9 +83,23 @@ class Page:
 
 
 def publication_gate(page: Page, technical: tuple[str, ...] = ("api", "cloud", "devops", "java", "linux", "python", "sql", "web")) -> Column:
-    """``(passed, reason, words)``: the first rule, in this order, that a page breaks; an empty reason for none."""
+    """``(passed, reason, words)``: the first rule, in this order, that a page breaks; an empty reason for none.
+
+    The page's columns, its text, links and images are evaluated once for all rules.
+    """
+    names = [f.name for f in fields(Page)]
+    given = F.struct(*(getattr(page, n).alias(n) for n in names))
+
+    def judged(p: Column) -> Column:
+        own = Page(**{n: p[n] for n in names})
+        read = F.struct(visible(own.html).alias("text"), attributes(own.html, "a", "href").alias("links"), attributes(own.html, "img", "src").alias("images"))
+        return urls.bound(read, lambda r: _judged(own, r["text"], r["links"], r["images"], technical))
+
+    return urls.bound(given, judged)
+
+
+def _judged(page: Page, text: Column, links: Column, images: Column, technical: tuple[str, ...]) -> Column:
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    text, links, images = visible(page.html), attributes(page.html, "a", "href"), attributes(page.html, "img", "src")
     said = F.concat_ws(" ", page.title, page.description, text)
     has = lambda where, phrases: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(where, p))
     leaked = F.exists(page.references, lambda r: (F.char_length(F.trim(r)) >= 3) & F.contains(F.lower(said), F.lower(F.trim(r))))
@@ -125,8 +139,8 @@ def publication_gate(page: Page, technical: tuple[str, ...] = ("api", "cloud", "
         (given & ~specific & ~F.coalesce(page.kind, F.lit("")).isin("official_application_channel", "direct_email"), "portal_unclassified"),
         ((page.kind == "official_application_channel") & has(text, DIRECT), "channel_called_direct"),
         (title != "", "title_style"),
-        (F.size(keys) > F.size(F.array_distinct(keys)), "link_twice"),
+        (texts.has_twice(keys), "link_twice"),
         (covered & ~F.coalesce(F.get(images, F.lit(0)) == page.cover, F.lit(False)), "cover_not_first"),
         (F.when(covered, rest != documents).otherwise((F.size(documents) > 0) & (images != documents)), "document_pages"),
     )
-    return F.struct((reason == "").alias("passed"), reason.alias("reason"), words.alias("words"))
+    return urls.bound(reason, lambda r: F.struct((r == "").alias("passed"), r.alias("reason"), words.alias("words")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality
-from .catalogue import query, table
+from .catalogue import query, spread, table
 from .gate_queries import oracle
 
 #: Reasons by defect; a page may break later rules too, the first one counts.
@@ -21,7 +21,7 @@ _REASONS = (
 def publication_quality(spark, sf_dir):
     """The first rule that a page of each customer breaks."""
     d = F.floor(F.abs("c_acctbal") * 100).cast("bigint") % len(_REASONS)
-    rows = table(spark, sf_dir, "customer").withColumn("reason", F.get(F.array(*map(F.lit, _REASONS)), d.cast("int")))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")).withColumn("reason", F.get(F.array(*map(F.lit, _REASONS)), d.cast("int")))
     name, key = F.col("c_name"), F.col("c_custkey").cast("string")
 
     def broken(**defects):
@@ -51,4 +51,4 @@ def publication_quality(spark, sf_dir):
         documents=F.array(F.lit("https://i.example/1.png")), references=F.array(F.concat(F.lit("zx-"), key), none), lacking=broken(good=empty, fact_missing=F.array(F.lit("deadline"))), unverified=broken(good=empty, unverified_link=F.array(F.lit("u"))),
     )
     gate = quality.publication_gate(page)
-    return rows.select("c_custkey", gate["passed"].alias("passed"), gate["reason"].alias("reason"))
+    return rows.select("c_custkey", gate.alias("gate")).select("c_custkey", "gate.passed", "gate.reason")
