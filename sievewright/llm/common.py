@@ -98,12 +98,13 @@ def spread_join(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     return salted.join(dealt, [key, "_salt"]).drop("_salt")
 
 
-def dealt_join(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str) -> DataFrame:
+def dealt_join(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str, total: int | None = None) -> DataFrame:
     """``rows`` with the one row of ``lookup``, if any, that has their ``keys``; ``lookup`` knows the number ``n`` of rows of its keys.
 
-    As in ``spread_join``, keys of more than one in ``HOT`` rows are dealt out under ``SALTS`` salts; ``n`` is left out.  Both are read twice.
+    As in ``spread_join``, keys of more than one in ``HOT`` rows are dealt out under ``SALTS`` salts; ``n`` is left out.  ``rows`` are
+    counted where their ``total`` is not given, and ``lookup`` is read twice.
     """
-    total = rows.count()
+    total = rows.count() if total is None else total
     hot = F.broadcast(lookup.filter(F.col(n) * HOT > total).select(*keys, F.lit(True).alias("_hot")))
     rest = [c for c in rows.columns if c not in keys]
     salted = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rest), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")

@@ -42,17 +42,17 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import absent, cut, free, need, reread, spread_join, tasks_for
+from .common import absent, cut, dealt_join, free, need, reread, spread_join, tasks_for
 
 SEED = 42
 #: Most fingerprints of a part of a shard; fingerprints of a shard as probes are chosen; steps of a search held at a time.
@@ -393,21 +393,20 @@ def link(fps: DataFrame, radius: int, masks: list[int], lanes: int = 1, fp: str
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges (a bigint, b bigint)``; the root is the component's smallest node.
 
-    Alternating large-star and small-star steps; each round is cut by a checkpoint.
+    Alternating large-star and small-star steps; each round is cut by a checkpoint and shuffles its edges twice.
     """
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    node = Window.partitionBy("a")
+    turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = edges.filter("a <> b").select("a", "b")
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "u")
-        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(down, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        after = cut(small.filter("a <> b").distinct())
-        # Finished when every node points at one root and no root points on.
-        roots = after.select(F.col("b").alias("r")).distinct()
-        if after.groupBy("a").count().filter("count > 1").isEmpty() and after.join(roots, F.col("a") == F.col("r"), "left_semi").isEmpty():
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select(F.col("r").alias("node"), F.col("r").alias("root")))
-        edges = after
+        both = edges.select(F.explode(turned).alias("e")).select("e.*").repartition("a").distinct()
+        both = cut(both.withColumns({"low": F.min("b").over(node), "high": F.max("b").over(node)}))
+        # Finished when every node but the roots has one neighbour, its root.
+        if both.filter("low < a and low < high").isEmpty():
+            return both.filter("b = low").select(F.col("a").alias("node"), F.least("a", "low").alias("root"))
+        large = both.filter("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b"))
+        small = large.withColumn("m", F.min("b").over(node))
+        edges = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b")
 
 
 def grouped(df: DataFrame, id_col: str, text: str, shingle: int, bits: int, radius: int) -> DataFrame:
@@ -460,24 +459,23 @@ def _marks(shingle: int, lanes: int):
     return of
 
 
-def similar(sets: DataFrame, texts: DataFrame, shingle: int, similarity: float, bits: int) -> DataFrame:
+def similar(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int, similarity: float, bits: int) -> DataFrame:
     """``(node, root)`` of the sets linked to others by a Jaccard similarity of ``similarity`` or more.
 
-    ``sets`` are ``(node, n, fp, keys)``, one row a set; ``texts`` is ``(node, text)``, a text of each set.
+    ``sets`` are ``(node, n, fp, keys)``, one row a set; ``texts`` gives ``(node, text)``, a text of each set of a table of ``node``.
     """
     lanes, spark = bits // 64, sets.sparkSession
     radius = radius_of(similarity, bits)
-    keyed = sets.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").count().filter("count > 1").select("key")
-    met = cut(keyed.join(shared, "key", "left_semi"))
-    nodes = met.select("node").distinct()
-    posted = cut(met.join(sets.select("node", "n", "fp"), "node"))
+    # a set holds the keys that others have too
+    keyed = sets.select("node", F.explode("keys").alias("key")).withColumn("count", F.count("*").over(Window.partitionBy("key")))
+    held = keyed.filter("count > 1").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    held = cut(held.join(sets.select("node", "n", "fp"), "node"))
 
     @F.pandas_udf("array<bigint>")
     def set_of(some: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, shingle).view(np.int64) for t in some], dtype=object)
 
-    shelf = reread(texts.join(nodes, "node", "left_semi").select("node", set_of("text").alias("set")), "shingles")
+    shelf = reread(texts(held.select("node")).select("node", set_of("text").alias("set")), "shingles")
 
     distance = sum((F.bit_count(F.col("fp")[i].bitwiseXOR(F.col("hub_fp")[i])) for i in range(lanes)), F.lit(0))
     near = (F.least("n", "hub_n") / F.greatest("n", "hub_n") >= similarity) & (distance <= radius)
@@ -489,30 +487,31 @@ def similar(sets: DataFrame, texts: DataFrame, shingle: int, similarity: float,
         common = F.size(F.array_intersect("sa", "sb"))
         return cut(both.filter(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b"))
 
-    def components_of(links: DataFrame) -> DataFrame:
-        return cut(components(links).select("node", F.col("root").alias("label")))
-
-    def relabelled(labels: DataFrame) -> DataFrame:
-        return cut(posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-
-    labelled, links = posted.withColumn("label", F.col("node")), []
+    total = held.agg(F.sum(F.size("keys"))).first()[0] or 0
+    labels, links = None, []
     for turn in range(STARS + 1):
+        labelled = held.withColumn("label", F.col("node")) if labels is None else cut(held.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+        posted = labelled.select(F.explode("keys").alias("key"), "node", "n", "fp", "label")
         hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "fp", "label"))
-        apart_still = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), hub.alias("hub")).filter("low < high")
-        apart_still = cut(apart_still.select("key", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "fp", "label"))))
+        apart_still = posted.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), hub.alias("hub"), F.count("*").alias("rows")).filter("low < high")
+        apart_still = cut(apart_still.select("key", "rows", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "fp", "label"))))
+        if apart_still.isEmpty():
+            break
         if turn < STARS:
-            starred = spread_join(labelled, apart_still, "key").filter((F.col("label") != F.col("hub_label")) & near)
-            links.append(verified(starred.select(F.col("hub_node").alias("a"), F.col("node").alias("b"))))
-            labelled = relabelled(components_of(reduce(DataFrame.union, links)))
-            continue
-        # a set's family is the component of the keys that it shares with sets that it does not hang together with
-        met_apart = cut(spread_join(labelled.select("key", "node", "label", "fp"), apart_still.select("key", "hub_node"), "key"))
-        families = components(met_apart.select(F.col("hub_node").alias("a"), F.col("node").alias("b"))).select("node", F.col("root").alias("key"))
-        members = cut(met_apart.groupBy("node").agg(F.first("label").alias("label"), F.first("fp").alias("fp")).join(families, "node"))
-        shards = blocks(members.select("key", "node", "label", "fp"), "node", FAMILY, 1).join(shelf, "node").select("key", "i", "j", "node", "label", "fp", "set")
-        shards = shards.repartition(tasks_for(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        links.append(cut(shards.mapInArrow(_family_links(radius, lanes, similarity), "a bigint, b bigint")))
-    return components(reduce(DataFrame.union, links))
+            starred = dealt_join(posted, apart_still, ["key"], "rows", total).filter((F.col("label") != F.col("hub_label")) & near)
+            links = [verified(starred.select(F.col("hub_node").alias("a"), F.col("node").alias("b")))]
+        else:
+            # a set's family is the component of the keys that it shares with sets that it does not hang together with
+            met_apart = dealt_join(posted.select("key", "node"), apart_still.select("key", "rows", "hub_node"), ["key"], "rows", total)
+            families = components(met_apart.select(F.col("hub_node").alias("a"), F.col("node").alias("b"))).select("node", F.col("root").alias("key"))
+            members = cut(labelled.select("node", "label", "fp").join(families, "node"))
+            shards = blocks(members.select("key", "node", "label", "fp"), "node", FAMILY, 1).join(shelf, "node").select("key", "i", "j", "node", "label", "fp", "set")
+            shards = shards.repartition(tasks_for(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+            links = [shards.mapInArrow(_family_links(radius, lanes, similarity), "a bigint, b bigint")]
+        # what hangs together already goes on as stars
+        stars = [] if labels is None else [labels.select(F.col("root").alias("a"), F.col("node").alias("b"))]
+        labels = components(reduce(DataFrame.union, links + stars))
+    return labels if labels is not None else sets.select("node", F.col("node").alias("root")).limit(0)
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 128) -> DataFrame:
@@ -525,11 +524,15 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     ident, tie = free(df, "_id"), free(df, "_tie")
     own = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
     marked = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("tie"), _marks(shingle, bits // 64)(F.col(text)).alias("m"))
-    rows = cut(marked.select("id", "tie", "m.*"))
-    sets = cut(rows.groupBy("node").agg(F.min(F.struct("id", "tie")).alias("row"), *(F.first(c).alias(c) for c in ("n", "fp", "keys"))))
+    sets = cut(marked.select("id", "tie", "m.*").groupBy("node").agg(F.min(F.struct("id", "tie")).alias("row"), *(F.first(c).alias(c) for c in ("n", "fp", "keys"))))
     keyed = df.withColumns({ident: own(id_col), tie: F.xxhash64(F.col(text))})
     of_row = sets.select("node", own("row.id").alias(ident), F.col("row.tie").alias(tie))
-    texts = keyed.select(ident, tie, F.col(text).alias("text")).join(of_row, [ident, tie]).select("node", "text").dropDuplicates(["node"])
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        # a set has one pair of keys, and a pair one text, so that repeated rows are dropped where the join has brought them
+        wanted = of_row.join(nodes, "node", "left_semi")
+        return keyed.select(ident, tie, F.col(text).alias("text")).join(wanted, [ident, tie]).dropDuplicates([ident, tie]).select("node", "text")
+
     roots = similar(sets.filter("n > 0").drop("row"), texts, shingle, similarity, bits)
     rooted = sets.select("node", "row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min("row").alias("kept")).select(own("kept.id").alias(ident), F.col("kept.tie").alias(tie))

@@ -529,6 +529,30 @@ def test_components_of_a_long_chain(spark):
     assert simhash.components(edges.limit(0)).count() == 0
 
 
+def shuffles(spark, work):
+    """How many shuffles ``work`` makes: each leaves files for every task that writes it, however few its rows."""
+    number = spark.sparkContext._jsc.sc().newShuffleId
+    before = number()
+    work()
+    return number() - before - 1
+
+
+def test_components_shuffle_twice_a_round(spark):
+    near = [(i, i // 20 * 20) for i in range(200)]  # stars
+    edges = spark.createDataFrame(near + [(0, 105), (250, 105), (7, 7), (3, 0), (None, 4)], "a long, b long")
+    got = {}
+    assert shuffles(spark, lambda: got.update((r.node, r.root) for r in simhash.components(edges).collect())) <= 9
+    assert got == {i: 0 if i // 20 in (0, 5) else i // 20 * 20 for i in range(200)} | {250: 0}
+
+
+def test_representatives_shuffle_little(spark):
+    texts = [" ".join([*(f"g{k}w{i}" for i in range(60)), f"end{j}"]) for k in range(3) for j in range(4)]  # three groups of near copies
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:2])], "doc_id long, text string")
+    kept = []
+    assert shuffles(spark, lambda: kept.extend(r.doc_id for r in simhash.representatives(df).collect())) <= 50
+    assert sorted(kept) == [0, 4, 8]
+
+
 def test_one_of_each_group_stays(spark, odd, empty):
     rng = random.Random(7)
     base = [" ".join(f"w{rng.randrange(900)}" for _ in range(200)) for _ in range(8)]
